@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .selectors import let
 from ..operators.statuses import ERROR, LABELS, RUNNING
 
 # what str.strip() removes: white space, the four information separators, NEL and every Unicode separator
@@ -71,17 +72,29 @@ def run_length(fragments: Column, text: Column, first: Column) -> Column:
 
 def regroup(fragments: Column, text: Column, first: Column) -> Column:
     """T4: the whole list, from its start, in chunks as long as the run that gives `text`."""
-    k = run_length(fragments, text, first)
-    starts = F.sequence(F.lit(0), F.size(fragments) - 1, k)
-    return F.when(k.isNotNull(), F.transform(starts, lambda s: F.array_join(F.slice(fragments, s + 1, k), "")))
+
+    def chunks(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(v["xs"]) - 1, v["k"])
+        return F.when(
+            v["k"].isNotNull(), F.transform(starts, lambda s: F.array_join(F.slice(v["xs"], s + 1, v["k"]), ""))
+        )
+
+    def measured(v: Column) -> Column:
+        return let(F.struct(v["xs"].alias("xs"), run_length(v["xs"], v["t"], v["i"]).alias("k")), chunks)
+
+    return let(F.struct(fragments.alias("xs"), text.alias("t"), first.alias("i")), measured)
 
 
 def find_text(fragments: Column, text: Column) -> Column:
     """T5: the list if it holds `text`, the regrouped list if a run of it does, else NULL."""
-    first = first_fragment(fragments, text)
-    return F.when(F.array_contains(fragments, text), fragments).when(
-        (F.size(fragments) > 1) & (first >= 0), regroup(fragments, text, F.greatest(first, F.lit(0)))
-    )
+
+    def found(v: Column) -> Column:
+        first = first_fragment(v["xs"], v["t"])
+        grouped = let(first, lambda i: F.when(i >= 0, regroup(v["xs"], v["t"], i)))
+        return F.when(F.array_contains(v["xs"], v["t"]), v["xs"]).when(F.size(v["xs"]) > 1, grouped)
+
+    # bound once: inside the lambdas an expression would be evaluated again for every element
+    return let(F.struct(fragments.alias("xs"), text.alias("t")), found)
 
 
 def join_titles(titles: Column) -> Column:
