@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 from .selectors import let
 from ..operators.statuses import ERROR, LABELS, RUNNING
 
-# what str.strip() removes: white space, the four information separators, NEL and every Unicode separator
-_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-_EDGES = rf"\A{_SPACE}++|(?<!{_SPACE}){_SPACE}++\z"
+# The characters that Python's str.strip() removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 @F.pandas_udf(T.StringType())
@@ -25,15 +27,14 @@ def html_unescape(text: pd.Series) -> pd.Series:
 
 def strip(text: Column) -> Column:
     """Unicode-aware trim (`trim` would leave a no-break space in place)."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def tidy(text: Column) -> Column:
     """T1 without the decoding step: all inside the JVM."""
     flat = F.replace(F.translate(text, "\r\t\n", ""), F.lit("  "), F.lit(" "))
     flat = F.replace(flat, F.lit("\u00a0"), F.lit(" "))
-    # a single space stays as it is
-    return F.regexp_replace(flat, rf"(?!\A \z)(?:{_EDGES})", "")
+    return F.when(flat == " ", flat).otherwise(strip(flat))
 
 
 def clean_text(text: Column) -> Column:

@@ -105,12 +105,20 @@ def _read_attributes(raw: str) -> dict[str, str]:
 class _Open:
     """An element that is still open."""
 
-    __slots__ = ("tag", "pre", "path", "seen", "row", "texts_before", "in_wanted")
+    __slots__ = ("tag", "pre", "parent", "step", "_path", "seen", "row", "texts_before", "in_wanted")
 
-    def __init__(self, tag, pre, path, row, texts_before, in_wanted):
-        self.tag, self.pre, self.path, self.row = tag, pre, path, row
-        self.seen: dict[str, int] = {}
+    def __init__(self, tag, pre, parent, step, texts_before, in_wanted):
+        self.tag, self.pre, self.parent, self.step = tag, pre, parent, step
         self.texts_before, self.in_wanted = texts_before, in_wanted
+        self.seen: dict[str, int] = {}
+        self._path = self.row = None
+
+    @property
+    def path(self) -> str:
+        """Written only for elements that something is emitted from."""
+        if self._path is None:
+            self._path = self.parent.path + self.step if self.parent else self.step
+        return self._path
 
 
 def page_rows(
@@ -126,6 +134,7 @@ def page_rows(
     pending: list[str] = []
     pre = texts = 0
     body_seen = False
+    n_open: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal pre, texts
@@ -157,24 +166,28 @@ def page_rows(
                     if SEP in value or ATT in value:
                         value = value.replace(SEP, " ").replace(ATT, " ")
                     step += f"{ATT}{name}={value}"
-        path = parent.path + step if parent else step
-        row = None
+        wanted = texts_in is None or (parent is not None and parent.in_wanted) or tag in texts_in
+        element = _Open(tag, pre, parent, step, texts, wanted)
         if elements is None or tag in elements:
             parent_pre = parent.pre if parent else 0
-            row = [pre, pre, len(stack) + 1, parent_pre, "element", tag, idx, attrs.get("class"), list(attrs.items()),
-                   None, 0, path]
-            rows.append(row)
-        wanted = texts_in is None or (parent is not None and parent.in_wanted) or tag in texts_in
-        stack.append(_Open(tag, pre, path, row, texts, wanted))
+            element.row = [pre, pre, len(stack) + 1, parent_pre, "element", tag, idx, attrs.get("class"),
+                           list(attrs.items()), None, 0, element.path]
+            rows.append(element.row)
+        stack.append(element)
+        n_open[tag] = n_open.get(tag, 0) + 1
 
     def pop() -> None:
-        flush()
+        if pending:
+            flush()
         gone = stack.pop()
+        n_open[gone.tag] -= 1
         if gone.row is not None:
             gone.row[_AT["last"]] = pre
             gone.row[_AT["n_text"]] = texts - gone.texts_before
 
     def pop_to(closed, barrier) -> bool:
+        if not any(n_open.get(tag) for tag in closed):
+            return False
         for i in range(len(stack) - 1, -1, -1):
             tag = stack[i].tag
             if tag in closed:
@@ -203,19 +216,21 @@ def page_rows(
     def start(tag: str, raw_attrs: str) -> None:
         nonlocal body_seen
         attrs = _read_attributes(raw_attrs) if raw_attrs else {}
-        if tag == "html":
+        if tag == "html":  # a second one is ignored
             if not stack:
                 push(tag, attrs)
             return
-        flush()
-        ensure_place(tag)
+        if pending:
+            flush()
+        if len(stack) < 3:
+            ensure_place(tag)
         if tag in ("head", "body"):
             if len(stack) == 1 and not stack[0].seen.get(tag):
                 body_seen = body_seen or tag == "body"
                 push(tag, attrs)
             return
-        if tag in CLOSES_P:
-            pop_to({"p"}, SCOPE)
+        if tag in CLOSES_P and n_open.get("p"):
+            pop_to(("p",), SCOPE)
         if tag in AUTO_CLOSE:
             pop_to(*AUTO_CLOSE[tag])
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
@@ -235,11 +250,13 @@ def page_rows(
     def end(tag: str) -> None:
         if tag in ("html", "body"):
             return
-        if tag in HEADINGS:
+        if stack and stack[-1].tag == tag:
+            pop()
+        elif tag in HEADINGS:
             pop_to(HEADINGS, SCOPE)
         elif tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot"):
-            pop_to({tag}, {"table"} - {tag})
-        elif not pop_to({tag}, SCOPE) and tag == "p":
+            pop_to((tag,), {"table"} - {tag})
+        elif not pop_to((tag,), SCOPE) and tag == "p":
             start("p", "")
             pop()
 
@@ -276,7 +293,9 @@ def page_rows(
             at = lt + 1
             continue
         slash, name, raw_attrs = found.groups()
-        tag = _UNSAFE.sub("_", name.lower())
+        tag = name.lower()
+        if not tag.isalnum():
+            tag = _UNSAFE.sub("_", tag)
         at = found.end()
         if slash:
             end(tag)

@@ -20,9 +20,11 @@ from pyspark.sql import Window as W
 from ..functions import selectors as S
 from ..functions import text as X
 from ..functions import urls as U
+from ..session import shared_dir
 from . import dom
 from . import xpath as XP
 from .joins import lookup_join
+from .xpath import UnsupportedXPath, parse, steps_regex
 
 _SLASH_IN_LITERAL = re.compile(r"""="[^"]*/[^"]*"|='[^']*/[^']*'|,\s*"[^"]*/[^"]*"|,\s*'[^']*/[^']*'""")
 
@@ -38,7 +40,7 @@ def compile_selectors(spark: SparkSession, xpaths: list[str]) -> tuple[str, list
     """P1-P4 for the columns of one template: (container path, relative path per column)."""
     for x in xpaths:
         if _SLASH_IN_LITERAL.search(x):
-            raise XP.UnsupportedXPath(f"'/' inside a literal: {x!r}")
+            raise UnsupportedXPath(f"'/' inside a literal: {x!r}")
     one = spark.sql("SELECT :xpaths AS xpaths", args={"xpaths": F.array(*[F.lit(x) for x in xpaths])})
     row = (
         one.withColumn("container", S.common_container(S.all_alternatives(F.col("xpaths"))))
@@ -63,13 +65,13 @@ def _near_cells(nodes, containers, fields, keep, cells_too):
     for i, branches in enumerate(fields):
         for outer in containers:
             for branch in branches:
-                outer_regex = XP.steps_regex(outer.steps)
+                outer_regex = steps_regex(outer.steps)
                 modes = [("text", branch.text or "descendant")]
                 if cells_too:
                     modes.append(("element", None))
                 for kind, text in modes:
-                    tail_regex = XP.steps_regex(branch.steps, text)
-                    full = XP.steps_regex((*outer.steps, *branch.steps), text)
+                    tail_regex = steps_regex(branch.steps, text)
+                    full = steps_regex((*outer.steps, *branch.steps), text)
                     hit = path.rlike(full)
                     if cells_too:
                         hit = hit & (F.col("kind") == kind)
@@ -94,12 +96,12 @@ def _far_cells(nodes, containers, branches, field, keep):
             marks = [i for i, step in enumerate(steps) if step.far_tests]
             n_outer = len(outer.steps)
             if len([i for i in marks if i >= n_outer]) > 1:
-                raise XP.UnsupportedXPath("a column path may test other nodes at one step only")
+                raise UnsupportedXPath("a column path may test other nodes at one step only")
             text = branch.text or "descendant"
-            outer_regex, tail_regex = XP.steps_regex(outer.steps), XP.steps_regex(branch.steps, text)
+            outer_regex, tail_regex = steps_regex(outer.steps), steps_regex(branch.steps, text)
             pairs = XP.heads_where(path, lambda h, t, a=outer_regex, b=tail_regex: h.rlike(a) & t.rlike(b))
             cells = (
-                nodes.filter((F.col("kind") == "text") & path.rlike(XP.steps_regex(steps, text)))
+                nodes.filter((F.col("kind") == "text") & path.rlike(steps_regex(steps, text)))
                 .select(*keep, "pre", "text", "path", F.explode(pairs).alias("container_pre"))
             )
             if any(i < n_outer for i in marks):
@@ -110,8 +112,8 @@ def _far_cells(nodes, containers, branches, field, keep):
             if marks and marks[-1] >= n_outer:
                 upto = marks[-1] - n_outer + 1
                 middle, rest = branch.steps[:upto], branch.steps[upto:]
-                rest_regex = XP.steps_regex(rest, text) if rest else r"\A"
-                middle_regex = XP.steps_regex((*outer.steps, *middle))
+                rest_regex = steps_regex(rest, text) if rest else r"\A"
+                middle_regex = steps_regex((*outer.steps, *middle))
                 owners = XP.heads_where(path, lambda h, t, a=middle_regex, b=rest_regex: h.rlike(a) & t.rlike(b))
                 tested = XP._with_far_tests(nodes, steps[: marks[-1] + 1]).select("page_id", F.col("pre").alias("__o"))
                 cells = (
@@ -252,28 +254,33 @@ def concat_runs(first: DataFrame, *others: DataFrame) -> DataFrame:
 # --- templates -------------------------------------------------------------------------------
 
 
-REGEXES = T.StructType([T.StructField(n, T.StringType()) for n in ("full", "head", "tail", "problem")])
+RULE_PARTS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("full", "head", "tail", "leaf", "problem")]
+    + [T.StructField("attrs", T.ArrayType(T.StringType()))]
+)
 
 
-@F.pandas_udf(REGEXES)
-def path_regexes(container: pd.Series, relative: pd.Series) -> pd.DataFrame:
-    """Regular expressions of one container and field path; `problem` names what is not supported."""
+@F.pandas_udf(RULE_PARTS)
+def path_rules(container: pd.Series, relative: pd.Series) -> pd.DataFrame:
+    """Regular expressions of one container and field path, with the tag its text lies below and the
+    attributes it tests; `problem` names what is not supported."""
     rows = []
     for outer_text, inner_text in zip(container, relative):
         try:
-            outer, inner = XP.parse(outer_text), XP.parse(inner_text)
-            if any(s.far_tests for s in (*outer.steps, *inner.steps)):
-                raise XP.UnsupportedXPath(f"test on other nodes in {outer_text!r} {inner_text!r}")
+            outer, inner = parse(outer_text), parse(inner_text)
+            steps = (*outer.steps, *inner.steps)
+            if any(s.far_tests for s in steps):
+                raise UnsupportedXPath(f"test on other nodes in {outer_text!r} {inner_text!r}")
             text = inner.text or "descendant"
-            full = XP.steps_regex((*outer.steps, *inner.steps), text)
-            rows.append((full, XP.steps_regex(outer.steps), XP.steps_regex(inner.steps, text), None))
-        except XP.UnsupportedXPath as error:
-            rows.append((None, None, None, str(error)))
-    return pd.DataFrame(rows, columns=["full", "head", "tail", "problem"])
+            regexes = (steps_regex(steps, text), steps_regex(outer.steps), steps_regex(inner.steps, text))
+            rows.append((*regexes, steps[-1].tag, None, sorted(outer.attrs | inner.attrs)))
+        except UnsupportedXPath as error:
+            rows.append((None, None, None, None, str(error), []))
+    return pd.DataFrame(rows, columns=RULE_PARTS.names)
 
 
 def compile_templates(templates: DataFrame) -> DataFrame:
-    """(template_id, domain, titles, rules) per template; rules hold one entry per field and alternative."""
+    """(template_id, domain, titles, rules, problem) per template; one rule per field and alternative."""
     shaped = (
         templates.select(
             F.col("id").alias("template_id"),
@@ -284,24 +291,21 @@ def compile_templates(templates: DataFrame) -> DataFrame:
         .withColumn("container", S.common_container(S.all_alternatives(F.col("xpaths"))))
         .withColumn("suffixes", S.field_suffixes(F.col("container"), F.col("xpaths")))
         .select("template_id", "domain", "titles", "container", F.posexplode("suffixes").alias("field", "union"))
-        .select("template_id", "domain", "titles", "container", "field", F.explode(S.alternatives(F.col("union"))).alias("path"))
-        .withColumn("rx", path_regexes(F.col("container"), F.col("path")))
+        .withColumn("path", F.explode(S.alternatives(F.col("union"))))
+        .withColumn("r", path_rules(F.col("container"), F.col("path")))
     )
-    rule = F.struct("field", F.col("rx.full").alias("full"), F.col("rx.head").alias("head"), F.col("rx.tail").alias("tail"))
+    rule = F.struct("field", *[F.col(f"r.{c}").alias(c) for c in ("full", "head", "tail", "leaf", "attrs")])
     return shaped.groupBy("template_id").agg(
         F.first("domain").alias("domain"),
         F.first("titles").alias("titles"),
-        F.collect_list(F.when(F.col("rx.problem").isNull(), rule)).alias("rules"),
-        F.array_join(F.collect_set("rx.problem"), "; ").alias("problem"),
+        F.collect_list(F.when(F.col("r.problem").isNull(), rule)).alias("rules"),
+        F.array_join(F.collect_set("r.problem"), "; ").alias("problem"),
     )
 
 
-def tested_attributes(templates: DataFrame) -> tuple[str, ...]:
-    """Names of the attributes that template paths test (the tokeniser writes these into `path`)."""
-    names = F.explode(F.flatten(F.transform(
-        S.column_data(F.col("columns"), "xpath"), lambda x: F.regexp_extract_all(x, F.lit(r"@([\w:\-]+)"), F.lit(1))
-    )))
-    return tuple(sorted(r[0].lower() for r in templates.select(names.alias("name")).distinct().collect()))
+def _names(rules: DataFrame, names: Column) -> set[str]:
+    """Distinct tag or attribute names over all rules."""
+    return {r[0] for r in rules.select(F.explode(names).alias("n")).distinct().collect()}
 
 
 def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -310,12 +314,18 @@ def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     Rows (template_id, page_id, container_pre, record MAP<title, text>). The rules of a template
     travel with its pages, so any number of templates works without a broadcast after the tokeniser.
     """
-    compiled = compile_templates(templates).filter(F.col("problem") == "").drop("problem")
+    shared_dir(pages.sparkSession)
+    compiled = compile_templates(templates).filter(F.col("problem") == "").drop("problem").checkpoint()
+    leaves = _names(compiled, F.transform("rules", lambda r: r["leaf"]))
+    attrs = _names(compiled, F.flatten(F.transform("rules", lambda r: r["attrs"])))
+    slim = F.transform("rules", lambda r: r.dropFields("leaf", "attrs"))
+    compiled = compiled.withColumn("rules", slim)
     sited = pages.select("page_id", "html", U.domain(F.col("url")).alias("domain"))
     planned = lookup_join(sited, compiled, "domain", spread=F.col("page_id"))
     carried = ("page_id", "template_id", "titles", "rules")
     nodes = dom.dom_nodes(
-        planned, elements=set(), path_attrs=tested_attributes(templates), columns=("pre", "text", "path"), keep=carried
+        planned, elements=set(), texts_in=leaves, path_attrs=tuple(sorted(attrs)), columns=("pre", "text", "path"),
+        keep=carried,
     )
     path = F.col("path")
     fits = F.filter(F.col("rules"), lambda r: F.rlike(path, r["full"]))

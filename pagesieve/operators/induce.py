@@ -17,7 +17,7 @@ CLICKABLE = (
 ).split()
 CLICKABLE_INPUTS = ("button", "submit", "image")
 
-_BELOW_CLICKABLE = r"\x1e(?:" + "|".join(CLICKABLE) + r")\[|\x1einput\[[^\x1e]*\z"
+_BELOW_CLICKABLE = r"\x1e(?:" + "|".join([*CLICKABLE, "input"]) + r")\["
 
 
 def is_clickable(tag: Column, input_type: Column) -> Column:
@@ -26,6 +26,11 @@ def is_clickable(tag: Column, input_type: Column) -> Column:
     return tag.isin(*CLICKABLE) | button
 
 
+def clickable_pres(path: Column) -> Column:
+    """`pre` of each ancestor-or-self from the first clickable one on."""
+    return dom.ancestor_pres(F.regexp_extract(path, rf"{_BELOW_CLICKABLE}[\s\S]*\z", 0))
+
+
 def capture_examples(
     clicks: DataFrame, session: str = "session", order: tuple[str, ...] = ("ts", "click_id"),
     text: str = "text", bucket: Column | None = None,
@@ -63,32 +68,33 @@ def locate_examples(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     """
     asked = examples.withColumn("__want", X.strip(F.col("text"))).filter(F.col("__want") != "")
     by_page = asked.groupBy("page_id").agg(F.max(F.length("__want")).alias("__longest"))
-    texts = nodes.filter((F.col("kind") == "text") & F.col("path").rlike(_BELOW_CLICKABLE)).select(
-        "page_id", "pre", "text", "path"
-    )
-    fragments = lookup_join(texts, by_page, "page_id", spread=F.col("pre")).filter(
-        F.length(X.strip(F.col("text"))) <= F.col("__longest")
-    )
-    whole = (
-        fragments.select("page_id", F.col("pre").alias("__at"), "text", F.explode(dom.ancestor_pres(F.col("path"))).alias("pre"))
-        .groupBy("page_id", "pre")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("n_text"),
-            F.array_sort(F.collect_list(F.struct("__at", "text"))).alias("__parts"),
+    is_text = F.col("kind") == "text"
+    payload = ("last", "depth", "tag", "attrs", "path")
+    offered = (
+        lookup_join(
+            nodes.filter(F.col("path").rlike(_BELOW_CLICKABLE)).select("page_id", "pre", "kind", "text", "n_text", *payload),
+            by_page, "page_id", spread=F.col("pre"),
         )
+        .filter(~is_text | (F.length(X.strip(F.col("text"))) <= F.col("__longest")))
         .select(
-            "page_id", "pre", "n_text",
-            F.array_join(F.transform("__parts", lambda x: x["text"]), "").alias("string_value"),
+            "page_id",
+            F.explode(F.when(is_text, clickable_pres(F.col("path"))).otherwise(F.array("pre"))).alias("__owner"),
+            F.when(is_text, F.struct("pre", "text")).alias("part"),
+            F.when(~is_text, F.struct("n_text", *payload)).alias("element"),
         )
-        .withColumn("__want", X.strip(F.col("string_value")))
     )
-    matched = whole.join(asked.select("page_id", "column_title", "text", "__want"), ["page_id", "__want"])
-    elements = nodes.filter((F.col("kind") == "element") & F.col("path").rlike(_BELOW_CLICKABLE)).select(
-        "page_id", "pre", "last", "n_text", "depth", "tag", "attrs", "path"
+    whole = offered.groupBy("page_id", F.col("__owner").alias("pre")).agg(
+        F.array_sort(F.collect_list("part")).alias("parts"), F.first("element", ignorenulls=True).alias("element")
+    )
+    texts = (
+        whole.filter(F.size("parts") == F.col("element.n_text"))
+        .withColumn("string_value", F.array_join(F.transform("parts", lambda x: x["text"]), ""))
+        .withColumn("__want", X.strip(F.col("string_value")))
     )
-    found = matched.join(elements, ["page_id", "pre", "n_text"])
+    found = texts.join(asked.select("page_id", "column_title", "text", "__want"), ["page_id", "__want"])
     best = F.max_by(
-        F.struct("pre", "last", "depth", "tag", "attrs", "path", "string_value"), F.struct("depth", -F.col("pre"))
+        F.struct("pre", *[F.col(f"element.{c}").alias(c) for c in payload], "string_value"),
+        F.struct("element.depth", -F.col("pre")),
     )
     chosen = found.groupBy("page_id", "column_title", "text").agg(best.alias("e"))
     return chosen.select("page_id", "column_title", "text", "e.*")
@@ -132,7 +138,7 @@ def induce_next_selector(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     chosen = locate_examples(nodes, examples)
     inside = (
         nodes.select("page_id", "pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path")
-        .select("*", F.explode(dom.ancestor_pres(F.col("path"))).alias("__owner"))
+        .select("*", F.explode(clickable_pres(F.col("path"))).alias("__owner"))
         .filter(F.col("__owner") != F.col("pre"))
         .withColumnsRenamed({c: f"in_{c}" for c in ("pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path")})
         .withColumnRenamed("__owner", "pre")

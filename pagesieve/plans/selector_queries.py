@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import selectors as S
 from ..operators import dom, induce
 from ..operators import extract as E
+from ..session import shared_dir
 from .registry import AD, H1, LINKS, PARAGRAPHS, decoded, pages, query, table, tidied
 
 
@@ -67,7 +68,8 @@ def _examples(spark, folder):
     shown = E.extract_fields(
         pages(spark, folder), "//body", {"link": "//nav//li[1]//text()", "ad": '//div[contains(@class, "ad")]//text()'}
     )
-    return shown.select("page_id", F.expr("stack(2, 'link', link, 'ad', ad) AS (column_title, text)"))
+    shared_dir(spark)
+    return shown.select("page_id", F.expr("stack(2, 'link', link, 'ad', ad) AS (column_title, text)")).checkpoint()
 
 
 # where a heading, paragraph or bold text of the page equals the ad, it lies deeper and is the one clicked

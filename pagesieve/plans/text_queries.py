@@ -6,20 +6,20 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from .registry import DOMAIN, HOST, SITE, pages, query, table, tidied
+from .registry import DOMAIN, HOST, SITE, documents, pages, query, table, tidied
 
 
 @query(f"SELECT doc_id, {tidied('text')} AS cleaned FROM documents")
 def clean_text_documents(spark, folder):
     """T1"""
-    return table(spark, folder, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return documents(spark, folder).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {tidied('x')}), '|') AS cleaned FROM documents""")
 def clean_lines(spark, folder):
     """T2"""
     lines = X.clean_list(F.split("text", "\n"))
-    return table(spark, folder, "documents").select("doc_id", F.array_join(lines, "|").alias("cleaned"))
+    return documents(spark, folder).select("doc_id", F.array_join(lines, "|").alias("cleaned"))
 
 
 _WORDS = """asked AS (
@@ -36,7 +36,7 @@ _WORDS = """asked AS (
     END AS found FROM runs""")
 def regroup_fragments(spark, folder):
     """Words of a document in chunks, so that one chunk is the wanted text."""
-    words = table(spark, folder, "documents").select("doc_id", F.split("text", " ").alias("words")).filter(F.size("words") > 3)
+    words = documents(spark, folder).select("doc_id", F.split("text", " ").alias("words")).filter(F.size("words") > 3)
     asked = words.withColumn("wanted", F.concat(F.col("words")[2], F.col("words")[3]))
     return asked.select(
         "doc_id", X.first_fragment(F.col("words"), F.col("wanted")).cast("long").alias("first"),

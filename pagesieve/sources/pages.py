@@ -14,7 +14,7 @@ PAGE_SCHEMA = T.StructType(
 )
 
 
-def spread(pages: DataFrame) -> DataFrame:
+def spread(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Give every core a share when the files hold fewer splits than there are cores.
 
     At scale a scan has many splits and this adds nothing; it matters for a single small file, which
@@ -23,7 +23,7 @@ def spread(pages: DataFrame) -> DataFrame:
     cores = pages.sparkSession.sparkContext.defaultParallelism
     if pages.rdd.getNumPartitions() >= cores:
         return pages
-    return pages.repartition(cores, "page_id")
+    return pages.repartition(cores, key)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -81,7 +81,9 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, schema: T.Struc
         reader = reader.option("inferSchema", "false")
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path)
+    found = reader.load(path)
+    first = found.columns[0] if found.columns else ""
+    return found.withColumnRenamed(first, first.removeprefix(BOM))
 
 
 def load_array(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +92,7 @@ def load_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def output_columns(spark: SparkSession, path: str, fmt: str) -> list[str]:
-    return [c.strip().removeprefix(BOM) for c in load(spark, path, fmt).columns]
+    return [c.strip() for c in load(spark, path, fmt).columns]
 
 
 def save(df: DataFrame, path: str, fmt: str | None = None, append: bool = False) -> int:

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import sinks
 
 
+BATCH = "written_in_batch"
+
+
 def stream_records(
     pages: DataFrame,
     job: Callable[[DataFrame], DataFrame],
@@ -26,14 +29,14 @@ def stream_records(
     Read the output with `load_stream_output`.
     """
     spark = pages.sparkSession
-    present = sinks.output_columns(spark, f"{path}/batch=*", fmt) if sinks.exists(spark, path) else None
+    present = load_stream_output(spark, path, fmt).columns if sinks.exists(spark, path) else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         records = job(batch)
         names = sinks.written_names(records.columns, fmt)
         if present is not None and set(present) != set(names):
             raise sinks.ColumnMismatch(f"{path} has {present}, records have {names}")
-        rows = sinks.save(records, f"{path}/batch={batch_id:08d}", fmt)
+        rows = sinks.save(records, f"{path}/{BATCH}={batch_id:08d}", fmt)
         if on_batch:
             on_batch(batch_id, rows)
 
@@ -48,4 +51,4 @@ def stream_records(
 def load_stream_output(
     spark: SparkSession, path: str, fmt: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    return sinks.load(spark, f"{path}/batch=*", fmt, schema)
+    return sinks.load(spark, path, fmt, schema).drop(BATCH)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import runs as R
+from .records import BATCH
 
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
@@ -25,7 +26,7 @@ def stream_status(
         events = events.join(known.select("run_id").distinct(), "run_id", "left_semi")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:08d}")
+        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id:08d}")
 
     return (
         R.latest_status(events)
@@ -39,6 +40,6 @@ def stream_status(
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
     """Newest status per run over all batches written."""
-    changes = spark.read.parquet(f"{path}/batch=*")
+    changes = spark.read.parquet(path)
     newest = F.max_by(F.struct("status", "percent", "file_name", "ts", "seq"), F.struct("ts", "seq"))
     return changes.groupBy("run_id").agg(newest.alias("e")).select("run_id", "e.*")
