@@ -74,7 +74,8 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, schema: T.Struc
     fmt = fmt or format_of(path)
     reader = spark.read.format(fmt).options(**OPTIONS[fmt])
     if fmt == "csv":
-        reader = reader.option("inferSchema", "false").option("multiLine", "true")
+        # with its default the reader takes a quoted empty text for no value, too
+        reader = reader.option("inferSchema", "false").option("multiLine", "true").option("nullValue", "\u0001")
     if fmt == "json":
         reader = reader.option("primitivesAsString", "true")
     if fmt == "xml":
