@@ -25,6 +25,11 @@ def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def html_unescape_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: [x if x is None else html.unescape(x) for x in xs], na_action="ignore")
+
+
 def strip(text: Column) -> Column:
     """Unicode-aware trim (`trim` would leave a no-break space in place)."""
     return F.btrim(text, F.lit(WHITE_SPACE))
@@ -47,8 +52,9 @@ def clean_text(text: Column) -> Column:
 
 
 def clean_list(texts: Column) -> Column:
-    """T2 for text that is already decoded. Explode and use `clean_text` where references may remain."""
-    return F.transform(texts, tidy)
+    """T1 on every element; only lists that hold an `&` travel to the Python worker."""
+    held = F.exists(texts, lambda t: F.contains(t, F.lit("&")))
+    return F.transform(F.coalesce(html_unescape_each(F.when(held, texts)), texts), tidy)
 
 
 def first_fragment(fragments: Column, text: Column) -> Column:

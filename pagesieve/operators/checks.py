@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import shared_dir
 from . import dom
 from . import xpath as XP
+from .joins import lookup_join
 
 
 def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -94,8 +96,10 @@ def page_flags(pages: DataFrame) -> DataFrame:
 def without_challenges(pages: DataFrame) -> DataFrame:
     """Pages that are not challenge pages."""
     nodes = dom.dom_nodes(pages, elements={"iframe"}, texts_in=set(), path_attrs=(), columns=("attrs",))
+    shared_dir(pages.sparkSession)
     challenged = nodes.filter(F.try_element_at("attrs", F.lit("title")) == "reCAPTCHA").select("page_id").distinct()
-    return pages.join(challenged, "page_id", "left_anti")
+    # written once: the size check and the join both read it, and a short list spares moving the pages
+    return lookup_join(pages, challenged.checkpoint(), "page_id", "left_anti")
 
 
 def page_growth(pages: DataFrame, records: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from ..functions import urls as U
 from ..session import shared_dir
 from . import dom
 from . import xpath as XP
-from .joins import lookup_join
+from .joins import is_small, lookup_join
 from .xpath import UnsupportedXPath, parse, steps_regex
 
 _SLASH_IN_LITERAL = re.compile(r"""="[^"]*/[^"]*"|='[^']*/[^']*'|,\s*"[^"]*/[^"]*"|,\s*'[^']*/[^']*'""")
@@ -36,11 +36,25 @@ def record_schema(titles: list[str]) -> T.StructType:
     return T.StructType([T.StructField(t, T.StringType()) for t in titles])
 
 
+_compiled: dict[tuple[str, ...], tuple[str, list[str]]] = {}
+
+
 def compile_selectors(spark: SparkSession, xpaths: list[str]) -> tuple[str, list[str]]:
-    """P1-P4 for the columns of one template: (container path, relative path per column)."""
+    """P1-P4 for the columns of one template: (container path, relative path per column).
+
+    The expressions of `functions.selectors` on a single row; what was asked before is remembered.
+    """
     for x in xpaths:
         if _SLASH_IN_LITERAL.search(x):
             raise UnsupportedXPath(f"'/' inside a literal: {x!r}")
+    asked = tuple(xpaths)
+    if asked not in _compiled:
+        _compiled[asked] = _compile(spark, xpaths)
+    container, relative = _compiled[asked]
+    return container, list(relative)
+
+
+def _compile(spark: SparkSession, xpaths: list[str]) -> tuple[str, list[str]]:
     one = spark.sql("SELECT :xpaths AS xpaths", args={"xpaths": F.array(*[F.lit(x) for x in xpaths])})
     row = (
         one.withColumn("container", S.common_container(S.all_alternatives(F.col("xpaths"))))
@@ -311,8 +325,9 @@ def _names(rules: DataFrame, names: Column) -> set[str]:
 def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """Every page of a domain through every template of that domain, in one pass.
 
-    Rows (template_id, page_id, container_pre, record MAP<title, text>). The rules of a template
-    travel with its pages, so any number of templates works without a broadcast after the tokeniser.
+    Rows (template_id, page_id, container_pre, record MAP<title, text>). Rules that pass a size check
+    are broadcast and a page is tokenised once for all its templates. Beyond that pages are joined
+    with their templates first and the rules travel with the nodes.
     """
     shared_dir(pages.sparkSession)
     compiled = compile_templates(templates).filter(F.col("problem") == "").drop("problem").checkpoint()
@@ -321,20 +336,25 @@ def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     slim = F.transform("rules", lambda r: r.dropFields("leaf", "attrs"))
     compiled = compiled.withColumn("rules", slim)
     sited = pages.select("page_id", "html", U.domain(F.col("url")).alias("domain"))
-    planned = lookup_join(sited, compiled, "domain", spread=F.col("page_id"))
-    carried = ("page_id", "template_id", "titles", "rules")
-    nodes = dom.dom_nodes(
-        planned, elements=set(), texts_in=leaves, path_attrs=tuple(sorted(attrs)), columns=("pre", "text", "path"),
-        keep=carried,
-    )
+    payload = {
+        "elements": set(), "texts_in": leaves, "path_attrs": tuple(sorted(attrs)), "columns": ("pre", "text", "path")
+    }
     path = F.col("path")
-    fits = F.filter(F.col("rules"), lambda r: F.rlike(path, r["full"]))
+    single = compiled.select("template_id", "domain", "titles", F.explode("rules").alias("rule"))
+    if is_small(single):
+        domains = F.broadcast(compiled.select("domain").distinct())
+        nodes = dom.dom_nodes(sited.join(domains, "domain"), keep=("page_id", "domain"), **payload)
+        fits = F.expr("nodes.domain = single.domain AND rlike(nodes.path, single.rule.full)")
+        matched = nodes.alias("nodes").join(F.broadcast(single.alias("single")), fits)
+    else:
+        planned = lookup_join(sited, compiled, "domain", spread=F.col("page_id"))
+        nodes = dom.dom_nodes(planned, keep=("page_id", "template_id", "titles", "rules"), **payload)
+        matched = nodes.withColumn("rule", F.explode(F.filter("rules", lambda r: F.rlike(path, r["full"]))))
     owned = XP.heads_where(
         path, lambda h, t: F.rlike(h, F.col("rule.head")) & F.rlike(t, F.col("rule.tail"))
     )
-    cells = (
-        nodes.withColumn("rule", F.explode(fits))
-        .select("page_id", "template_id", "titles", "rule.field", "pre", "text", F.explode(owned).alias("container_pre"))
+    cells = matched.select(
+        "page_id", "template_id", "titles", "rule.field", "pre", "text", F.explode(owned).alias("container_pre")
     )
     entries = F.array_sort(F.array_distinct(F.collect_list(F.struct("field", "pre", "text"))))
     grouped = cells.groupBy("template_id", "page_id", "container_pre").agg(
@@ -346,17 +366,8 @@ def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
             F.transform(F.filter(F.col("entries"), lambda e: e["field"] == i), lambda e: e["text"]), " "
         ),
     )
-    tall = grouped.select(
-        "template_id", "page_id", "container_pre", F.posexplode(F.arrays_zip("titles", values.alias("v"))).alias("n", "cell")
-    )
-    cleaned = tall.select(
-        "template_id", "page_id", "container_pre", "n", F.col("cell.titles").alias("title"),
-        X.clean_text(F.col("cell.v")).alias("value"),
-    )
-    return cleaned.groupBy("template_id", "page_id", "container_pre").agg(
-        F.map_from_entries(
-            F.transform(F.array_sort(F.collect_list(F.struct("n", "title", "value"))), lambda e: F.struct(e["title"], e["value"]))
-        ).alias("record")
+    return grouped.withColumn("__v", values).select(
+        "template_id", "page_id", "container_pre", F.map_from_arrays("titles", X.clean_list(F.col("__v"))).alias("record")
     )
 
 

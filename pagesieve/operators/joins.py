@@ -27,27 +27,46 @@ def hot_keys(table: DataFrame, key: str) -> list:
     return [row[key] for row in largest if row["n"] * HOT_SHARE > total and row[key] is not None]
 
 
+def _is_any(key: str, values: list) -> Column:
+    return F.coalesce(F.col(key).isin(values), F.lit(False)) if values else F.lit(False)
+
+
+def _salted(table: DataFrame, spread: Column, mine: Column, theirs: Column, own: int) -> DataFrame:
+    """Rows of keys hot on this side get one of the salts, of keys hot on the other side all of them.
+
+    A salt is a pair (this side, other side) written as one number; `own` tells which half is ours.
+    """
+    side = 8  # 8 x 8 = SALTS, for keys hot on both sides
+
+    def spread_over(n: int) -> Column:
+        return F.pmod(F.xxhash64(spread), F.lit(n)).cast("int")
+
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    line = F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda o: spread_over(side) * (side if own == 0 else 1) + o * (1 if own == 0 else side))
+    salts = (
+        F.when(mine & theirs, line).when(mine, F.array(spread_over(SALTS))).when(theirs, every).otherwise(F.array(F.lit(0)))
+    )
+    return table.withColumn("__salt", F.explode(salts))
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", spread: Column | None = None) -> DataFrame:
     """Join a long `left` to a shorter `right`.
 
-    `right` is broadcast only after a check of its size. Beyond that both sides are shuffled; hot
-    keys of `left` are then spread over `SALTS` tasks by `spread` (a value that varies within the
-    key) and the matching rows of `right` repeated for each, which leaves the result the same.
+    `right` is broadcast only after a check of its size. Beyond that both sides are shuffled; the rows
+    of a hot key are then spread over `SALTS` tasks and the matching rows of the other side repeated
+    for each, which leaves the result the same. `spread` varies within a hot key of `left`. For joins
+    other than inner, `right` has one row per key, so only `left` can be hot.
     """
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
-    slim = left.select(key)
-    if is_small(slim, SMALL_LEFT, 1 << 40):
+    hot_left = [] if is_small(left.select(key), SMALL_LEFT, 1 << 40) else hot_keys(left.select(key), key)
+    hot_right = []
+    if how == "inner" and not is_small(right.select(key), SMALL_LEFT, 1 << 40):
+        hot_right = hot_keys(right.select(key), key)
+    if not hot_left and not hot_right:
         return left.join(right, key, how)
-    hot = hot_keys(slim, key)
-    if not hot:
-        return left.join(right, key, how)
-    spread = spread if spread is not None else F.xxhash64(*left.columns)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        left.withColumn("__salt", salt)
-        .join(right.withColumn("__salt", F.explode(salts)), [key, "__salt"], how)
-        .drop("__salt")
-    )
+    on_left, on_right = _is_any(key, hot_left), _is_any(key, hot_right)
+    spread = F.xxhash64(*left.columns) if spread is None else spread
+    a = _salted(left, spread, on_left, on_right, 0)
+    b = _salted(right, F.xxhash64(*right.columns), on_right, on_left, 1)
+    return a.join(b, [key, "__salt"], how).drop("__salt")

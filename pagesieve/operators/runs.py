@@ -51,9 +51,8 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def update_runs(runs: DataFrame, events: DataFrame) -> DataFrame:
-    """Runs with the newest event applied; events of unknown runs are ignored."""
-    known = events.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-    news = latest_status(known).select(
+    """Runs with the newest event applied; events of unknown runs meet no run and are ignored."""
+    news = latest_status(events).select(
         "run_id", F.col("status").alias("__status"), F.col("file_name").alias("__file"), F.lit(True).alias("__new")
     )
     return (

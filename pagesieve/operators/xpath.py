@@ -279,11 +279,38 @@ def select_nodes(nodes: DataFrame, xpath: str, text: str | None = None) -> DataF
     if len(parts) > 1:
         found = found.dropDuplicates(["page_id", "pre"])
     if text is not None:
-        holding = selected_texts(nodes, xpath).filter(F.contains("string_value", F.lit(text)))
-        found = found.join(holding, ["page_id", "pre"])
+        return _holding(nodes, xpath, found, text, one_pass=not far)
     return found
 
 
+def _holding(nodes: DataFrame, xpath: str, found: DataFrame, text: str, one_pass: bool) -> DataFrame:
+    """Elements of `found` with their `string_value`, where that contains `text`."""
+    if not one_pass:
+        values = selected_texts(nodes, xpath).filter(F.contains("string_value", F.lit(text)))
+        return found.join(values, ["page_id", "pre"])
+    # elements and the texts inside them meet in one group per element, out of one scan
+    carried = _payload(nodes)
+    locations = read_alternatives(xpath)
+    path, is_text = F.col("path"), F.col("kind") == "text"
+    inside = any_of([path.rlike(steps_regex(loc.steps, "descendant")) for loc in locations])
+    regexes = [steps_regex(loc.steps) for loc in locations]
+    itself = any_of([path.rlike(r) for r in regexes])
+    owners = heads_where(path, lambda head, _: any_of([head.rlike(r) for r in regexes]))
+    return (
+        nodes.filter(F.when(is_text, inside).otherwise(itself))
+        .select(
+            "page_id", F.explode(F.when(is_text, owners).otherwise(F.array("pre"))).alias("__owner"),
+            F.when(is_text, F.struct("pre", "text")).alias("__part"),
+            F.when(~is_text, F.struct(*carried)).alias("__row"),
+        )
+        .groupBy("page_id", F.col("__owner").alias("pre"))
+        .agg(F.first("__row", ignorenulls=True).alias("__row"), F.array_sort(F.collect_list("__part")).alias("__parts"))
+        .withColumn("string_value", F.array_join(F.transform("__parts", lambda x: x["text"]), ""))
+        .filter(F.contains("string_value", F.lit(text)))
+        .select("page_id", "pre", *[F.col(f"__row.{c}").alias(c) for c in carried], "string_value")
+    )
+
+
 def _select_far(nodes: DataFrame, loc: Location) -> DataFrame:
     done: DataFrame | None = None
     run: list[Step] = []

@@ -17,21 +17,21 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
 def stream_status(
     events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None
 ) -> StreamingQuery:
-    """Keep the newest status of every run at `path`; events of runs not in `known` are ignored.
+    """Append the newest event per run of each batch at `path`; events of runs not in `known` are ignored.
 
-    The state holds one row per run. Events are ordered by (ts, seq), so one that comes late cannot
-    replace a newer one. Each batch writes the runs it changed to its own folder.
+    Newest means largest (ts, seq), over all batches once `current_status` folds them, so an event
+    that comes late cannot replace a newer one. The stream keeps no state that would grow with the
+    runs, and a batch that is tried again replaces the folder it wrote before.
     """
-    if known is not None:
-        events = events.join(known.select("run_id").distinct(), "run_id", "left_semi")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id:08d}")
+        newest = R.latest_status(batch)
+        if known is not None:
+            newest = newest.join(known.select("run_id").distinct(), "run_id", "left_semi")
+        newest.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id:08d}")
 
     return (
-        R.latest_status(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -38,6 +38,18 @@ def test_all_ways_agree(sides, monkeypatch, how):
     assert listed(J.lookup_join(left, right, "k", how)) == want
 
 
+def test_hot_on_the_other_or_both_sides(spark, monkeypatch):
+    def side(n, hot, name):
+        key = F.when(F.col("id") < hot, F.lit("x")).when(F.col("id") < 30, F.lit("y")).otherwise((F.col("id") % 40).cast("string"))
+        return spark.range(n).select(key.alias("k"), F.col("id").alias(name))
+
+    monkeypatch.setattr(J.is_small, "__defaults__", (10, 1 << 30))
+    monkeypatch.setattr(J, "SMALL_LEFT", 20)
+    for hot_left, hot_right in ((0, 150), (150, 150), (150, 0)):
+        left, right = side(400, hot_left, "v"), side(300, hot_right, "w")
+        assert listed(J.lookup_join(left, right, "k", spread=F.col("v"))) == listed(left.join(right, "k"))
+
+
 def test_hot_keys(sides):
     left, _ = sides
     assert J.hot_keys(left, "k") == ["hot"]

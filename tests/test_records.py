@@ -130,9 +130,12 @@ def test_same_path_in_two_columns(pages):
     assert rows(E.extract(pages("<li>x</li>"), {"a": "//li", "b": "//li"}), "a", "b") == [("x", "x")]
 
 
-def test_templates_of_many_sites(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_templates_of_many_sites(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(E, "is_small", lambda table: False)
     data = [
-        (1, "https://www.a.com/1", '<ul class="p1"><li id="k">x<li>y</ul>'), (2, "http://a.com/2", "<ul><li>z</ul>"),
+        (1, "https://www.a.com/1", '<ul class="p1"><li id="k">x<li>y</ul>'), (2, "http://a.com/2", "<ul><li>z&amp;amp;</ul>"),
         (3, "https://b.org/", "<table><tr><td>1<td>2</table>"), (4, "https://c.org/", "<ul><li>no template</ul>"),
     ]
     site = spark.createDataFrame(data, PAGE_SCHEMA)
@@ -147,7 +150,7 @@ def test_templates_of_many_sites(spark):
     )
     got = E.extract_by_template(site, templates).orderBy("template_id", "page_id", "container_pre").collect()
     assert [(r.template_id, r.page_id, r.record) for r in got] == [
-        ("A", 1, {"item": "x"}), ("A", 1, {"item": "y"}), ("A", 2, {"item": "z"}), ("A2", 1, {"item": "x"}),
+        ("A", 1, {"item": "x"}), ("A", 1, {"item": "y"}), ("A", 2, {"item": "z&"}), ("A2", 1, {"item": "x"}),
         ("B", 3, {"1": "1", "two": "2"}),
     ]
     problems = {r.template_id: r.problem for r in E.compile_templates(templates).collect()}
