@@ -32,8 +32,7 @@ def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]])
     owned, inside = [], []
     for i, title in enumerate(titles):
         hit = XP.any_of([path.rlike(XP.steps_regex(loc.steps, "descendant")) for loc in locations[title]])
-        regexes = [XP.steps_regex(loc.steps) for loc in locations[title]]
-        pres = XP.heads_where(path, lambda h, _, rs=regexes: XP.any_of([h.rlike(r) for r in rs]))
+        pres = XP.owners_of_any(path, locations[title])
         inside.append(hit)
         owned.append(XP._marked(F.when(hit, pres).otherwise(F.array().cast("array<int>")), i))
     values = (

@@ -53,11 +53,14 @@ AUTO_CLOSE = {
     "optgroup": ({"optgroup"}, {"select"}),
     "a": ({"a"}, SCOPE),
 }
+# start tags that may end other elements or open missing ones; all others just open
+_STRUCTURAL = CLOSES_P | frozenset(AUTO_CLOSE) | {"html", "head", "body", "frameset"}
 # Browsers attach anything nested deeper than this to the element at the limit, so no text is lost.
 MAX_DEPTH = 512
 
-_TAG = re.compile(
-    r"""<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>"""
+# text up to a tag, and the tag if it is one: text, slash, name, attributes
+_TOKEN = re.compile(
+    r"""([^<]*+)(?:<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)>)?+"""
 )
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _UNSAFE = re.compile(r"[\[\]@\x1e\x1f]")
@@ -105,19 +108,23 @@ def _read_attributes(raw: str) -> dict[str, str]:
 class _Open:
     """An element that is still open."""
 
-    __slots__ = ("tag", "pre", "parent", "step", "_path", "seen", "row", "texts_before", "in_wanted")
+    __slots__ = ("tag", "pre", "parent", "idx", "attrs", "texts_before", "in_wanted", "seen", "row", "_path")
 
-    def __init__(self, tag, pre, parent, step, texts_before, in_wanted):
-        self.tag, self.pre, self.parent, self.step = tag, pre, parent, step
+    def __init__(self, tag, pre, parent, idx, attrs, texts_before, in_wanted):
+        self.tag, self.pre, self.parent, self.idx, self.attrs = tag, pre, parent, idx, attrs
         self.texts_before, self.in_wanted = texts_before, in_wanted
         self.seen: dict[str, int] = {}
         self._path = self.row = None
 
-    @property
-    def path(self) -> str:
+    def path(self, names: tuple[str, ...]) -> str:
         """Written only for elements that something is emitted from."""
         if self._path is None:
-            self._path = self.parent.path + self.step if self.parent else self.step
+            step = f"{SEP}{self.tag}[{self.idx}]@{self.pre}"
+            if self.attrs:
+                for name in names:
+                    if name in self.attrs:
+                        step += f"{ATT}{name}={self.attrs[name].replace(SEP, ' ').replace(ATT, ' ')}"
+            self._path = self.parent.path(names) + step if self.parent else step
         return self._path
 
 
@@ -148,7 +155,8 @@ def page_rows(
         pre += 1
         texts += 1
         if texts_in is None or top.in_wanted:
-            rows.append([pre, pre, len(stack) + 1, top.pre, "text", None, None, None, None, text, 1, top.path])
+            rows.append([pre, pre, len(stack) + 1, top.pre, "text", None, None, None, None, text, 1,
+                         top.path(path_attrs)])
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         nonlocal pre
@@ -158,20 +166,12 @@ def page_rows(
         if parent is not None:
             idx = parent.seen.get(tag, 0) + 1
             parent.seen[tag] = idx
-        step = f"{SEP}{tag}[{idx}]@{pre}"
-        if attrs:
-            for name in path_attrs:
-                if name in attrs:
-                    value = attrs[name]
-                    if SEP in value or ATT in value:
-                        value = value.replace(SEP, " ").replace(ATT, " ")
-                    step += f"{ATT}{name}={value}"
         wanted = texts_in is None or (parent is not None and parent.in_wanted) or tag in texts_in
-        element = _Open(tag, pre, parent, step, texts, wanted)
+        element = _Open(tag, pre, parent, idx, attrs, texts, wanted)
         if elements is None or tag in elements:
             parent_pre = parent.pre if parent else 0
             element.row = [pre, pre, len(stack) + 1, parent_pre, "element", tag, idx, attrs.get("class"),
-                           list(attrs.items()), None, 0, element.path]
+                           list(attrs.items()), None, 0, element.path(path_attrs)]
             rows.append(element.row)
         stack.append(element)
         n_open[tag] = n_open.get(tag, 0) + 1
@@ -216,31 +216,32 @@ def page_rows(
     def start(tag: str, raw_attrs: str) -> None:
         nonlocal body_seen
         attrs = _read_attributes(raw_attrs) if raw_attrs else {}
-        if tag == "html":  # a second one is ignored
-            if not stack:
-                push(tag, attrs)
-            return
-        if pending:
+        if pending and tag != "html":
             flush()
-        if len(stack) < 3:
+        if len(stack) < 3 and tag != "html":
             ensure_place(tag)
-        if tag in ("head", "body"):
-            if len(stack) == 1 and not stack[0].seen.get(tag):
-                body_seen = body_seen or tag == "body"
-                push(tag, attrs)
-            return
-        if tag in CLOSES_P and n_open.get("p"):
-            pop_to(("p",), SCOPE)
-        if tag in AUTO_CLOSE:
-            pop_to(*AUTO_CLOSE[tag])
-        if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            pop()
-        if tag == "optgroup" and stack[-1].tag == "option":
-            pop()
-        if implied_tbody and tag in ("tr", "td", "th") and stack[-1].tag == "table":
-            push("tbody", {})
-        if tag in ("td", "th") and stack[-1].tag in ("tbody", "thead", "tfoot"):
-            push("tr", {})
+        if tag in _STRUCTURAL:
+            if tag == "html":  # a second one is ignored
+                if not stack:
+                    push(tag, attrs)
+                return
+            if tag in ("head", "body"):
+                if len(stack) == 1 and not stack[0].seen.get(tag):
+                    body_seen = body_seen or tag == "body"
+                    push(tag, attrs)
+                return
+            if tag in CLOSES_P and n_open.get("p"):
+                pop_to(("p",), SCOPE)
+            if tag in AUTO_CLOSE:
+                pop_to(*AUTO_CLOSE[tag])
+                if tag == "optgroup" and stack[-1].tag == "option":
+                    pop()
+                if implied_tbody and tag in ("tr", "td", "th") and stack[-1].tag == "table":
+                    push("tbody", {})
+                if tag in ("td", "th") and stack[-1].tag in ("tbody", "thead", "tfoot"):
+                    push("tr", {})
+            elif tag in HEADINGS and stack[-1].tag in HEADINGS:
+                pop()
         while len(stack) >= MAX_DEPTH:
             pop()
         push(tag, attrs)
@@ -260,43 +261,42 @@ def page_rows(
             start("p", "")
             pop()
 
-    at, size = 0, len(html)
+    def text(chunk: str) -> None:
+        if "&" in chunk:
+            chunk = unescape(chunk)
+        if not chunk.isspace():
+            if len(stack) < 2 or stack[-1].tag == "head":
+                flush()
+                ensure_place("")
+            pending.append(chunk)
+        elif stack:
+            pending.append(chunk)
+
+    at, size, token = 0, len(html), _TOKEN.match
     while at < size:
-        lt = html.find("<", at)
-        if lt < 0:
-            lt = size
-        if lt > at:
-            chunk = html[at:lt]
-            if "&" in chunk:
-                chunk = unescape(chunk)
-            if not chunk.isspace():
-                if len(stack) < 2 or stack[-1].tag == "head":
-                    flush()
-                    ensure_place("")
-                pending.append(chunk)
-            elif stack:
-                pending.append(chunk)
-        if lt == size:
-            break
-        mark = html[lt + 1 : lt + 2]
-        if mark in ("!", "?"):
-            flush()
-            closing, skip = ("-->", 3) if html.startswith("<!--", lt) else (">", 1)
-            stop = html.find(closing, lt + 2)
-            at = size if stop < 0 else stop + skip
-            continue
-        found = _TAG.match(html, lt)
-        if found is None:
-            if mark.isalpha() or (mark == "/" and html[lt + 2 : lt + 3].isalpha()) or (mark == "" or mark == "/"):
+        found = token(html, at)
+        chunk, slash, name, raw_attrs = found.groups()
+        at = found.end()
+        if chunk:
+            text(chunk)
+        if name is None and at < size:  # a `<` that begins no tag
+            first, second = html[at + 1 : at + 2], html[at + 2 : at + 3]
+            letter = second if first == "/" else first
+            if letter.isascii() and letter.isalpha() or first == "/" and not second:
                 break  # the page ends inside a tag
-            pending.append("<")
-            at = lt + 1
+            if first in ("!", "?", "/"):  # a comment, a declaration, or what browsers read as a comment
+                flush()
+                closing, skip = ("-->", 3) if html.startswith("<!--", at) else (">", 1)
+                stop = html.find(closing, at + 2)
+                at = size if stop < 0 else stop + skip
+            else:
+                text("<")
+                at += 1
+        if name is None:
             continue
-        slash, name, raw_attrs = found.groups()
         tag = name.lower()
         if not tag.isalnum():
             tag = _UNSAFE.sub("_", tag)
-        at = found.end()
         if slash:
             end(tag)
             continue

@@ -24,7 +24,7 @@ from ..session import shared_dir
 from . import dom
 from . import xpath as XP
 from .joins import is_small, lookup_join
-from .xpath import UnsupportedXPath, parse, steps_regex
+from .xpath import UnsupportedXPath, parse, split_regex, steps_regex
 
 _SLASH_IN_LITERAL = re.compile(r"""="[^"]*/[^"]*"|='[^']*/[^']*'|,\s*"[^"]*/[^"]*"|,\s*'[^']*/[^']*'""")
 
@@ -79,24 +79,22 @@ def _near_cells(nodes, containers, fields, keep, cells_too):
     for i, branches in enumerate(fields):
         for outer in containers:
             for branch in branches:
-                outer_regex = steps_regex(outer.steps)
                 modes = [("text", branch.text or "descendant")]
                 if cells_too:
                     modes.append(("element", None))
                 for kind, text in modes:
-                    tail_regex = steps_regex(branch.steps, text)
-                    full = steps_regex((*outer.steps, *branch.steps), text)
-                    hit = path.rlike(full)
+                    hit = path.rlike(steps_regex((*outer.steps, *branch.steps), text))
                     if cells_too:
                         hit = hit & (F.col("kind") == kind)
-                    pres = XP.heads_where(
-                        path, lambda h, t, a=outer_regex, b=tail_regex: h.rlike(a) & t.rlike(b)
-                    )
                     inside.append(hit)
-                    owned.append(F.when(hit, _owned(pres, i)).otherwise(_owned(F.array().cast("array<int>"), i)))
+                    owned.append((hit, _owned(XP.owners(path, outer.steps, branch.steps, text), i)))
     carried = [*keep, "pre", "text"]
     matching = nodes.filter(XP.any_of(inside))
-    cells = matching.select(*carried, F.explode(F.array_distinct(F.flatten(F.array(*owned)))).alias("__c"))
+    if len(owned) == 1:
+        claims = owned[0][1]
+    else:
+        claims = F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(hit, own) for hit, own in owned]))))
+    cells = matching.select(*carried, F.explode(claims).alias("__c"))
     return cells.select(*carried, "__c.container_pre", "__c.field")
 
 
@@ -112,8 +110,7 @@ def _far_cells(nodes, containers, branches, field, keep):
             if len([i for i in marks if i >= n_outer]) > 1:
                 raise UnsupportedXPath("a column path may test other nodes at one step only")
             text = branch.text or "descendant"
-            outer_regex, tail_regex = steps_regex(outer.steps), steps_regex(branch.steps, text)
-            pairs = XP.heads_where(path, lambda h, t, a=outer_regex, b=tail_regex: h.rlike(a) & t.rlike(b))
+            pairs = XP.owners(path, outer.steps, branch.steps, text)
             cells = (
                 nodes.filter((F.col("kind") == "text") & path.rlike(steps_regex(steps, text)))
                 .select(*keep, "pre", "text", "path", F.explode(pairs).alias("container_pre"))
@@ -126,9 +123,7 @@ def _far_cells(nodes, containers, branches, field, keep):
             if marks and marks[-1] >= n_outer:
                 upto = marks[-1] - n_outer + 1
                 middle, rest = branch.steps[:upto], branch.steps[upto:]
-                rest_regex = steps_regex(rest, text) if rest else r"\A"
-                middle_regex = steps_regex((*outer.steps, *middle))
-                owners = XP.heads_where(path, lambda h, t, a=middle_regex, b=rest_regex: h.rlike(a) & t.rlike(b))
+                owners = XP.owners(path, (*outer.steps, *middle), rest, text)
                 tested = XP._with_far_tests(nodes, steps[: marks[-1] + 1]).select("page_id", F.col("pre").alias("__o"))
                 cells = (
                     cells.withColumn("__o", F.explode(owners))
@@ -269,7 +264,7 @@ def concat_runs(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 RULE_PARTS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("full", "head", "tail", "leaf", "problem")]
+    [T.StructField(n, T.StringType()) for n in ("full", "head", "tail", "first", "last", "leaf", "problem")]
     + [T.StructField("attrs", T.ArrayType(T.StringType()))]
 )
 
@@ -286,10 +281,13 @@ def path_rules(container: pd.Series, relative: pd.Series) -> pd.DataFrame:
             if any(s.far_tests for s in steps):
                 raise UnsupportedXPath(f"test on other nodes in {outer_text!r} {inner_text!r}")
             text = inner.text or "descendant"
-            regexes = (steps_regex(steps, text), steps_regex(outer.steps), steps_regex(inner.steps, text))
+            regexes = (
+                steps_regex(steps, text), steps_regex(outer.steps), steps_regex(inner.steps, text),
+                split_regex(outer.steps, inner.steps, text, False), split_regex(outer.steps, inner.steps, text, True),
+            )
             rows.append((*regexes, steps[-1].tag, None, sorted(outer.attrs | inner.attrs)))
         except UnsupportedXPath as error:
-            rows.append((None, None, None, None, str(error), []))
+            rows.append((None, None, None, None, None, None, str(error), []))
     return pd.DataFrame(rows, columns=RULE_PARTS.names)
 
 
@@ -308,7 +306,7 @@ def compile_templates(templates: DataFrame) -> DataFrame:
         .withColumn("path", F.explode(S.alternatives(F.col("union"))))
         .withColumn("r", path_rules(F.col("container"), F.col("path")))
     )
-    rule = F.struct("field", *[F.col(f"r.{c}").alias(c) for c in ("full", "head", "tail", "leaf", "attrs")])
+    rule = F.struct("field", *[F.col(f"r.{c}").alias(c) for c in ("full", "head", "tail", "first", "last", "leaf", "attrs")])
     return shaped.groupBy("template_id").agg(
         F.first("domain").alias("domain"),
         F.first("titles").alias("titles"),
@@ -350,8 +348,9 @@ def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
         planned = lookup_join(sited, compiled, "domain", spread=F.col("page_id"))
         nodes = dom.dom_nodes(planned, keep=("page_id", "template_id", "titles", "rules"), **payload)
         matched = nodes.withColumn("rule", F.explode(F.filter("rules", lambda r: F.rlike(path, r["full"]))))
-    owned = XP.heads_where(
-        path, lambda h, t: F.rlike(h, F.col("rule.head")) & F.rlike(t, F.col("rule.tail"))
+    owned = XP.owners_by(
+        path, F.col("rule.first"), F.col("rule.last"),
+        lambda h, t: F.rlike(h, F.col("rule.head")) & F.rlike(t, F.col("rule.tail")),
     )
     cells = matched.select(
         "page_id", "template_id", "titles", "rule.field", "pre", "text", F.explode(owned).alias("container_pre")

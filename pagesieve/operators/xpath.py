@@ -126,7 +126,7 @@ def _quote(value: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", value)
 
 
-def _step_regex(step: Step) -> str:
+def _step_regex(step: Step, capture: bool = False) -> str:
     tag = r"[^\x1e\x1f\[]+" if step.tag == "*" else _quote(step.tag)
     index = r"\d+" if step.index is None else str(step.index)
     looks = ""
@@ -134,32 +134,48 @@ def _step_regex(step: Step) -> str:
         tail = "" if test == "has" else r"(?=[\x1e\x1f]|\z)"
         any_text = r"[^\x1e\x1f]*" if test == "has" else ""
         looks += rf"(?=[^\x1e]*\x1f{_quote(name)}={any_text}{_quote(value)}{tail})"
-    return rf"\x1e{tag}\[{index}\]@\d+{looks}[^\x1e]*+"
+    pre = r"(\d+)" if capture else r"\d+"
+    return rf"\x1e{tag}\[{index}\]@{pre}{looks}[^\x1e]*+"
 
 
 _GAP = r"(?:\x1e[^\x1e]*+)*?"
 
 
-def steps_regex(steps: tuple[Step, ...] | list[Step], text: str | None = None) -> str:
-    """Regular expression for a `path` (or the rest of one) that the steps select.
-
-    Between two `//` the earliest match is always enough, so every block but the last is atomic:
-    matching stays linear in the depth for any number of `//`.
-    """
+def _blocks(steps: tuple[Step, ...]) -> list[tuple[Step, ...]]:
+    """Runs of child steps; each but a leading absolute one starts with `//`."""
     blocks: list[list[Step]] = []
     for step in steps:
         if step.descendant or not blocks:
             blocks.append([])
         blocks[-1].append(step)
+    return [tuple(block) for block in blocks]
+
+
+def _chain(blocks: list[tuple[Step, ...]], last_is_open: bool) -> str:
+    """Between two `//` the earliest match is always enough, so every block but the last is atomic:
+    matching stays linear in the depth for any number of `//`."""
     parts = []
     for i, block in enumerate(blocks):
-        body = "".join(map(_step_regex, block))
-        if block[0].descendant:
-            body = _GAP + body
-        parts.append(body if i == len(blocks) - 1 and text != "descendant" else f"(?>{body})")
-    if text == "descendant":
-        return r"\A" + "".join(parts)
-    return r"\A" + "".join(parts) + r"\z"
+        body = ("" if not block[0].descendant else _GAP) + "".join(map(_step_regex, block))
+        parts.append(f"(?>{body})" if i < len(blocks) - 1 or last_is_open else body)
+    return "".join(parts)
+
+
+def steps_regex(steps: tuple[Step, ...], text: str | None = None) -> str:
+    """Regular expression for a `path` (or the rest of one) that the steps select."""
+    end = "" if text == "descendant" else r"\z"
+    return r"\A" + _chain(_blocks(steps), text == "descendant") + end
+
+
+def split_regex(outer: tuple[Step, ...], inner: tuple[Step, ...], text: str | None, last: bool) -> str:
+    """Captures `pre` of the first (or last) step at which a path splits into `outer` and `inner`."""
+    blocks = _blocks(outer)
+    block = blocks[-1]
+    gap = "" if not block[0].descendant else (_GAP[:-1] if last else _GAP)
+    middle = gap + "".join(_step_regex(s, capture=i == len(block) - 1) for i, s in enumerate(block))
+    end = "" if text == "descendant" else r"\z"
+    rest = _chain(_blocks(inner), text == "descendant")
+    return r"\A" + _chain(blocks[:-1], True) + middle + rest + end
 
 
 def read_alternatives(xpath: str) -> list[Location]:
@@ -200,6 +216,30 @@ def heads_where(path: Column, test) -> Column:
     return F.transform(F.filter(heads, lambda head: test(head, dom.path_tail(path, head))), dom.last_pre)
 
 
+def owners_by(path: Column, first: Column, last: Column, test) -> Column:
+    """`heads_where` for paths that split somewhere: mostly the first split is the last one, too."""
+    low = F.call_function("regexp_extract", path, first, F.lit(1))
+    high = F.call_function("regexp_extract", path, last, F.lit(1))
+    return F.when(low == high, F.array(low.cast("int"))).otherwise(heads_where(path, test))
+
+
+def owners(path: Column, outer: tuple[Step, ...], inner: tuple[Step, ...] = (), text: str | None = "descendant") -> Column:
+    """`pre` of every ancestor-or-self that `outer` selects and from which `inner` leads to the path."""
+    head, tail = steps_regex(outer), steps_regex(inner, text)
+    return owners_by(
+        path, F.lit(split_regex(outer, inner, text, False)), F.lit(split_regex(outer, inner, text, True)),
+        lambda h, t: h.rlike(head) & t.rlike(tail),
+    )
+
+
+def owners_of_any(path: Column, locations: list[Location]) -> Column:
+    """Ancestors-or-self that any of the locations selects."""
+    if len(locations) == 1:
+        return owners(path, locations[0].steps)
+    regexes = [steps_regex(loc.steps) for loc in locations]
+    return heads_where(path, lambda head, _: any_of([head.rlike(r) for r in regexes]))
+
+
 def _marked(pres: Column, vote: int) -> Column:
     return F.transform(pres, lambda p: F.struct(p.alias("pre"), F.lit(vote).alias("vote")))
 
@@ -226,7 +266,6 @@ def _with_far_tests(nodes: DataFrame, run: tuple[Step, ...]) -> DataFrame:
             votes.append(F.when(hit, F.array("parent_pre")).otherwise(none))
         elif test[0] == "exists":
             inner = test[1]
-            tail_regex = steps_regex(inner)
             if inner[-1].far_tests:
                 witness = (F.col("kind") == "text") & reduce(
                     lambda a, b: a & b, [F.col("text") == value for _, value in inner[-1].far_tests]
@@ -234,7 +273,7 @@ def _with_far_tests(nodes: DataFrame, run: tuple[Step, ...]) -> DataFrame:
             else:
                 witness = is_element
             witness = witness & path.rlike(steps_regex((*run, *inner)))
-            found = heads_where(path, lambda h, t, r=tail_regex: h.rlike(regex) & t.rlike(r))
+            found = owners(path, run, inner, None)
             votes.append(F.when(witness, found).otherwise(none))
         else:
             nths.append(test[1])
@@ -293,13 +332,11 @@ def _holding(nodes: DataFrame, xpath: str, found: DataFrame, text: str, one_pass
     locations = read_alternatives(xpath)
     path, is_text = F.col("path"), F.col("kind") == "text"
     inside = any_of([path.rlike(steps_regex(loc.steps, "descendant")) for loc in locations])
-    regexes = [steps_regex(loc.steps) for loc in locations]
-    itself = any_of([path.rlike(r) for r in regexes])
-    owners = heads_where(path, lambda head, _: any_of([head.rlike(r) for r in regexes]))
+    itself = any_of([path.rlike(steps_regex(loc.steps)) for loc in locations])
     return (
         nodes.filter(F.when(is_text, inside).otherwise(itself))
         .select(
-            "page_id", F.explode(F.when(is_text, owners).otherwise(F.array("pre"))).alias("__owner"),
+            "page_id", F.explode(F.when(is_text, owners_of_any(path, locations)).otherwise(F.array("pre"))).alias("__owner"),
             F.when(is_text, F.struct("pre", "text")).alias("__part"),
             F.when(~is_text, F.struct(*carried)).alias("__row"),
         )
@@ -332,11 +369,10 @@ def _select_far(nodes: DataFrame, loc: Location) -> DataFrame:
             kind = "text" if final_text else "element"
             found = nodes.filter((F.col("kind") == kind) & F.col("path").rlike(steps_regex(bare, final_text)))
         if done is not None:
-            head_regex, tail_regex = steps_regex(tuple(walked)), steps_regex(tuple(run), final_text)
-            owners = heads_where(F.col("path"), lambda h, t: h.rlike(head_regex) & t.rlike(tail_regex))
+            above = owners(F.col("path"), tuple(walked), tuple(run), final_text)
             context = done.select("page_id", F.col("pre").alias("__owner"))
             found = (
-                found.withColumn("__owner", F.explode(owners))
+                found.withColumn("__owner", F.explode(above))
                 .join(context, ["page_id", "__owner"], "left_semi")
                 .drop("__owner")
                 .dropDuplicates(["page_id", "pre"])
@@ -361,11 +397,9 @@ def selected_texts(nodes: DataFrame, xpath: str) -> DataFrame:
     locations = read_alternatives(xpath)
     path = F.col("path")
     inside = any_of([path.rlike(steps_regex(loc.steps, "descendant")) for loc in locations])
-    regexes = [steps_regex(loc.steps) for loc in locations]
-    owners = heads_where(path, lambda head, _: any_of([head.rlike(r) for r in regexes]))
     return (
         nodes.filter((F.col("kind") == "text") & inside)
-        .select("page_id", F.col("pre").alias("__at"), "text", F.explode(owners).alias("pre"))
+        .select("page_id", F.col("pre").alias("__at"), "text", F.explode(owners_of_any(path, locations)).alias("pre"))
         .groupBy("page_id", "pre")
         .agg(ordered_text("text", "__at").alias("string_value"))
     )

@@ -74,6 +74,11 @@ def test_whole_pages(html, expected):
         ("<h1>a<h2>b</h1>c", "h1('a') h2('b') 'c'"),
         ("<a href=x>a<a href=y>b</a>", "a('a') a('b')"),
         ("<P CLASS=big>a</P>", "p('a')"),
+        ("a </ x>b<? c >d<![CDATA[e]]>f", "'a ' 'b' 'd' 'f'"),
+        ("a <", "'a <'"),
+        ("a</", "'a'"),
+        ("<3 & <a", "'<3 & '"),
+        ("<a title=\"x>y</a> \"z\">w", "a('w')"),
     ],
 )
 def test_bodies(html, expected):
