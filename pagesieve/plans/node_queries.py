@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import selectors as S
+from ..functions.register import register
 from ..operators import dom, induce
 from ..operators import extract as E
 from ..operators import xpath as XP
 from ..session import scratch_path
-from .registry import AD, FOOTER, H1, LINKS, PARAGRAPHS, decoded, pages, query, tidied
+from .registry import AD, DOMAIN, FOOTER, H1, LINKS, PARAGRAPHS, SITE, decoded, pages, query, tidied
 
 
 def _counted(nodes):
@@ -211,3 +212,15 @@ def stored_node_table(spark, folder):
     dom.dom_nodes(pages(spark, folder)).write.parquet(path)
     nodes = spark.read.parquet(path)
     return E.extract_fields(pages(spark, folder), "//nav//li", {"link": ".//a//text()"}, nodes=nodes).select("page_id", "link")
+
+
+@query(f"""WITH {LINKS}, counts AS (SELECT page_id, count(*)::BIGINT AS n_links FROM links GROUP BY page_id)
+  SELECT page_id, {DOMAIN} AS domain, {SITE} AS site, n_links FROM pages JOIN counts USING (page_id)""")
+def sql_functions(spark, folder):
+    """The table function and scalar functions from SQL."""
+    register(spark)
+    return spark.sql(
+        """SELECT p.page_id, url_domain(first(p.url)) AS domain, registrable_domain(first(p.url)) AS site, count(*) AS n_links
+           FROM {pages} p, LATERAL dom_nodes(p.html) n WHERE n.tag = 'a' GROUP BY p.page_id""",
+        pages=pages(spark, folder),
+    )
