@@ -250,7 +250,7 @@ def missing_by_page(records: DataFrame, titles: list[str]) -> DataFrame:
 
 def in_visit_order(records: DataFrame, visits: DataFrame) -> DataFrame:
     """Records with the position of their page in a visit (`seed_id, page_seq, page_id`)."""
-    return lookup_join(records, visits, "page_id", spread=F.col("container_pre"))
+    return lookup_join(records, visits, "page_id", spread=F.col("container_pre"), probe_left=False)
 
 
 def concat_runs(first: DataFrame, *others: DataFrame) -> DataFrame:

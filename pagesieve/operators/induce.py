@@ -60,7 +60,7 @@ def capture_examples(
     )
 
 
-def locate_examples(nodes: DataFrame, examples: DataFrame) -> DataFrame:
+def locate_examples(nodes: DataFrame, examples: DataFrame, payload: tuple[str, ...] = ("path",)) -> DataFrame:
     """Elements that `examples(page_id, column_title, text)` point at: deepest match, first in the page.
 
     A text node longer than the longest example of its page is in no match, so it is dropped before
@@ -69,11 +69,11 @@ def locate_examples(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     asked = examples.withColumn("__want", X.strip(F.col("text"))).filter(F.col("__want") != "")
     by_page = asked.groupBy("page_id").agg(F.max(F.length("__want")).alias("__longest"))
     is_text = F.col("kind") == "text"
-    payload = ("last", "depth", "tag", "attrs", "path")
+    clickable = nodes.filter(F.col("path").rlike(_BELOW_CLICKABLE) & (F.col("n_text") > 0))
     offered = (
         lookup_join(
-            nodes.filter(F.col("path").rlike(_BELOW_CLICKABLE)).select("page_id", "pre", "kind", "text", "n_text", *payload),
-            by_page, "page_id", spread=F.col("pre"),
+            clickable.select("page_id", "pre", "kind", "text", "n_text", *payload), by_page, "page_id", spread=F.col("pre"),
+            probe_left=False,
         )
         .filter(~is_text | (F.length(X.strip(F.col("text"))) <= F.col("__longest")))
         .select(
@@ -92,9 +92,10 @@ def locate_examples(nodes: DataFrame, examples: DataFrame) -> DataFrame:
         .withColumn("__want", X.strip(F.col("string_value")))
     )
     found = texts.join(asked.select("page_id", "column_title", "text", "__want"), ["page_id", "__want"])
+    depth = dom.path_depth(F.col("element.path"))
     best = F.max_by(
-        F.struct("pre", *[F.col(f"element.{c}").alias(c) for c in payload], "string_value"),
-        F.struct("element.depth", -F.col("pre")),
+        F.struct("pre", depth.alias("depth"), *[F.col(f"element.{c}").alias(c) for c in payload], "string_value"),
+        F.struct(depth, -F.col("pre")),
     )
     chosen = found.groupBy("page_id", "column_title", "text").agg(best.alias("e"))
     return chosen.select("page_id", "column_title", "text", "e.*")
@@ -135,7 +136,7 @@ def induce_next_selector(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     Every step but html and body gets the first that applies of: id; on the leaf rel=next, text,
     label, aria-label; else its classes (on the leaf with those of its children and grandchildren).
     """
-    chosen = locate_examples(nodes, examples)
+    chosen = locate_examples(nodes, examples, ("path", "attrs"))
     inside = (
         nodes.select("page_id", "pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path")
         .select("*", F.explode(clickable_pres(F.col("path"))).alias("__owner"))

@@ -49,17 +49,24 @@ def _salted(table: DataFrame, spread: Column, mine: Column, theirs: Column, own:
     return table.withColumn("__salt", F.explode(salts))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", spread: Column | None = None) -> DataFrame:
+def lookup_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", spread: Column | None = None, probe_left: bool = True
+) -> DataFrame:
     """Join a long `left` to a shorter `right`.
 
     `right` is broadcast only after a check of its size. Beyond that both sides are shuffled; the rows
     of a hot key are then spread over `SALTS` tasks and the matching rows of the other side repeated
     for each, which leaves the result the same. `spread` varies within a hot key of `left`. For joins
     other than inner, `right` has one row per key, so only `left` can be hot.
+
+    Finding hot keys reads the keys of a side once more. `probe_left=False` leaves that out where
+    `left` is costly to compute; skewed partitions of it are then split by adaptive execution.
     """
     if is_small(right):
         return left.join(F.broadcast(right), key, how)
-    hot_left = [] if is_small(left.select(key), SMALL_LEFT, 1 << 40) else hot_keys(left.select(key), key)
+    hot_left = []
+    if probe_left and not is_small(left.select(key), SMALL_LEFT, 1 << 40):
+        hot_left = hot_keys(left.select(key), key)
     hot_right = []
     if how == "inner" and not is_small(right.select(key), SMALL_LEFT, 1 << 40):
         hot_right = hot_keys(right.select(key), key)

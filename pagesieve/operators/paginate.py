@@ -41,9 +41,11 @@ def next_links(pages: DataFrame, next_xpath: str) -> DataFrame:
 
 def page_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, next_id): links whose target is in the page table; of pages with one address the first."""
+    shared_dir(pages.sparkSession)
     targets = pages.groupBy(address_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("next_id"))
     aimed = links.select("page_id", U.resolve(F.col("href"), F.col("url")).alias("key"))
-    return lookup_join(aimed, targets, "key", spread=F.col("page_id")).select("page_id", "next_id")
+    # written once: looking for hot targets and joining would each tokenise the pages again
+    return lookup_join(aimed.checkpoint(), targets, "key", spread=F.col("page_id")).select("page_id", "next_id")
 
 
 def follow(

@@ -93,7 +93,7 @@ _CLICKED = f"""ads AS (SELECT page_id, trim({AD}) AS ad FROM pages WHERE {AD} NO
   FROM clicked""")
 def induced_selectors(spark, folder):
     """Examples to selectors. An example cleaned of a line break no longer equals its cell."""
-    nodes = dom.dom_nodes(pages(spark, folder))
+    nodes = dom.dom_nodes(pages(spark, folder), columns=("pre", "kind", "text", "n_text", "path"))
     return induce.induce_selectors(nodes, _examples(spark, folder)).drop("pre")
 
 
@@ -103,7 +103,10 @@ def induced_selectors(spark, folder):
     WHEN n = 0 THEN 'article/h1' ELSE 'article/p' END || '[text()="' || ad || '"]' FROM clicked""")
 def induced_next_selectors(spark, folder):
     """P8"""
-    nodes = dom.dom_nodes(pages(spark, folder))
+    nodes = dom.dom_nodes(
+        pages(spark, folder),
+        columns=("pre", "parent_pre", "depth", "kind", "tag", "cls", "attrs", "text", "n_text", "path"),
+    )
     return induce.induce_next_selector(nodes, _examples(spark, folder)).select("page_id", "column_title", "xpath")
 
 
