@@ -94,8 +94,10 @@ def parse(xpath: str) -> Location:
                 else:
                     far.append(("nth", int(test)))
             elif m := _HAS.match(test):
-                near.append((m[1].lower(), "has", m[2] or m[3] or ""))
-                attrs.add(m[1].lower())
+                value = m[2] or m[3]
+                if value:  # every text contains the empty one
+                    near.append((m[1].lower(), "has", value))
+                    attrs.add(m[1].lower())
             elif m := _IS.match(test):
                 near.append((m[1].lower(), "is", m[2] or m[3] or ""))
                 attrs.add(m[1].lower())
@@ -179,7 +181,10 @@ def split_regex(outer: tuple[Step, ...], inner: tuple[Step, ...], text: str | No
 
 
 def read_alternatives(xpath: str) -> list[Location]:
-    return [parse(part) for part in split_union(xpath)]
+    parts = split_union(xpath)
+    if not parts:
+        raise UnsupportedXPath("empty path")
+    return [parse(part) for part in parts]
 
 
 def needs(locations: list[Location]) -> tuple[set[str], set[str], tuple[str, ...]]:

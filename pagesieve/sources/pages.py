@@ -33,7 +33,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def pages_from_html(spark: SparkSession, htmls: list[str], url: str = "http://localhost/") -> DataFrame:
     """A handful of pages already in memory, such as the one a user looks at."""
-    return spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], PAGE_SCHEMA)
+    return spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], PAGE_SCHEMA).coalesce(1)
 
 
 def stream_pages(

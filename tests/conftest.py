@@ -11,7 +11,7 @@ from pagesieve.sources.pages import pages_from_html  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(8)
+    session = build_session(8, shuffle_partitions=4)
     yield session
     session.stop()
 

@@ -126,6 +126,11 @@ def test_duplicate_titles_are_rejected():
         E.record_schema(["a", "a"])
 
 
+def test_path_without_a_container(pages):
+    with pytest.raises(E.UnsupportedXPath, match="empty"):
+        E.extract(pages("<div>x"), {"a": "//div/"})
+
+
 def test_same_path_in_two_columns(pages):
     assert rows(E.extract(pages("<li>x</li>"), {"a": "//li", "b": "//li"}), "a", "b") == [("x", "x")]
 

@@ -25,7 +25,7 @@ def walk(rows, xpath):
         return (
             step.tag in ("*", r[AT["tag"]])
             and step.index in (None, r[AT["idx"]])
-            and all((v in attrs.get(n, "\0")) if t == "has" else attrs.get(n) == v for n, t, v in step.attr_tests)
+            and all((v in attrs.get(n, "")) if t == "has" else attrs.get(n) == v for n, t, v in step.attr_tests)
         )
 
     def far(r, test):
@@ -70,7 +70,7 @@ PATHS = [
     "//li[2]", "//tr//td[1]", '//div[contains(@class, "1")]//a', '//p[@class="c2"]', "//b[1][contains(@class, 'c')]",
     "//div//ul/li//b", "/html/body//a/text()", "//h1 | //td//text() | //a", '//p[text()="x"]', '//li[text()="x"]//b',
     "//div[.//b]", '//div[.//p[text()="x"]]', '//ul[.//li/b]//li', '//div[.//b]//p[text()="x"]//text()',
-    "//div[contains(@class, 'c')][2]", '//p[text()="x"][1]', "//table//tr/td", "//div//p/b",
+    "//div[contains(@class, 'c')][2]", '//p[text()="x"][1]', "//table//tr/td", "//div//p/b", '//div[contains(@class, "")]',
 ]
 
 
@@ -80,7 +80,7 @@ def corpus(spark):
 
     rng = random.Random(11)
     htmls = ["".join(random_page(rng) for _ in range(rng.randint(1, 8))) for _ in range(250)]
-    nodes = dom.dom_nodes(pages_from_html(spark, htmls)).cache()
+    nodes = dom.dom_nodes(pages_from_html(spark, htmls).repartition(8)).cache()
     return htmls, nodes
 
 
