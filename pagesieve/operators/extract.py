@@ -315,9 +315,15 @@ def compile_templates(templates: DataFrame) -> DataFrame:
     )
 
 
-def _names(rules: DataFrame, names: Column) -> set[str]:
-    """Distinct tag or attribute names over all rules."""
-    return {r[0] for r in rules.select(F.explode(names).alias("n")).distinct().collect()}
+def _names(compiled: DataFrame) -> tuple[set[str], set[str]]:
+    """Tags that field texts lie below, and attributes tested, over all rules."""
+    def marked(names: Column, kind: str) -> Column:
+        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
+
+    leaves = marked(F.transform("rules", lambda r: r["leaf"]), "leaf")
+    attrs = marked(F.flatten(F.transform("rules", lambda r: r["attrs"])), "attr")
+    rows = compiled.select(F.explode(F.concat(leaves, attrs)).alias("n")).select("n.kind", "n.name").distinct().collect()
+    return {r.name for r in rows if r.kind == "leaf"}, {r.name for r in rows if r.kind == "attr"}
 
 
 def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -329,8 +335,7 @@ def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """
     shared_dir(pages.sparkSession)
     compiled = compile_templates(templates).filter(F.col("problem") == "").drop("problem").checkpoint()
-    leaves = _names(compiled, F.transform("rules", lambda r: r["leaf"]))
-    attrs = _names(compiled, F.flatten(F.transform("rules", lambda r: r["attrs"])))
+    leaves, attrs = _names(compiled)
     slim = F.transform("rules", lambda r: r.dropFields("leaf", "attrs"))
     compiled = compiled.withColumn("rules", slim)
     sited = pages.select("page_id", "html", U.domain(F.col("url")).alias("domain"))

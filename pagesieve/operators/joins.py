@@ -50,7 +50,8 @@ def _salted(table: DataFrame, spread: Column, mine: Column, theirs: Column, own:
 
 
 def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner", spread: Column | None = None, probe_left: bool = True
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", spread: Column | None = None,
+    probe_left: bool = True, small: bool | None = None,
 ) -> DataFrame:
     """Join a long `left` to a shorter `right`.
 
@@ -61,8 +62,9 @@ def lookup_join(
 
     Finding hot keys reads the keys of a side once more. `probe_left=False` leaves that out where
     `left` is costly to compute; skewed partitions of it are then split by adaptive execution.
+    `small` is the outcome of the size check where the caller has made it.
     """
-    if is_small(right):
+    if is_small(right) if small is None else small:
         return left.join(F.broadcast(right), key, how)
     hot_left = []
     if probe_left and not is_small(left.select(key), SMALL_LEFT, 1 << 40):

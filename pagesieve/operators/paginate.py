@@ -9,10 +9,9 @@ from ..functions import urls as U
 from ..session import scratch_path, shared_dir
 from . import dom
 from . import xpath as XP
-from .joins import lookup_join
+from .joins import is_small, lookup_join
 
 SAFETY_CAP = 10_000
-COMPACT_EVERY = 16
 
 
 def address_key(url):
@@ -48,6 +47,9 @@ def page_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     return lookup_join(aimed.checkpoint(), targets, "key", spread=F.col("page_id")).select("page_id", "next_id")
 
 
+VISIT_SCHEMA = "seed_id long, page_seq int, page_id long, moved boolean"
+
+
 def follow(
     seeds: DataFrame, edges: DataFrame | list[DataFrame], max_pages: int | None = None
 ) -> DataFrame:
@@ -55,49 +57,47 @@ def follow(
 
     With one edge table a chain ends at a page without link, at a page it has been to, or at
     `max_pages`. With a list, round r follows the r-th table once; a page without that link stays
-    where it is and goes on with the next table (G2). Each round is a join of the current pages with
-    the edges; the rounds are written to the shared folder, which also cuts the lineage.
+    where it is and goes on with the next table (G2). Each round joins the pages reached last with
+    the edges and is written to the shared folder. The next round starts from there, so plans do not
+    grow and a lost executor costs no finished round.
     """
     spark = seeds.sparkSession
     shared_dir(spark)
     listed = isinstance(edges, list)
-    if listed:
-        tables, rounds = [e.checkpoint() for e in edges], len(edges)
-    else:
-        tables, rounds = [edges.checkpoint()], (max_pages or SAFETY_CAP + 1) - 1
+    tables = [e.checkpoint() for e in (edges if listed else [edges])]
+    small = [is_small(t) for t in tables]
+    rounds = len(tables) if listed else (max_pages or SAFETY_CAP + 1) - 1
     out = scratch_path(spark, "visits")
-    frontier = seeds.select(
-        F.col("page_id").alias("seed_id"), F.lit(1).alias("page_seq"), F.col("page_id")
-    ).checkpoint()
-    frontier.write.parquet(out)
-    visited = frontier.select("seed_id", "page_id")
-    for r in range(rounds):
-        moved = lookup_join(frontier, tables[r if listed else 0], "page_id", "left" if listed else "inner", F.col("seed_id"))
-        if listed:
-            stays = F.col("next_id").isNull()
-            moved = moved.select(
-                "seed_id",
-                (F.col("page_seq") + F.when(stays, 0).otherwise(1)).alias("page_seq"),
-                F.coalesce("next_id", "page_id").alias("page_id"),
-                (~stays).alias("moved"),
-            )
-        else:
-            moved = moved.select(
-                "seed_id", (F.col("page_seq") + 1).alias("page_seq"), F.col("next_id").alias("page_id")
-            ).join(visited, ["seed_id", "page_id"], "left_anti").select("seed_id", "page_seq", "page_id")
-        moved = moved.checkpoint()
-        if moved.isEmpty():
+
+    def reached(r: int) -> DataFrame:
+        return spark.read.schema(VISIT_SCHEMA).parquet(f"{out}/round={r}")
+
+    def visits() -> DataFrame:
+        return spark.read.schema(VISIT_SCHEMA).parquet(out).filter("moved").select("seed_id", "page_seq", "page_id")
+
+    start = seeds.select(F.col("page_id").alias("seed_id"), F.lit(1).alias("page_seq"), "page_id", F.lit(True).alias("moved"))
+    start.write.mode("overwrite").parquet(f"{out}/round=0")
+    for r in range(1, rounds + 1):
+        n = r - 1 if listed else 0
+        joined = lookup_join(
+            reached(r - 1), tables[n], "page_id", "left" if listed else "inner", F.col("seed_id"), small=small[n]
+        )
+        goes = F.col("next_id").isNotNull()
+        here = joined.select(
+            "seed_id",
+            (F.col("page_seq") + goes.cast("int")).alias("page_seq"),
+            F.coalesce("next_id", "page_id").alias("page_id"),
+            goes.alias("moved"),
+        )
+        if not listed:
+            here = here.join(visits().select("seed_id", "page_id"), ["seed_id", "page_id"], "left_anti").select(*here.columns)
+        here.write.mode("overwrite").parquet(f"{out}/round={r}")
+        if reached(r).isEmpty():
             break
-        new = moved.filter("moved").drop("moved") if listed else moved
-        new.write.mode("append").parquet(out)
-        frontier = moved.drop("moved")
-        visited = visited.unionByName(new.select("seed_id", "page_id"))
-        if (r + 1) % COMPACT_EVERY == 0:
-            visited = visited.checkpoint()
     else:
         if not listed and max_pages is None:
             raise RuntimeError(f"a chain is longer than {SAFETY_CAP} pages; give max_pages")
-    return spark.read.schema("seed_id long, page_seq int, page_id long").parquet(out)
+    return visits()
 
 
 def page_chain(
