@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -22,8 +22,8 @@ SETTINGS = {
 }
 
 
-def build_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Local session for tests and the benchmark."""
+def build_session(cores: str | int = "*", shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """Local session for tests and the benchmark; `shared` is the folder of intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("pagesieve")
@@ -31,6 +31,8 @@ def build_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -45,20 +47,29 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: `spark.checkpoint.dir`.
+    """Folder every executor can reach: `spark.checkpoint.dir`, else one in the session's warehouse.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    A session with executors on other machines must name a folder that all of them see: there, a
+    warehouse on the driver's own disk is refused.
     """
     conf = spark.sparkContext.getConf()
     named = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = tempfile.mkdtemp(prefix="pagesieve-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        named = fallback_folder(conf.get("spark.master", ""), warehouse)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def fallback_folder(master: str, warehouse: str) -> str:
+    """Folder for intermediate tables where the session names none."""
+    on_own_disk = warehouse.startswith(("file:", "/"))
+    if on_own_disk and not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse.rstrip('/')}/_intermediate"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

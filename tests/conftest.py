@@ -10,8 +10,8 @@ from pagesieve.sources.pages import pages_from_html  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session(8, shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = build_session(8, shuffle_partitions=4, shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pagesieve.plans import QUERIES
 from pagesieve.operators import extract as E
 from pagesieve.sources.pages import read_pages
 from tests.compare import difference
@@ -11,7 +12,7 @@ from tests.compare import difference
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
     sql = entry.oracle_sql()
     assert name in sql

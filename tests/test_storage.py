@@ -235,3 +235,13 @@ def test_streamed_status_equals_batch(spark, tmp_path):
     batch = events(spark, *log).join(known, "run_id", "left_semi")
     want = R.latest_status(batch).select("run_id", "status", "file_name")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_folder_of_intermediate_tables():
+    from pagesieve.session import fallback_folder
+
+    assert fallback_folder("local[8]", "file:/w").startswith("file:/w/")
+    assert fallback_folder("yarn", "hdfs://store/w").startswith("hdfs://store/w/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            fallback_folder(master, "file:/w")
