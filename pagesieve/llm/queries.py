@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sharding
+from . import language_id, quality_classifier, quality_rules, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def query(run):
     return run
 
 
+@query
+def op3_compression_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's language by compressed size, and whether the margin is wide enough."""
+    return language_id.label(table(spark, folder, "documents"))
+
+
+@query
+def op5_boosted_tree_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's quality score from boosted trees."""
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op9_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of 16, its slot there, and its shard if there were 17."""
