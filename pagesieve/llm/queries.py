@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules, sharding
+from . import language_id, packing, quality_classifier, quality_rules, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,15 @@ def query(run):
     return run
 
 
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+@query
+def op2_url_likelihood_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's address under the rules, else under two character models."""
+    return url_filter.judge(table(spark, folder, "pages"), RULES)
+
+
 @query
 def op3_compression_language(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's language by compressed size, and whether the margin is wide enough."""
@@ -31,6 +41,12 @@ def op5_boosted_tree_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op7_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4096 tokens."""
+    return packing.pack(packing.pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 @query
 def op9_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of 16, its slot there, and its shard if there were 17."""
