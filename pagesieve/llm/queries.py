@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, quality_classifier, quality_rules, sharding, url_filter
+from . import fingerprints, language_id, packing, quality_classifier, quality_rules, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op3_compression_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.label(table(spark, folder, "documents"))
 
 
+@query
+def op4_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how alike they and the next one are."""
+    return fingerprints.compare_edited(table(spark, folder, "documents"))
+
+
 @query
 def op5_boosted_tree_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's quality score from boosted trees."""
