@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, packing, quality_classifier, quality_rules, sharding, url_filter
+from . import fingerprints, jaccard_join, language_id, packing, quality_classifier, quality_rules, segmentation, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,12 +47,24 @@ def op5_boosted_tree_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's class of equal texts, its links to other classes and its group."""
+    return jaccard_join.near_duplicates(table(spark, folder, "documents"))
+
+
 @query
 def op7_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 4096 tokens."""
     return packing.pack(packing.pieces(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+@query
+def op8_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids under merge-dropout, and whether they decode to it."""
+    return segmentation.encode(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def op9_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's shard of 16, its slot there, and its shard if there were 17."""
