@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, whole_text
 from .components import components
+from .words import mixed, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -31,47 +32,22 @@ TILE = 256  # classes compared at once with as many others
 WHOLE = 4096  # members up to which all tiles of a component are paired; beyond it, those of each band
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
 
 
 def _hash_family() -> tuple[np.ndarray, np.ndarray]:
-    seeds = _mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
+    seeds = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
     return seeds[:HASHES].astype(np.uint32) | np.uint32(1), seeds[HASHES:].astype(np.uint32)
 
 
-def words_of(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of every word in the bytes of a text."""
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    solid = ~_BLANK[data]
-    change = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
-    starts, ends = change[::2], change[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    # sum of (byte + 1) * odd^place over the word, shifted to place 0 by the inverse of odd^start
-    powers = np.multiply.accumulate(np.full(len(data), _ODD, np.uint64))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
-    back = np.multiply.accumulate(np.full(len(data), _INVERSE, np.uint64))
-    return _mixed((sums[ends] - sums[starts]) * back[starts])
-
-
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """Sorted set of hashes of a text's word n-grams. Fewer words than n make one n-gram; none, none."""
-    w = words_of(np.frombuffer(text or b"", np.uint8))
+    w = word_hashes(text or b"")
     if not len(w):
         return w
     n = min(words, len(w))
     total = np.full(len(w) - n + 1, np.uint64(n))
     for i in range(n):
-        total = _mixed(total + w[i:len(w) - n + 1 + i])
+        total = mixed(total + w[i:len(w) - n + 1 + i])
     return np.unique(total)
 
 
@@ -89,7 +65,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     parts = sig.reshape(*sig.shape[:-1], BANDS, BAND).astype(np.uint64)
     key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:-1]).copy()
     for i in range(BAND):
-        key = _mixed(key * _ODD + parts[..., i] + np.uint64(1))
+        key = mixed(key * _ODD + parts[..., i] + np.uint64(1))
     return key
 
 
@@ -301,5 +277,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     return rows.select("key", "h1", "h2").join(full, ["h1", "h2"]).select(F.col("key").alias(key), "class_id", "n_copies", "n_links", "group_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each group, with all its columns: that with the group's least key.
+
+    Rows equal in key and text count as one document. Documents without a key are kept: nothing tells
+    which of them would stand for a group.
+    """
+    groups = near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, threshold)
+    chosen = groups.filter(F.col(key) == F.col("group_id")).select(F.col(key).alias("__kept")).distinct()
+    named = docs.filter(F.col(key).isNotNull()).join(chosen, F.col(key) == F.col("__kept"), "left_semi")
+    return named.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["node", "links", "anchor"])

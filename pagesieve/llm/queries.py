@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, packing, quality_classifier, quality_rules, segmentation, sharding, url_filter
+from . import fingerprints, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, segmentation, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,12 @@ def query(run):
     return run
 
 
+@query
+def op1_trie_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's score under the bigram model of the training folds, and under word counts alone."""
+    return lm_scoring.score_held_out(table(spark, folder, "documents"))
+
+
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
