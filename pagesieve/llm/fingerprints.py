@@ -38,8 +38,10 @@ def total(pieces: Column) -> Column:
     def lanes(hashes: Column) -> Column:
         return F.transform(words, lambda s: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftright", h, s).bitwiseAND(F.lit(HALF))))
 
-    hashed = (F.transform(pieces, lambda p, seed=seed: F.xxhash64(F.lit(seed), p)) for seed in SEEDS)
-    return F.concat(F.array(F.size(pieces).cast("long")), *(lanes(h) for h in hashed))
+    def hashes_of(seed: int) -> Column:
+        return F.transform(pieces, lambda p: F.xxhash64(F.lit(seed), p))
+
+    return F.concat(F.array(F.size(pieces).cast("long")), *(lanes(hashes_of(seed)) for seed in SEEDS))
 
 
 def fingerprint(text: Column) -> Column:
