@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -117,34 +119,80 @@ def layout(counts: dict[int, int], size: int = SIZE) -> Layout:
     return Layout(first_of, *np.array(sorted(runs), np.int64).reshape(-1, 4).T)
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """`key`, piece, start, length, ids_crc32: every text as ids and an end, cut only when longer than size.
+#: Letters that lower-case one to one and are already composed, then marks that belong to no contraction.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-;=-@\[-`{-~]*)")
+_DIGIT = re.compile(r"[0-9]")
+
+
+class Words:
+    """Ids of words, as little-endian unsigned 32-bit numbers, looked up where a word has come before.
 
-    The tokenizer drops white space and joins nothing across it, so ids are looked up word by word;
-    a word is tokenised once per task. Null texts are empty: their one piece is the end alone.
+    The tokenizer drops white space and joins nothing across it, and takes letters and the marks behind
+    them apart. So a run of letters is tokenised once for all its spellings with capitals and marks, many
+    runs in one call; their ids are told apart by the pieces that end a word. All else goes word by word.
     """
-    kind = docs.schema[key].dataType.simpleString()
 
-    def cut(batches):
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = Tokenizer.from_file(tokenizer)
-        known: dict[bytes, bytes] = {}
+        self.coder = Tokenizer.from_file(path)
+        vocabulary = self.coder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.coder.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, "<u4") for f in found]
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.runs) > CACHED_WORDS:
+            self.runs = {"": b""}
+        split, whole = [], []
+        for word in words:
+            text = word.decode()
+            match = _SIMPLE.fullmatch(text)
+            if match and not _DIGIT.search(match[2]):
+                split.append((word, match[1].lower(), match[2]))
+            else:
+                whole.append((word, text))
+        marks = list({m for _, _, m in split if m not in self.runs})
+        self.runs.update(zip(marks, (ids.tobytes() for ids in self._encoded(marks)), strict=True))
+        new = list({letters for _, letters, _ in split if letters not in self.runs})
+        lines = [new[i:i + 64] for i in range(0, len(new), 64)]
+        for line, ids in zip(lines, self._encoded([" ".join(line) for line in lines]), strict=True):
+            data, bounds = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            self.runs.update((run, data[a:b]) for run, (a, b) in zip(line, pairwise(bounds), strict=True))
+        self.known.update((word, self.runs[letters] + self.runs[m]) for word, letters, m in split)
+        self.known.update((word, ids.tobytes()) for (word, _), ids in zip(whole, self._encoded([t for _, t in whole]), strict=True))
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of whole texts, each with its end."""
+        split = [t.split() if t else [] for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(new) + len(self.known) > CACHED_WORDS:
+            self.known, new = {}, set().union(*split)
+        self.learn(list(new))
         end = np.array([END], "<u4").tobytes()
+        return [b"".join([self.known[w] for w in words]) + end for words in split]
+
+
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+    """`key`, piece, start, length, ids_crc32: every text as ids and an end, cut only when longer than size.
+
+    Null texts are empty: their one piece is the end alone. Repeated rows each give their pieces.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def cut(batches):
+        coder = Words(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                if len(known) > CACHED_WORDS:
-                    known = {}
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 out: list[tuple] = []
-                for row, data in enumerate(batch.column(1).to_pylist()):
-                    words = data.split() if data else []
-                    new = list({w for w in words if w not in known})
-                    if new:
-                        found = coder.encode_batch([w.decode() for w in new], add_special_tokens=False)
-                        known.update((w, np.array(f.ids, "<u4").tobytes()) for w, f in zip(new, found, strict=True))
-                    ids = b"".join([known[w] for w in words]) + end
+                for row, ids in enumerate(coder.ids(batch.column(1).to_pylist())):
                     for n, start in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[start:start + 4 * size]
                         out.append((row, n, start // 4, len(part) // 4, zlib.crc32(part)))
