@@ -80,8 +80,8 @@ def common_container(xpaths: Column) -> Column:
 
 
 def alternatives(xpath: Column) -> Column:
-    """The parts of `a | b`."""
-    return F.split(xpath, r" \| ")
+    """The parts of `a | b` or `a|b`; a bar inside a literal does not split."""
+    return F.split(xpath, r"""\s*\|\s*(?=(?:[^"']|"[^"]*"|'[^']*')*\z)""")
 
 
 def all_alternatives(xpaths: Column) -> Column:

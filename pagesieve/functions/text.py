@@ -35,6 +35,11 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def collapse(text: Column) -> Column:
+    """Text as it is shown: runs of white space are one blank, none at the ends."""
+    return strip(F.regexp_replace(text, f"[{WHITE_SPACE}]+", " "))
+
+
 def tidy(text: Column) -> Column:
     """T1 without the decoding step: all inside the JVM."""
     flat = F.replace(F.translate(text, "\r\t\n", ""), F.lit("  "), F.lit(" "))

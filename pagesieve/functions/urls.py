@@ -36,7 +36,7 @@ def normalise_address(typed: Column, search_prefix: str = SEARCH_PREFIX) -> Colu
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute address of a link found on page `base` (RFC 3986, without `.`/`..` segments inside the path)."""
+    """Absolute address of a link found on page `base` (RFC 3986), without its fragment."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1)
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     no_fragment = F.substring_index(base, "#", 1)
@@ -45,11 +45,28 @@ def resolve(href: Column, base: Column) -> Column:
         F.regexp_replace(no_query, r"[^/]*$", "")
     )
     link = F.substring_index(F.trim(href), "#", 1)
-    return (
+    return without_dots(
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(F.startswith(link, F.lit("//")), F.concat(scheme, link))
         .when(F.startswith(link, F.lit("/")), F.concat(site, link))
         .when(F.startswith(link, F.lit("?")), F.concat(no_query, link))
         .when(link == "", no_fragment)
-        .otherwise(F.concat(folder, F.regexp_replace(link, r"^(\./)+", "")))
+        .otherwise(F.concat(folder, link))
     )
+
+
+def without_dots(url: Column) -> Column:
+    """An address whose path has no `.` and `..` segments; one that leads above the root stays there."""
+    site = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)(/[^?#]*)", 1)
+    path = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)(/[^?#]*)", 2)
+    rest = F.substring(url, F.length(site) + F.length(path) + 1, F.length(url))
+    # `.` and `..` at the end name a folder
+    segments = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+
+    def walk(done: Column, segment: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(segment == "..", up).when(segment == ".", done).otherwise(F.concat(done, F.array(segment)))
+
+    # the first segment is the empty one in front of the root and stays
+    walked = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), walk)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(site, F.array_join(walked, "/"), rest)).otherwise(url)

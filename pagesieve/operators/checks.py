@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..session import shared_dir
 from . import dom
 from . import xpath as XP
-from .joins import lookup_join
 
 
 def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """Q1: (page_id, title) for which no selected element contains the cleaned example text.
+    """Q1: (page_id, title) for which no selected element contains the example text, both as they are shown.
 
     `examples` maps titles to (path, example text).
     """
@@ -41,10 +39,10 @@ def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]])
         .groupBy("page_id", F.col("o.vote").alias("n"), F.col("o.pre").alias("pre"))
         .agg(XP.ordered_text("text", "__at").alias("value"))
     )
-    wanted = F.element_at(F.array(*[X.tidy(F.lit(html.unescape(text))) for _, text in examples.values()]), F.col("n") + 1)
+    wanted = F.element_at(F.array(*[X.collapse(F.lit(html.unescape(text))) for _, text in examples.values()]), F.col("n") + 1)
     decoded = F.coalesce(X.html_unescape(F.when(F.contains("value", F.lit("&")), F.col("value"))), F.col("value"))
     found = (
-        values.filter(F.contains(decoded, wanted))
+        values.filter(F.contains(X.collapse(decoded), wanted))
         .select("page_id", F.element_at(F.array(*map(F.lit, titles)), F.col("n") + 1).alias("title"))
         .distinct()
     )
@@ -95,10 +93,9 @@ def page_flags(pages: DataFrame) -> DataFrame:
 def without_challenges(pages: DataFrame) -> DataFrame:
     """Pages that are not challenge pages."""
     nodes = dom.dom_nodes(pages, elements={"iframe"}, texts_in=set(), path_attrs=(), columns=("attrs",))
-    shared_dir(pages.sparkSession)
     challenged = nodes.filter(F.try_element_at("attrs", F.lit("title")) == "reCAPTCHA").select("page_id").distinct()
-    # written once: the size check and the join both read it, and a short list spares moving the pages
-    return lookup_join(pages, challenged.checkpoint(), "page_id", "left_anti")
+    # one row per page on either side: nothing is hot, and what is kept is decided at run time
+    return pages.join(challenged, "page_id", "left_anti")
 
 
 def page_growth(pages: DataFrame, records: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 SEP = "\x1e"
 ATT = "\x1f"
 
-# attributes written into `path` unless the caller asks for others
+# attributes that the induction of selectors reads off `path`
 PATH_ATTRS = ("class", "id")
 
 # HTML element classes of the HTML standard.
@@ -55,8 +55,8 @@ AUTO_CLOSE = {
 }
 # start tags that may end other elements or open missing ones; all others just open
 _STRUCTURAL = CLOSES_P | frozenset(AUTO_CLOSE) | {"html", "head", "body", "frameset"}
-# Browsers attach anything nested deeper than this to the element at the limit, so no text is lost.
-MAX_DEPTH = 512
+# an Arrow batch ends after so many nodes or characters of their paths and texts, also within a page
+BATCH_NODES, BATCH_CHARS = 16_384, 1 << 26
 
 # text up to a tag, and the tag if it is one: text, slash, name, attributes
 _TOKEN = re.compile(
@@ -116,23 +116,31 @@ class _Open:
         self.seen: dict[str, int] = {}
         self._path = self.row = None
 
-    def path(self, names: tuple[str, ...]) -> str:
-        """Written only for elements that something is emitted from."""
-        if self._path is None:
-            step = f"{SEP}{self.tag}[{self.idx}]@{self.pre}"
-            if self.attrs:
-                for name in names:
-                    if name in self.attrs:
-                        step += f"{ATT}{name}={self.attrs[name].replace(SEP, ' ').replace(ATT, ' ')}"
-            self._path = self.parent.path(names) + step if self.parent else step
-        return self._path
+    def path(self, names: tuple[str, ...] | None) -> str:
+        """Written only for elements that something is emitted from; from the outermost new one inwards, at any depth."""
+        new, element = [], self
+        while element is not None and element._path is None:
+            new.append(element)
+            element = element.parent
+        above = element._path if element is not None else ""
+        for element in reversed(new):
+            above = element._path = above + element.step(names)
+        return above
+
+    def step(self, names: tuple[str, ...] | None) -> str:
+        step = f"{SEP}{self.tag}[{self.idx}]@{self.pre}"
+        if self.attrs:
+            for name in self.attrs if names is None else names:
+                if name in self.attrs:
+                    step += f"{ATT}{name}={self.attrs[name].replace(SEP, ' ').replace(ATT, ' ')}"
+        return step
 
 
 def page_rows(
     html: str,
     elements: frozenset[str] | None,
     texts_in: frozenset[str] | None,
-    path_attrs: tuple[str, ...] = PATH_ATTRS,
+    path_attrs: tuple[str, ...] | None = PATH_ATTRS,
     implied_tbody: bool = True,
 ) -> list[list]:
     """Node rows of one page. `None` means "all"; an empty set means "none"."""
@@ -242,8 +250,6 @@ def page_rows(
                     push("tr", {})
             elif tag in HEADINGS and stack[-1].tag in HEADINGS:
                 pop()
-        while len(stack) >= MAX_DEPTH:
-            pop()
         push(tag, attrs)
         if tag in VOID:
             pop()
@@ -318,7 +324,7 @@ def dom_nodes(
     *,
     elements: set[str] | None = None,
     texts_in: set[str] | None = None,
-    path_attrs: tuple[str, ...] = PATH_ATTRS,
+    path_attrs: tuple[str, ...] | None = None,
     columns: tuple[str, ...] = NODE_COLUMNS,
     keep: tuple[str, ...] = ("page_id",),
     html: str = "html",
@@ -328,7 +334,8 @@ def dom_nodes(
 
     `elements` limits the element rows to these tags, `texts_in` the text rows to those below one of
     these tags, `columns` and `path_attrs` the payload: column pruning cannot see into a Python
-    stage, so callers name what they read. Numbering (`pre`, `idx`, ...) is unaffected. `keep` are
+    stage, so callers name what they read. Without `path_attrs` a path has all attributes, so any test
+    can be made on a table that is kept. Numbering (`pre`, `idx`, ...) is unaffected. `keep` are
     page columns repeated on every node.
     """
     wanted = [name for name in NODE_COLUMNS if name in columns]
@@ -348,6 +355,7 @@ def dom_nodes(
             kept = batch.select(list(keep))
             owners: list[int] = []
             rows: list[list] = []
+            chars = 0
 
             def pack() -> pa.RecordBatch:
                 arrays = kept.take(pa.array(owners, pa.int32())).columns
@@ -358,12 +366,13 @@ def dom_nodes(
                 page = text.as_py()
                 if not page:
                     continue
-                found = page_rows(page, only, below, path_attrs, implied_tbody)
-                rows += found
-                owners += [i] * len(found)
-                if len(rows) >= 16384:
-                    yield pack()
-                    rows, owners = [], []
+                for row in page_rows(page, only, below, path_attrs, implied_tbody):
+                    rows.append(row)
+                    owners.append(i)
+                    chars += len(row[_AT["path"]]) + len(row[_AT["text"]] or "")
+                    if len(rows) >= BATCH_NODES or chars >= BATCH_CHARS:
+                        yield pack()
+                        rows, owners, chars = [], [], 0
             if rows:
                 yield pack()
 

@@ -20,7 +20,6 @@ from pyspark.sql import Window as W
 from ..functions import selectors as S
 from ..functions import text as X
 from ..functions import urls as U
-from ..session import shared_dir
 from . import dom
 from . import xpath as XP
 from .joins import is_small, lookup_join
@@ -276,6 +275,8 @@ def path_rules(container: pd.Series, relative: pd.Series) -> pd.DataFrame:
     rows = []
     for outer_text, inner_text in zip(container, relative):
         try:
+            if _SLASH_IN_LITERAL.search(outer_text) or _SLASH_IN_LITERAL.search(inner_text):
+                raise UnsupportedXPath(f"'/' inside a literal: {outer_text!r} {inner_text!r}")
             outer, inner = parse(outer_text), parse(inner_text)
             steps = (*outer.steps, *inner.steps)
             if any(s.far_tests for s in steps):
@@ -329,12 +330,17 @@ def _names(compiled: DataFrame) -> tuple[set[str], set[str]]:
 def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """Every page of a domain through every template of that domain, in one pass.
 
+    A template with a path that is not supported here raises, with its id and the reason: none is left out.
+
     Rows (template_id, page_id, container_pre, record MAP<title, text>). Rules that pass a size check
     are broadcast and a page is tokenised once for all its templates. Beyond that pages are joined
     with their templates first and the rules travel with the nodes.
     """
-    shared_dir(pages.sparkSession)
-    compiled = compile_templates(templates).filter(F.col("problem") == "").drop("problem").checkpoint()
+    compiled = compile_templates(templates)
+    problems = compiled.filter(F.col("problem") != "").select("template_id", "problem").orderBy("template_id").limit(5).collect()
+    if problems:
+        raise UnsupportedXPath("; ".join(f"template {p.template_id}: {p.problem}" for p in problems))
+    compiled = compiled.drop("problem")
     leaves, attrs = _names(compiled)
     slim = F.transform("rules", lambda r: r.dropFields("leaf", "attrs"))
     compiled = compiled.withColumn("rules", slim)

@@ -63,10 +63,12 @@ def capture_examples(
 def locate_examples(nodes: DataFrame, examples: DataFrame, payload: tuple[str, ...] = ("path",)) -> DataFrame:
     """Elements that `examples(page_id, column_title, text)` point at: deepest match, first in the page.
 
+    Texts are compared as they are shown, with white space collapsed.
+
     A text node longer than the longest example of its page is in no match, so it is dropped before
     text is handed up to the ancestors; an element matches when none of its texts was dropped (`n_text`).
     """
-    asked = examples.withColumn("__want", X.strip(F.col("text"))).filter(F.col("__want") != "")
+    asked = examples.withColumn("__want", X.collapse(F.col("text"))).filter(F.col("__want") != "")
     by_page = asked.groupBy("page_id").agg(F.max(F.length("__want")).alias("__longest"))
     is_text = F.col("kind") == "text"
     clickable = nodes.filter(F.col("path").rlike(_BELOW_CLICKABLE) & (F.col("n_text") > 0))
@@ -75,7 +77,7 @@ def locate_examples(nodes: DataFrame, examples: DataFrame, payload: tuple[str, .
             clickable.select("page_id", "pre", "kind", "text", "n_text", *payload), by_page, "page_id", spread=F.col("pre"),
             probe_left=False,
         )
-        .filter(~is_text | (F.length(X.strip(F.col("text"))) <= F.col("__longest")))
+        .filter(~is_text | (F.length(X.collapse(F.col("text"))) <= F.col("__longest")))
         .select(
             "page_id",
             F.explode(F.when(is_text, clickable_pres(F.col("path"))).otherwise(F.array("pre"))).alias("__owner"),
@@ -89,7 +91,7 @@ def locate_examples(nodes: DataFrame, examples: DataFrame, payload: tuple[str, .
     texts = (
         whole.filter(F.size("parts") == F.col("element.n_text"))
         .withColumn("string_value", F.array_join(F.transform("parts", lambda x: x["text"]), ""))
-        .withColumn("__want", X.strip(F.col("string_value")))
+        .withColumn("__want", X.collapse(F.col("string_value")))
     )
     found = texts.join(asked.select("page_id", "column_title", "text", "__want"), ["page_id", "__want"])
     depth = dom.path_depth(F.col("element.path"))
@@ -137,10 +139,15 @@ def induce_next_selector(nodes: DataFrame, examples: DataFrame) -> DataFrame:
     label, aria-label; else its classes (on the leaf with those of its children and grandchildren).
     """
     chosen = locate_examples(nodes, examples, ("path", "attrs"))
+    # the chosen elements of a page first, so a node goes to those alone and not to all of its ancestors
+    wanted = chosen.groupBy("page_id").agg(F.collect_set("pre").alias("__chosen"))
     inside = (
-        nodes.select("page_id", "pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path")
-        .select("*", F.explode(clickable_pres(F.col("path"))).alias("__owner"))
-        .filter(F.col("__owner") != F.col("pre"))
+        lookup_join(
+            nodes.select("page_id", "pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path"), wanted, "page_id",
+            spread=F.col("pre"), probe_left=False, unique_right=True,
+        )
+        .select("*", F.explode(F.array_intersect(clickable_pres(F.col("path")), F.col("__chosen"))).alias("__owner"))
+        .filter(F.col("__owner") != F.col("pre")).drop("__chosen")
         .withColumnsRenamed({c: f"in_{c}" for c in ("pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path")})
         .withColumnRenamed("__owner", "pre")
     )

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import scratch_path, shared_dir
+from ..session import scratch_path
 from . import dom
 from . import xpath as XP
 from .joins import is_small, lookup_join
 
-SAFETY_CAP = 10_000
-
 
 def address_key(url):
     """Addresses that name the same page: the fragment is not part of it."""
@@ -20,84 +18,98 @@ def address_key(url):
 
 
 def next_links(pages: DataFrame, next_xpath: str) -> DataFrame:
-    """(page_id, url, href): target of the first match of `next_xpath` on each page that has one."""
+    """(page_id, url, href): target of the first match of `next_xpath` on each page that has one.
+
+    `url` is what the link is relative to: the page's address, or that of its first base element.
+    """
     locations = XP.read_alternatives(next_xpath)
     tags, text_tags, attrs = XP.needs(locations)
     far = any(s.far_tests for loc in locations for s in loc.steps)
     nodes = dom.dom_nodes(
-        pages, elements=tags, texts_in=text_tags, path_attrs=attrs, keep=("page_id", "url"),
-        columns=dom.NODE_COLUMNS if far else ("pre", "kind", "path", "attrs"),
+        pages, elements=tags | {"base"}, texts_in=text_tags, path_attrs=attrs, keep=("page_id", "url"),
+        columns=dom.NODE_COLUMNS if far else ("pre", "kind", "tag", "path", "attrs"),
     )
     href = F.try_element_at("attrs", F.lit("href"))
-    return (
-        XP.select_nodes(nodes, next_xpath)
-        .groupBy("page_id")
-        .agg(F.min_by(F.struct("url", href.alias("href")), "pre").alias("first"))
-        .select("page_id", "first.url", "first.href")
-        .filter(F.col("href").isNotNull())
+    is_base = F.coalesce(F.col("tag") == "base", F.lit(False)) & href.isNotNull()
+    found = XP.select_nodes(nodes, next_xpath)
+    marked = found.select("page_id", "url", "pre", href.alias("href"), F.lit(False).alias("base"))
+    marked = marked.unionByName(nodes.filter(is_base).select("page_id", "url", "pre", href.alias("href"), F.lit(True).alias("base")))
+
+    def first(base: bool):
+        return F.min_by("href", F.when(F.col("base") == F.lit(base), F.col("pre")))
+
+    grouped = marked.groupBy("page_id").agg(
+        F.first("url").alias("page_url"), first(True).alias("given"), first(False).alias("href"), F.bool_or(~F.col("base")).alias("linked"),
     )
+    against = F.coalesce(U.resolve(F.col("given"), F.col("page_url")), F.col("page_url"))
+    return grouped.filter(F.col("linked") & F.col("href").isNotNull()).select("page_id", against.alias("url"), "href")
 
 
 def page_edges(pages: DataFrame, links: DataFrame) -> DataFrame:
     """(page_id, next_id): links whose target is in the page table; of pages with one address the first."""
-    shared_dir(pages.sparkSession)
     targets = pages.groupBy(address_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("next_id"))
-    aimed = links.select("page_id", U.resolve(F.col("href"), F.col("url")).alias("key"))
-    # written once: looking for hot targets and joining would each tokenise the pages again
-    return lookup_join(aimed.checkpoint(), targets, "key", spread=F.col("page_id")).select("page_id", "next_id")
+    aimed = _written(links.select("page_id", U.resolve(F.col("href"), F.col("url")).alias("key")), "links")
+    return lookup_join(aimed, targets, "key", spread=F.col("page_id"), unique_right=True).select("page_id", "next_id")
 
 
 VISIT_SCHEMA = "seed_id long, page_seq int, page_id long, moved boolean"
 
 
-def follow(
-    seeds: DataFrame, edges: DataFrame | list[DataFrame], max_pages: int | None = None
-) -> DataFrame:
+def _written(table: DataFrame, name: str) -> DataFrame:
+    """Kept in the shared folder, so later rounds start from it."""
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def follow(seeds: DataFrame, edges: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(seed_id, page_seq, page_id): pages visited from each seed, the seed first.
 
-    With one edge table a chain ends at a page without link, at a page it has been to, or at
-    `max_pages`. With a list, round r follows the r-th table once; a page without that link stays
-    where it is and goes on with the next table (G2). Each round joins the pages reached last with
-    the edges and is written to the shared folder. The next round starts from there, so plans do not
-    grow and a lost executor costs no finished round.
+    A chain ends at a page without link, at a page it has been to, or at `max_pages`. Chains grow by
+    doubling: the pages of the first n steps and the jump over n steps give those of the first 2n, so
+    the rounds follow the logarithm of the longest chain. Every round is written out.
     """
+    jumps = _written(edges, "jumps")
+    visits = _written(seeds.select(F.col("page_id").alias("seed_id"), F.lit(1).alias("page_seq"), "page_id"), "visits")
+    n, steps = visits.count(), 1
+    while max_pages is None or steps < max_pages:
+        ahead = lookup_join(visits, jumps, "page_id", spread=F.col("seed_id"), unique_right=True)
+        ahead = ahead.select("seed_id", (F.col("page_seq") + steps).alias("page_seq"), F.col("next_id").alias("page_id"))
+        if max_pages is not None:
+            ahead = ahead.filter(F.col("page_seq") <= max_pages)
+        # what comes up again lies on a circle and has been visited before
+        all_visits = visits.unionByName(ahead).groupBy("seed_id", "page_id").agg(F.min("page_seq").alias("page_seq"))
+        visits = _written(all_visits.select("seed_id", "page_seq", "page_id"), "visits")
+        before, n = n, visits.count()
+        if n == before:
+            break
+        far = jumps.select("page_id", F.col("next_id").alias("mid"))
+        over = jumps.select(F.col("page_id").alias("mid"), "next_id")
+        jumps = _written(lookup_join(far, over, "mid", spread=F.col("page_id"), unique_right=True).select("page_id", "next_id"), "jumps")
+        steps *= 2
+    return visits
+
+
+def follow_list(seeds: DataFrame, edges: list[DataFrame]) -> DataFrame:
+    """Round r follows the r-th table once; a page without that link stays where it is."""
     spark = seeds.sparkSession
-    shared_dir(spark)
-    listed = isinstance(edges, list)
-    tables = [e.checkpoint() for e in (edges if listed else [edges])]
-    small = [is_small(t) for t in tables]
-    rounds = len(tables) if listed else (max_pages or SAFETY_CAP + 1) - 1
     out = scratch_path(spark, "visits")
 
     def reached(r: int) -> DataFrame:
         return spark.read.schema(VISIT_SCHEMA).parquet(f"{out}/round={r}")
 
-    def visits() -> DataFrame:
-        return spark.read.schema(VISIT_SCHEMA).parquet(out).filter("moved").select("seed_id", "page_seq", "page_id")
-
     start = seeds.select(F.col("page_id").alias("seed_id"), F.lit(1).alias("page_seq"), "page_id", F.lit(True).alias("moved"))
     start.write.mode("overwrite").parquet(f"{out}/round=0")
-    for r in range(1, rounds + 1):
-        n = r - 1 if listed else 0
-        joined = lookup_join(
-            reached(r - 1), tables[n], "page_id", "left" if listed else "inner", F.col("seed_id"), small=small[n]
-        )
+    for r, table in enumerate(edges, 1):
+        table = _written(table, "edges")
+        joined = lookup_join(reached(r - 1), table, "page_id", "left", F.col("seed_id"), small=is_small(table), unique_right=True)
         goes = F.col("next_id").isNotNull()
         here = joined.select(
-            "seed_id",
-            (F.col("page_seq") + goes.cast("int")).alias("page_seq"),
-            F.coalesce("next_id", "page_id").alias("page_id"),
-            goes.alias("moved"),
+            "seed_id", (F.col("page_seq") + goes.cast("int")).alias("page_seq"),
+            F.coalesce("next_id", "page_id").alias("page_id"), goes.alias("moved"),
         )
-        if not listed:
-            here = here.join(visits().select("seed_id", "page_id"), ["seed_id", "page_id"], "left_anti").select(*here.columns)
         here.write.mode("overwrite").parquet(f"{out}/round={r}")
-        if reached(r).isEmpty():
-            break
-    else:
-        if not listed and max_pages is None:
-            raise RuntimeError(f"a chain is longer than {SAFETY_CAP} pages; give max_pages")
-    return visits()
+    return spark.read.schema(VISIT_SCHEMA).parquet(out).filter("moved").select("seed_id", "page_seq", "page_id")
 
 
 def page_chain(
@@ -113,5 +125,5 @@ def page_chain(
         return seeds.select(F.col("page_id").alias("seed_id"), F.lit(1).alias("page_seq"), "page_id")
     tables = [page_edges(pages, next_links(pages, p)) for p in paths]
     if len(tables) > 1:
-        return follow(seeds, tables)
+        return follow_list(seeds, tables)
     return follow(seeds, tables[0], max_pages or None)

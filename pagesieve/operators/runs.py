@@ -81,18 +81,20 @@ def open_run(spark: SparkSession, url: str, file_name: str, titles: list[str]) -
 def superseded(runs: DataFrame, file: str = "file_name", order: tuple[str, ...] = ("ts", "run_id")) -> DataFrame:
     """Runs with `removed` set where a later run has the same output; their file name is blank.
 
+    Runs without an output share none.
+
     The newest run per file is an aggregate, not a window: a file written by a third of all runs
     does not have to be sorted in one task.
     """
     at = F.struct(*order)
-    newest = runs.filter(F.col(file).isNotNull()).groupBy(file).agg(F.max(at).alias("__newest"))
-    joined = lookup_join(runs, newest, file, "left", spread=F.struct(*order))
-    removed = F.coalesce(F.col("__newest") > at, F.lit(False))
-    return (
-        joined.withColumn("removed", removed)
-        .withColumn(file, F.when(F.col("removed"), F.lit("").cast(runs.schema[file].dataType)).otherwise(F.col(file)))
-        .select(*runs.columns, "removed")
-    )
+    named = F.coalesce(F.col(file).cast("string"), F.lit("")) != ""
+    # structs are compared by max_by on their own order; the newest key is all that a file needs
+    newest = runs.filter(named).groupBy(file).agg(F.max_by(at, at).alias("__newest"))
+    joined = lookup_join(runs.filter(named), newest, file, "left", spread=F.struct(*order), unique_right=True)
+    kept = joined.withColumn("removed", F.coalesce(F.col("__newest") > at, F.lit(False))).select(*runs.columns, "removed")
+    blank = F.lit("" if runs.schema[file].dataType == T.StringType() else None).cast(runs.schema[file].dataType)
+    marked = kept.withColumn(file, F.when(F.col("removed"), blank).otherwise(F.col(file)))
+    return marked.unionByName(runs.filter(~named).withColumn("removed", F.lit(False)))
 
 
 def result_status(n_rows: Column, failed: Column | None = None) -> Column:
@@ -111,7 +113,8 @@ def upsert_by_domain(registry: DataFrame, entries: DataFrame, url: str = "url")
     site = U.registrable(F.col(url))
     old = registry.withColumn("__d", site)
     new = entries.withColumn("__d", site).filter(F.col("__d").isNotNull())
-    kept = old.join(new.select("__d").distinct(), "__d", "left_anti")
+    # a site that holds most of the entries is split where the list of new sites is long
+    kept = lookup_join(old, new.select("__d").distinct(), "__d", "left_anti", unique_right=True).select(*old.columns)
     return kept.unionByName(new).drop("__d")
 
 
@@ -120,4 +123,4 @@ def lookup_by_domain(pages: DataFrame, registry: DataFrame, url: str = "url", ra
     first = registry.withColumn("domain", U.registrable(F.col(url))).filter(F.col("domain").isNotNull())
     first = first.groupBy("domain").agg(F.min_by(F.struct(*registry.columns), rank).alias("entry"))
     sited = pages.withColumn("domain", U.registrable(F.col("url")))
-    return lookup_join(sited, first, "domain")
+    return lookup_join(sited, first, "domain", unique_right=True)

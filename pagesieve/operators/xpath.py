@@ -28,7 +28,7 @@ class Step:
     tag: str
     index: int | None = None
     attr_tests: tuple[tuple[str, str, str], ...] = ()  # (name, 'has' | 'is', value)
-    far_tests: tuple[tuple, ...] = ()  # ('text', value) | ('exists', steps) | ('nth', n)
+    far_tests: tuple[tuple, ...] = ()  # as written: ('text', value) | ('exists', steps) | ('nth', n) | ('near', attr_test)
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,7 @@ _LITERAL = r"""(?:"([^"]*)"|'([^']*)')"""
 _HAS = re.compile(rf"contains\(\s*@([\w:\-]+)\s*,\s*{_LITERAL}\s*\)\Z")
 _IS = re.compile(rf"@([\w:\-]+)\s*=\s*{_LITERAL}\Z")
 _TEXT = re.compile(rf"text\(\)\s*=\s*{_LITERAL}\Z")
+_BAR = re.compile(r"""\|(?=(?:[^"']|"[^"]*"|'[^']*')*\Z)""")
 
 
 def _tests(text: str, at: int) -> tuple[list[str], int]:
@@ -89,23 +90,26 @@ def parse(xpath: str) -> Location:
         index, near, far = None, [], []
         for test in raw:
             if test.isdigit():
-                if index is None and not near and not far:
+                # an element knows its rank among those of its tag; any other rank is taken later
+                if tag != "*" and index is None and not near and not far:
                     index = int(test)
                 else:
                     far.append(("nth", int(test)))
-            elif m := _HAS.match(test):
-                value = m[2] or m[3]
-                if value:  # every text contains the empty one
-                    near.append((m[1].lower(), "has", value))
-                    attrs.add(m[1].lower())
-            elif m := _IS.match(test):
-                near.append((m[1].lower(), "is", m[2] or m[3] or ""))
-                attrs.add(m[1].lower())
+            elif m := _HAS.match(test) or _IS.match(test):
+                value = m[2] or m[3] or ""
+                found = (m[1].lower(), "has" if m.re is _HAS else "is", value)
+                if found[1] == "has" and not value:  # every text contains the empty one
+                    continue
+                attrs.add(found[0])
+                if any(t[0] == "nth" for t in far):  # tests count in the order they are written
+                    far.append(("near", found))
+                else:
+                    near.append(found)
             elif m := _TEXT.match(test):
                 far.append(("text", m[1] or m[2] or ""))
             elif test.startswith(".//"):
                 inner = parse(test)
-                if inner.text or any(t[0] != "text" for s in inner.steps for t in s.far_tests):
+                if inner.text or any(t[0] != "text" for s in inner.steps for t in s.far_tests):  # no rank inside a test
                     raise UnsupportedXPath(f"test [{test}] in {xpath!r}")
                 if any(s.far_tests for s in inner.steps[:-1]):
                     raise UnsupportedXPath(f"test [{test}] in {xpath!r}")
@@ -120,8 +124,8 @@ def parse(xpath: str) -> Location:
 
 
 def split_union(xpath: str) -> list[str]:
-    """The alternatives of `a | b`."""
-    return [part for part in (p.strip() for p in xpath.split(" | ")) if part]
+    """The alternatives of `a | b` or `a|b`; a bar inside a literal does not split."""
+    return [part for part in (p.strip() for p in _BAR.split(xpath)) if part]
 
 
 def _quote(value: str) -> str:
@@ -264,10 +268,11 @@ def _with_far_tests(nodes: DataFrame, run: tuple[Step, ...]) -> DataFrame:
     path, is_element = F.col("path"), F.col("kind") == "element"
     none = F.array().cast("array<int>")
     votes = [F.when(is_element & path.rlike(regex), F.array("pre")).otherwise(none)]
-    nths = []
+    later: list = []  # in the order written: a vote's number, a rank, or a test of the element's own attributes
     for test in last.far_tests:
         if test[0] == "text":
             hit = (F.col("kind") == "text") & (F.col("text") == test[1]) & path.rlike(regex)
+            later.append(("vote", len(votes)))
             votes.append(F.when(hit, F.array("parent_pre")).otherwise(none))
         elif test[0] == "exists":
             inner = test[1]
@@ -279,9 +284,10 @@ def _with_far_tests(nodes: DataFrame, run: tuple[Step, ...]) -> DataFrame:
                 witness = is_element
             witness = witness & path.rlike(steps_regex((*run, *inner)))
             found = owners(path, run, inner, None)
+            later.append(("vote", len(votes)))
             votes.append(F.when(witness, found).otherwise(none))
         else:
-            nths.append(test[1])
+            later.append(test)
     carried = _payload(nodes)
     ballots = F.flatten(F.array(*[_marked(v, i) for i, v in enumerate(votes)]))
     cast = nodes.withColumn("__b", F.explode(ballots)).select(
@@ -292,12 +298,18 @@ def _with_far_tests(nodes: DataFrame, run: tuple[Step, ...]) -> DataFrame:
         F.first("__row", ignorenulls=True).alias("__row"),
         *[F.max(F.col("__vote") == i).alias(f"__v{i}") for i in range(len(votes))],
     )
-    kept = counted.filter(reduce(lambda a, b: a & b, [F.col(f"__v{i}") for i in range(len(votes))]))
-    chosen = kept.select("page_id", "pre", *[F.col(f"__row.{c}").alias(c) for c in carried])
-    for n in nths:  # the n-th of those that passed so far, among the children of one parent
-        order = W.partitionBy("page_id", "parent_pre").orderBy("pre")
-        chosen = chosen.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") == n).drop("__n")
-    return chosen
+    given = [f"__v{i}" for i in range(1, len(votes))]
+    chosen = counted.filter("__v0").select("page_id", "pre", *given, *[F.col(f"__row.{c}").alias(c) for c in carried])
+    for kind, value in later:
+        if kind == "vote":
+            chosen = chosen.filter(f"__v{value}")
+        elif kind == "near":
+            own = _step_regex(Step(False, "*", attr_tests=(value,))) + r"\z"
+            chosen = chosen.filter(F.col("path").rlike(own))
+        else:  # the n-th of those that passed so far, among the children of one parent
+            order = W.partitionBy("page_id", "parent_pre").orderBy("pre")
+            chosen = chosen.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") == value).drop("__n")
+    return chosen.drop(*given)
 
 
 def select_nodes(nodes: DataFrame, xpath: str, text: str | None = None) -> DataFrame:

@@ -108,6 +108,38 @@ def nth_of_filtered(spark, folder):
     return XP.select_nodes(nodes, "//article/p[.//b][2]").select("page_id", F.col("idx").cast("long").alias("paragraph"))
 
 
+@query(f"""WITH {LINKS} SELECT page_id, 'article' AS tag, '' AS link FROM pages UNION ALL SELECT page_id, 'li', raw FROM links WHERE i = 2""")
+def nth_of_any(spark, folder):
+    """A position among children of any tag."""
+    found = _selected(spark, folder, "//body/*[3] | //nav/ul/*[2]/a/text()")
+    text = F.col("kind") == "text"
+    return found.select("page_id", F.when(text, F.lit("li")).otherwise(F.col("tag")).alias("tag"), F.coalesce("text", F.lit("")).alias("link"))
+
+
+@query(f"""WITH {LINKS} SELECT page_id, 'then' AS test FROM links WHERE i = 2 AND raw = 'and'
+  UNION ALL SELECT page_id, 'before' FROM (SELECT page_id, count(*) AS n FROM links WHERE raw = 'the' GROUP BY page_id) t WHERE n >= 2
+  UNION ALL SELECT page_id, 'class' FROM pages""")
+def position_between_tests(spark, folder):
+    """Tests count in the order they are written."""
+    paths = {
+        "then": '//nav/ul/li[.//a][2][.//a[text()="and"]]', "before": '//nav/ul/li[.//a[text()="the"]][2]',
+        "class": '//body/*[contains(@class, "a")][1][@class="ad"]',
+    }
+    found = [_selected(spark, folder, p).select("page_id", F.lit(t).alias("test")) for t, p in paths.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"SELECT page_id, {FOOTER} AS inside FROM pages")
+def deep_nesting(spark, folder):
+    """What stands behind 600 open and closed elements is still inside the outer one."""
+    opened = F.concat(F.lit('<div id="outer">'), F.repeat(F.lit("<div>"), 600), F.repeat(F.lit("</div>"), 600), F.lit("<footer>"))
+    closed = F.lit("</footer></div><footer>outside</footer>")
+    html = F.replace(F.replace(F.col("html"), F.lit("</footer>"), closed), F.lit("<footer>"), F.lit("<footer>"))
+    first = F.concat(F.substring_index(html, "<footer>", 1), opened, F.substring(html, F.length(F.substring_index(html, "<footer>", 1)) + F.lit(9), F.length(html)))
+    deep = pages(spark, folder).withColumn("html", first)
+    return E.extract_fields(deep, '//div[@id="outer"]', {"inside": "//footer//text()"}, clean=False).select("page_id", "inside")
+
+
 @query(f"SELECT page_id, {tidied(AD)} AS ad FROM pages")
 def ad_block(spark, folder):
     """D7"""
@@ -205,13 +237,20 @@ def clickable_elements(spark, folder):
     return _counted(nodes.filter(induce.is_clickable(F.col("tag"), F.try_element_at("attrs", F.lit("type")))))
 
 
-@query(f"WITH {LINKS} SELECT page_id, {tidied('raw')} AS link FROM links")
+@query(f"""SELECT page_id, 'h1' AS tag, {H1} AS text FROM pages UNION ALL SELECT page_id, 'footer', {FOOTER} FROM pages""")
+def tight_union(spark, folder):
+    """Alternatives without blanks around the bar."""
+    found = _selected(spark, folder, "//h1//text()|//body/footer/text()")
+    return found.select("page_id", dom.step_tag(F.element_at(dom.path_steps(F.col("path")), -1)).alias("tag"), "text")
+
+
+@query(f"WITH {LINKS} SELECT page_id, {tidied('raw')} AS link FROM links WHERE contains(href, 'e')")
 def stored_node_table(spark, folder):
-    """records out of a node table that another job wrote."""
+    """records out of a node table that another job wrote, by an attribute that it was not told of."""
     path = scratch_path(spark, "nodes")
     dom.dom_nodes(pages(spark, folder)).write.parquet(path)
     nodes = spark.read.parquet(path)
-    return E.extract_fields(pages(spark, folder), "//nav//li", {"link": ".//a//text()"}, nodes=nodes).select("page_id", "link")
+    return E.extract_fields(pages(spark, folder), "//nav//li", {"link": './/a[contains(@href, "e")]//text()'}, nodes=nodes).select("page_id", "link")
 
 
 @query(f"""WITH {LINKS}, counts AS (SELECT page_id, count(*)::BIGINT AS n_links FROM links GROUP BY page_id)

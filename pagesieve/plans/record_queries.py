@@ -161,15 +161,13 @@ def example_failures(spark, folder):
 
 @query(f"""WITH {LINKS}, lists AS (
     SELECT page_id, list({tidied('raw')} ORDER BY i) AS texts FROM links GROUP BY page_id),
-  asked AS (SELECT *, texts[1] || texts[2] AS wanted, range(0, len(texts), 2) AS starts FROM lists WHERE len(texts) > 1)
+  asked AS (SELECT *, texts[1] || coalesce(texts[2], '') AS wanted, range(0, len(texts), 2) AS starts FROM lists)
   SELECT page_id, array_to_string(CASE WHEN list_contains(texts, wanted) THEN texts
     ELSE list_transform(starts, lambda s: array_to_string(texts[s + 1:s + 2], '')) END, '|') AS found FROM asked""")
 def regrouped_examples(spark, folder):
-    """An example that the page splits over two elements."""
+    """An example that the page splits over its first two elements, or holds in its only one."""
     fragments = C.page_fragments(pages(spark, folder), "//nav//li//a")
-    asked = fragments.filter(F.size("fragments") > 1).withColumn(
-        "text", F.concat(F.col("fragments")[0], F.col("fragments")[1])
-    )
+    asked = fragments.withColumn("text", F.concat(F.col("fragments")[0], F.coalesce(F.get("fragments", F.lit(1)), F.lit(""))))
     return C.regroup_check(asked).select("page_id", F.array_join("found", "|").alias("found"))
 
 

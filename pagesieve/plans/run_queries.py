@@ -36,6 +36,20 @@ def _linked_pages(spark, folder):
     )
 
 
+@query("""SELECT a.page_id AS seed_id, (b.page_id - a.page_id + 1)::BIGINT AS page_seq, b.page_id FROM pages a
+  JOIN pages b ON b.page_id // 25 = a.page_id // 25 AND b.page_id >= a.page_id""")
+def relative_chains(spark, folder):
+    """G1: chains of 25 pages over links with dots in them, against a base element, without a page limit."""
+    number = F.col("page_id")
+    last = number % 25 == 24
+    link = F.when(last, F.lit("")).otherwise(F.concat(F.lit('<a rel="next" href="./x/../../n/./'), number + 1, F.lit('#here">Next</a><footer>')))
+    based = F.when(number % 2 == 0, F.lit('<base href="https://site.example/b/c/d"><title>')).otherwise(F.lit('<base href="../c/"><title>'))
+    html = F.replace(F.replace(F.col("html"), F.lit("<footer>"), F.when(last, F.lit("<footer>")).otherwise(link)), F.lit("<title>"), based)
+    site = pages(spark, folder).select("page_id", F.concat(F.lit("https://site.example/b/n/"), number).alias("url"), html.alias("html"))
+    visits = P.page_chain(site, site.select("page_id"), '//a[@rel="next"]')
+    return visits.select("seed_id", F.col("page_seq").cast("long").alias("page_seq"), "page_id")
+
+
 @query("""SELECT a.page_id AS seed_id, s.seq::BIGINT AS page_seq, b.page_id FROM pages a, (VALUES (1), (2), (3), (4)) s(seq), pages b
   WHERE b.page_id = a.page_id + s.seq - 1""")
 def page_chain_depth(spark, folder):
@@ -99,10 +113,8 @@ def latest_status(spark, folder):
     )
 
 
-@query(f"""WITH {_NEWEST} SELECT run_id, {_AFTER} AS status, 'out-' || event_id || '.csv' AS file_name, c_name AS url
-  FROM newest JOIN customer ON c_custkey::VARCHAR = run_id""")
-def ledger_after_restart(spark, folder):
-    """Runs of the customers that have events; other events belong to no known run."""
+def _customer_ledger(spark, folder):
+    """A run per customer, with the site's events; events of others belong to no known run."""
     ledger = Ledger(spark, scratch_path(spark, "ledger"))
     events = _run_events(table(spark, folder, "events"))
     opened = table(spark, folder, "customer").select(
@@ -111,10 +123,41 @@ def ledger_after_restart(spark, folder):
     )
     opened.write.parquet(ledger.runs_path)
     ledger.record(events)
-    current = ledger.runs(restarted=True).filter(F.col("file_name") != "")
+    return ledger
+
+
+_LEDGER = f"""SELECT c_custkey::VARCHAR AS run_id, coalesce({_AFTER}, 7) AS status,
+  coalesce('out-' || event_id || '.csv', '') AS file_name, c_name AS url FROM customer LEFT JOIN newest ON c_custkey::VARCHAR = run_id"""
+
+
+@query(f"WITH {_NEWEST} {_LEDGER.replace(_AFTER, 'CASE WHEN event_type IS NOT NULL THEN ' + _AFTER + ' END')}")
+def ledger_after_restart(spark, folder):
+    """Runs under way are stopped, those without an event as well."""
+    current = _customer_ledger(spark, folder).runs(restarted=True)
     return current.select("run_id", F.col("status").cast("long").alias("status"), "file_name", "url")
 
 
+@query("""SELECT 'open' AS step, c_custkey::VARCHAR AS name, 1::BIGINT AS status FROM customer WHERE c_custkey <> (SELECT min(c_custkey) FROM customer)
+  UNION ALL SELECT 'open', 'new run', 1
+  UNION ALL SELECT 'cleared', 'next run', 1""")
+def ledger_changes(spark, folder):
+    """One run is removed and one opened; then all are dropped and another is opened."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    keys = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("run_id"))
+    blank = [F.lit("").alias(c) for c in ("file_name", "titles")]
+    opened = keys.select("run_id", F.col("run_id").alias("url"), *blank, F.lit(1).alias("status"), F.lit("").alias("date"), F.lit("").alias("time"))
+    opened.write.parquet(ledger.runs_path)
+    first = keys.agg(F.min(F.col("run_id").cast("long"))).first()[0]
+    ledger.remove(str(first))
+    ledger.open(R.open_run(spark, "new run", "a.csv", ["one", "two"]))
+    path = scratch_path(spark, "ledger-state")
+    ledger.runs().select(F.lit("open").alias("step"), F.col("url").alias("name"), F.col("status").cast("long").alias("status")).write.parquet(path)
+    ledger.clear()
+    ledger.open(R.open_run(spark, "next run", "b.csv", ["one"]))
+    after = ledger.runs().select(F.lit("cleared").alias("step"), F.col("url").alias("name"), F.col("status").cast("long").alias("status"))
+    return spark.read.parquet(path).unionByName(after)
+
+
 @query("""SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NOT NULL AS removed FROM orders""")
 def superseded_runs(spark, folder):
     """The customer is the output file."""

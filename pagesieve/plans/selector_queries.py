@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import selectors as S
 from ..operators import dom, induce
 from ..operators import extract as E
-from ..session import shared_dir
-from .registry import AD, H1, LINKS, PARAGRAPHS, decoded, pages, query, table, tidied
+from ..functions import text as X
+from .registry import AD, H1, LINKS, PARAGRAPHS, decoded, pages, query, table
+
+BLANKS = "chr(9) || chr(10) || chr(13) || chr(32) || chr(160)"
 
 
 def _list_paths(spark, folder, path):
@@ -64,26 +66,30 @@ def combine_selectors(spark, folder):
 
 
 def _examples(spark, folder):
-    """First link and ad text of each page: what a user would click."""
+    """First link and ad text of each page as they are shown: what a user would click."""
     shown = E.extract_fields(
-        pages(spark, folder), "//body", {"link": "//nav//li[1]//text()", "ad": '//div[contains(@class, "ad")]//text()'}
+        pages(spark, folder), "//body", {"link": "//nav//li[1]//text()", "ad": '//div[contains(@class, "ad")]//text()'}, clean=False,
     )
-    shared_dir(spark)
-    return shown.select("page_id", F.expr("stack(2, 'link', link, 'ad', ad) AS (column_title, text)")).checkpoint()
+    listed = shown.select("page_id", F.expr("stack(2, 'link', link, 'ad', ad) AS (column_title, text)"))
+    return listed.withColumn("text", X.collapse(F.col("text")))
+
+
+def _shown(text):
+    return rf"trim(regexp_replace({text}, '[\s' || chr(160) || ']+', ' ', 'g'))"
 
 
 # where a heading, paragraph or bold text of the page equals the ad, it lies deeper and is the one clicked
-_CLICKED = f"""ads AS (SELECT page_id, trim({AD}) AS ad FROM pages WHERE {AD} NOT LIKE '%' || chr(10) || '%'),
+_CLICKED = f"""ads AS (SELECT page_id, {_shown(AD)} AS ad, trim({AD}, {BLANKS}) AS cell FROM pages),
   texts AS (
     SELECT page_id, 0 AS n, 4 AS depth, {H1} AS text FROM pages
     UNION ALL SELECT page_id, n, CASE WHEN body LIKE '<b>%' THEN 5 ELSE 4 END,
       {decoded("regexp_replace(body, '<[^>]*>', '', 'g')")} FROM paragraphs),
-  clicked AS (SELECT page_id, ad, coalesce(depth, 3) AS depth, n FROM (
-    SELECT a.page_id, ad, depth, n, row_number() OVER (PARTITION BY a.page_id ORDER BY depth DESC, n) AS rn
-    FROM ads a LEFT JOIN texts t ON t.page_id = a.page_id AND trim(t.text) = ad) r WHERE rn = 1)"""
+  clicked AS (SELECT page_id, ad, coalesce(depth, 3) AS depth, n, coalesce(trim(text, {BLANKS}), cell) AS cell FROM (
+    SELECT a.page_id, ad, cell, depth, n, t.text, row_number() OVER (PARTITION BY a.page_id ORDER BY depth DESC, n) AS rn
+    FROM ads a LEFT JOIN texts t ON t.page_id = a.page_id AND {_shown('t.text')} = ad) r WHERE rn = 1)"""
 
 
-@query(f"""WITH {LINKS}, {PARAGRAPHS}, {_CLICKED} SELECT page_id, 'link' AS column_title, {tidied('raw')} AS text,
+@query(f"""WITH {LINKS}, {PARAGRAPHS}, {_CLICKED} SELECT page_id, 'link' AS column_title, {_shown('raw')} AS text,
   '//html//body//nav//ul//li//a[1]' AS xpath, '/html[1]/body[1]/nav[1]/ul[1]/li[1]/a[1]' AS full_path FROM links WHERE i = 1
   UNION ALL SELECT page_id, 'ad', ad,
     CASE WHEN depth = 3 THEN '//html//body//div[1][contains(@class, "ad")]' WHEN depth = 5 THEN '//html//body//article//p//b[1]'
@@ -92,15 +98,15 @@ _CLICKED = f"""ads AS (SELECT page_id, trim({AD}) AS ad FROM pages WHERE {AD} NO
       ELSE '/html[1]/body[1]/article[1]/' || CASE WHEN n = 0 THEN 'h1[1]' ELSE 'p[' || n || ']' END || CASE WHEN depth = 5 THEN '/b[1]' ELSE '' END END
   FROM clicked""")
 def induced_selectors(spark, folder):
-    """Examples to selectors. An example cleaned of a line break no longer equals its cell."""
+    """Examples to selectors."""
     nodes = dom.dom_nodes(pages(spark, folder), columns=("pre", "kind", "text", "n_text", "path"))
     return induce.induce_selectors(nodes, _examples(spark, folder)).drop("pre")
 
 
-@query(f"""WITH {LINKS}, {PARAGRAPHS}, {_CLICKED} SELECT page_id, 'link' AS column_title, '/html/body/nav/ul/li/a[text()="' || {tidied('raw')} || '"]' AS xpath
+@query(f"""WITH {LINKS}, {PARAGRAPHS}, {_CLICKED} SELECT page_id, 'link' AS column_title, '/html/body/nav/ul/li/a[text()="' || trim(raw, {BLANKS}) || '"]' AS xpath
   FROM links WHERE i = 1
   UNION ALL SELECT page_id, 'ad', '/html/body/' || CASE WHEN depth = 3 THEN 'div' WHEN depth = 5 THEN 'article/p/b'
-    WHEN n = 0 THEN 'article/h1' ELSE 'article/p' END || '[text()="' || ad || '"]' FROM clicked""")
+    WHEN n = 0 THEN 'article/h1' ELSE 'article/p' END || '[text()="' || cell || '"]' FROM clicked""")
 def induced_next_selectors(spark, folder):
     """P8"""
     nodes = dom.dom_nodes(

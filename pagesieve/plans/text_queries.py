@@ -23,8 +23,8 @@ def clean_lines(spark, folder):
 
 
 _WORDS = """asked AS (
-    SELECT doc_id, words, words[3] || words[4] AS wanted FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents) t
-    WHERE len(words) > 3),
+    SELECT doc_id, words, coalesce(words[3], words[1]) || coalesce(words[4], '') AS wanted
+    FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents) t),
   firsts AS (SELECT *, list_position(list_transform(words, lambda w: starts_with(wanted, w)), true) - 1 AS first FROM asked),
   runs AS (SELECT *, list_position(list_transform(range(1, least(len(words) - first, length(wanted)) + 1),
     lambda k: array_to_string(words[first + 1:first + k], '') = wanted), true) AS k FROM firsts)"""
@@ -32,12 +32,13 @@ _WORDS = """asked AS (
 
 @query(f"""WITH {_WORDS} SELECT doc_id, first::BIGINT AS first,
     CASE WHEN list_contains(words, wanted) THEN array_to_string(words, '|')
-         WHEN k > 0 THEN array_to_string(list_transform(range(0, len(words), k), lambda s: array_to_string(words[s + 1:s + k], '')), '|')
+         WHEN len(words) > 1 AND first >= 0 AND k > 0 THEN array_to_string(list_transform(range(0, len(words), k), lambda s: array_to_string(words[s + 1:s + k], '')), '|')
     END AS found FROM runs""")
 def regroup_fragments(spark, folder):
-    """Words of a document in chunks, so that one chunk is the wanted text."""
-    words = documents(spark, folder).select("doc_id", F.split("text", " ").alias("words")).filter(F.size("words") > 3)
-    asked = words.withColumn("wanted", F.concat(F.col("words")[2], F.col("words")[3]))
+    """Words of a document in chunks, so that one chunk is the wanted text: two words, or what a short one has."""
+    words = documents(spark, folder).select("doc_id", F.split("text", " ").alias("words"))
+    first = F.coalesce(F.get("words", F.lit(2)), F.get("words", F.lit(0)))
+    asked = words.withColumn("wanted", F.concat(first, F.coalesce(F.get("words", F.lit(3)), F.lit(""))))
     return asked.select(
         "doc_id", X.first_fragment(F.col("words"), F.col("wanted")).cast("long").alias("first"),
         F.array_join(X.find_text(F.col("words"), F.col("wanted")), "|").alias("found"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 BOM = "\ufeff"
+NOTE = "_columns"  # a name that readers of the records pass over
 FORMATS = ("csv", "json", "xml", "parquet")
 OPTIONS = {
     # quotes are doubled inside quoted values
@@ -73,6 +75,8 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, schema: T.Struc
     """Records of an output. Values are text, so nothing is inferred."""
     fmt = fmt or format_of(path)
     reader = spark.read.format(fmt).options(**OPTIONS[fmt])
+    if schema is None and fmt != "parquet" and (names := _remembered(spark, path)):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     if fmt == "csv":
         # with its default the reader takes a quoted empty text for no value, too
         reader = reader.option("inferSchema", "false").option("multiLine", "true").option("nullValue", "\u0001")
@@ -96,11 +100,21 @@ def output_columns(spark: SparkSession, path: str, fmt: str) -> list[str]:
     return [c.strip() for c in load(spark, path, fmt).columns]
 
 
+def _remembered(spark: SparkSession, path: str) -> list[str] | None:
+    """Columns noted beside the records of an output, so that nobody has to look for them in the records."""
+    noted = f"{path}/{NOTE}"
+    return json.loads(spark.read.text(noted).first()[0]) if exists(spark, noted) else None
+
+
+def _remember(spark: SparkSession, path: str, names: list[str]) -> None:
+    spark.createDataFrame([(json.dumps(names),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{NOTE}")
+
+
 def save(df: DataFrame, path: str, fmt: str | None = None, append: bool = False) -> int:
     """Write or append `df`; returns the rows written.
 
     Appending needs the same set of columns and goes by name. It adds part files; what is there
-    already is not read again, but for its header.
+    already is not read again: its columns are noted beside it.
     """
     fmt = fmt or format_of(path)
     spark = df.sparkSession
@@ -121,6 +135,8 @@ def save(df: DataFrame, path: str, fmt: str | None = None, append: bool = False)
     seen = Observation()
     out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     _marked(out, fmt).write.format(fmt).options(**OPTIONS[fmt]).mode(mode).save(path)
+    if mode == "overwrite" and fmt != "parquet":
+        _remember(spark, path, out.columns)
     return seen.get["rows"]
 
 

@@ -21,12 +21,14 @@ def stream_records(
     fmt: str,
     checkpoint: str,
     on_batch: Callable[[int, int], None] | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append the records of each batch of pages to the output at `path`.
 
     A batch writes its own folder, so one that is tried again after a failure replaces what it
     wrote before. `on_batch` gets the batch number and its rows (Q5: did the output grow?).
-    Read the output with `load_stream_output`.
+    `trigger` is passed on: by default all that is there, once; `{"processingTime": "10 seconds"}` keeps
+    going. Read the output with `load_stream_output`.
     """
     spark = pages.sparkSession
     present = load_stream_output(spark, path, fmt).columns if sinks.exists(spark, path) else None
@@ -43,7 +45,7 @@ def stream_records(
     return (
         pages.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

@@ -15,13 +15,14 @@ def stream_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_status(
-    events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None
+    events: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
     """Append the newest event per run of each batch at `path`; events of runs not in `known` are ignored.
 
     Newest means largest (ts, seq), over all batches once `current_status` folds them, so an event
     that comes late cannot replace a newer one. The stream keeps no state that would grow with the
-    runs, and a batch that is tried again replaces the folder it wrote before.
+    runs, and a batch that is tried again replaces the folder it wrote before. `trigger` as in
+    `stream_records`.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -33,11 +34,16 @@ def stream_status(
     return (
         events.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def compacted(spark: SparkSession, path: str, to: str) -> None:
+    """The state of `path` as one batch at `to`, which a later stream can go on adding to."""
+    current_status(spark, path).write.mode("overwrite").parquet(f"{to}/{BATCH}=-1")
+
+
 def current_status(spark: SparkSession, path: str) -> DataFrame:
     """Newest status per run over all batches written."""
     changes = spark.read.parquet(path)

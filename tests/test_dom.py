@@ -98,10 +98,22 @@ def test_attributes():
 
 def test_deep_pages_keep_their_text():
     rows = page_rows("<div>x" * 3000, frozenset(["div"]), None)
-    assert max(r[AT["depth"]] for r in rows if r[AT["kind"]] == "element") == dom.MAX_DEPTH
+    assert max(r[AT["depth"]] for r in rows if r[AT["kind"]] == "element") == 3002
     assert sum(r[AT["kind"]] == "text" for r in rows) == 3000
 
 
+def test_text_behind_deep_nesting_stays_where_it_is():
+    rows = page_rows('<div id="outer">' + "<div>" * 600 + "</div>" * 600 + "<p>after</p></div><p>out</p>", frozenset(["p"]), None, ("id",))
+    inside, outside = [r[AT["path"]] for r in rows if r[AT["kind"]] == "element"]
+    assert "id=outer" in inside and "id=outer" not in outside
+
+
+def test_batches_end_within_a_page(spark, pages, monkeypatch):
+    monkeypatch.setattr(dom, "BATCH_CHARS", 5000)
+    site = pages("<div>x" * 200, "<p>y</p>" * 50)
+    assert dom.dom_nodes(site).count() == 200 * 2 + 2 + 50 * 2 + 2
+
+
 def random_page(rng):
     tags = ["div", "p", "b", "ul", "li", "table", "tr", "td", "a", "br", "h1", "span", "option", "select", "head", "body"]
     parts = []
