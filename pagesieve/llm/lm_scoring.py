@@ -35,6 +35,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 CLASSES = 32  # contexts by the binary logarithm of their count
 WEIGHTS = np.concatenate([[0.001, 0.003], np.linspace(0.01, 0.1, 7), np.linspace(0.15, 0.95, 17), [0.98]])
 WORDS, PAIRS, TOTALS = 0, 1, 2
+ASKED = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("totals", pa.binary())])
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -131,11 +133,13 @@ def gathered(blocks: DataFrame, shards: int) -> DataFrame:
         for row in _rows(batches):
             block = _block(row)
             pair_keys, order = block.keys()
+            out: list[tuple] = []
             for kind, keys, counts in ((WORDS, block.words, block.word_counts), (PAIRS, pair_keys, block.pair_counts[order])):
                 bounds = np.append(np.searchsorted(keys, _starts(shards)), len(keys))
                 for shard in np.flatnonzero(np.diff(bounds)).tolist():
                     part = slice(bounds[shard], bounds[shard + 1])
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([kind], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([packed_keys(keys[part])], pa.binary()), pa.array([packed(counts[part])], pa.binary())], names=["shard", "kind", "block", "keys", "counts"])
+                    out.append((shard, kind, row["block"], packed_keys(keys[part]), packed(counts[part])))
+            yield _batch(out, ASKED)
 
     def together(batches):
         now, blocks_, keys, counts = None, [], [], []
@@ -155,22 +159,26 @@ def gathered(blocks: DataFrame, shards: int) -> DataFrame:
         shard, kind = now
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        out: list[tuple] = []
         if kind == WORDS:
-            yield out(-1, TOTALS, shard, packed(np.array([(total > 0).sum(), (total == 1).sum(), total.sum()], np.int64)))
+            out.append((-1, TOTALS, shard, packed(np.array([(total > 0).sum(), (total == 1).sum(), total.sum()], np.int64))))
         mine = total[at].astype(np.uint32)
         first = 0
         for block, k in zip(blocks_, keys, strict=True):
-            yield out(block, kind, shard, packed(mine[first:first + len(k)]))
+            out.append((block, kind, shard, packed(mine[first:first + len(k)])))
             first += len(k)
-
-    def out(block, kind, shard, totals):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([totals], pa.binary())], names=["block", "kind", "shard", "totals"])
+        yield _batch(out, ANSWERED)
 
     asked = blocks.drop("entries").mapInArrow(ask, "shard int, kind int, block long, keys binary, counts binary")
     dealt = asked.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block")
     return dealt.mapInArrow(together, "block long, kind int, shard int, totals binary")
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _starts(shards: int) -> np.ndarray:
     """Where the shards of the hash space begin."""
     return np.array([i * ((1 << 64) // shards) for i in range(shards)], np.uint64)
