@@ -45,10 +45,23 @@ def total(pieces: Column) -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """Vector of a whole text; null counts as empty, which has zeros."""
+    """Vector of a whole text; null counts as empty, which has zeros. For whole tables `summed` is faster."""
     return total(runs(whole_text(text)))
 
 
+def summed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """`keys` and `vector`, the same sums by grouping: for texts that `keys` tell apart, in compiled code.
+
+    The pieces of a text stand together, so they are added up before any shuffle.
+    """
+    pieces = rows.select(*keys, F.explode_outer(runs(F.col(text))).alias("__piece"))
+    hashes = [F.when(F.col("__piece").isNotNull(), F.xxhash64(F.lit(seed), "__piece")).otherwise(F.lit(0)).alias(f"__h{seed}") for seed in SEEDS]
+    hashed = pieces.select(*keys, "__piece", *hashes)
+    lanes = [F.sum(F.shiftright(f"__h{seed}", s).bitwiseAND(F.lit(HALF))).alias(f"__l{seed}_{s}") for seed in SEEDS for s in range(PAIRS)]
+    added = hashed.groupBy(*keys).agg(F.count("__piece").alias("__n"), *lanes)
+    return added.select(*keys, F.array("__n", *(f"__l{seed}_{s}" for seed in SEEDS for s in range(PAIRS))).alias("vector"))
+
+
 def _by_halves(a: Column, b: Column, sign: int) -> Column:
     """Lane by lane, modulo 2^32, without a carry between the halves of a word."""
     high = lambda x: F.shiftrightunsigned(x, 32)
@@ -102,36 +115,37 @@ def _range_of(value: Column, bounds: list[float]) -> Column:
     return F.aggregate(steps, start, halve, lambda s: s["low"])
 
 
-def with_next(rows: DataFrame, key: str, columns: list[str], tie: str) -> DataFrame:
-    """Adds `next`, a struct of `columns` of the next row by (key, tie), after the last of the first.
+def in_ranges(rows: DataFrame, key: str, tie: str) -> DataFrame:
+    """Adds range, copy and rank: the order by (key, tie) within ranges of the key, each in one task.
 
-    Rows are dealt into ranges of the key, each numbered by one task; the first row of a range also
-    stands behind the last of the range before it. A missing key comes first. Rows with the same key
-    are spread by `tie`, a hash.
+    The first row of a range also stands, as a copy, behind the last of the range before it, and the
+    first of all behind the last of all: every row's next row is in its own range. A missing key comes
+    first. Rows with the same key are spread by `tie`, a hash.
     """
     within = F.pmod(F.col(tie), F.lit(1 << 32)) / F.lit(float(1 << 32))
     # without decimals from 2^53 on, but never falling as (key, tie) rises
     place = F.coalesce(F.col(key).cast("double"), F.lit(-1e19)) + within
-    spread = rows.withColumn("__place", place)
+    spread = rows.withColumn("place", place)
     n = rows.count()
     ranges = max(1, min(MOST_RANGES, math.ceil(n / RANGE_ROWS)))
     bounds: list[float] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(spread.agg(F.percentile_approx("__place", shares, max(10_000, 8 * ranges))).first()[0]))
-    dealt = spread.withColumn("__range", _range_of(F.col("__place"), bounds)).drop("__place")
+        bounds = sorted(set(spread.agg(F.percentile_approx("place", shares, max(10_000, 8 * ranges))).first()[0]))
+    dealt = spread.withColumn("range", _range_of(F.col("place"), bounds)).drop("place")
     order = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"), F.col(tie).alias("tie"))
     # one slim row per range, of which there are at most MOST_RANGES; no partition is meant
-    firsts = dealt.groupBy("__range").agg(F.min(order).alias("first"))
-    by_range = Window.orderBy("__range")
-    before = firsts.select("first", "__range", F.lag("__range").over(by_range).alias("before"), F.max("__range").over(Window.partitionBy()).alias("last"))
-    before = before.select(F.col("__range").alias("__own"), F.col("first").alias("__first"), F.coalesce("before", "last").alias("__to"))
-    # ranges before the first one with rows have none; the last gets the first row of all
-    heads = dealt.join(F.broadcast(before), (F.col("__range") == F.col("__own")) & order.eqNullSafe(F.col("__first")))
-    heads = heads.dropDuplicates(["__own"]).select(*rows.columns, F.col("__to").alias("__range"), F.lit(True).alias("__copy"))
-    both = dealt.withColumn("__copy", F.lit(False)).unionByName(heads)
-    ordered = Window.partitionBy("__range").orderBy("__copy", F.col(key).asc_nulls_first(), tie)
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(ordered)).filter(~F.col("__copy")).drop("__range", "__copy")
+    firsts = dealt.groupBy("range").agg(F.min(order).alias("first"))
+    before, last = F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy())
+    heads = firsts.select(F.col("range").alias("own"), "first", F.coalesce(before, last).alias("to"))
+    copies = dealt.join(F.broadcast(heads), (F.col("range") == F.col("own")) & order.eqNullSafe(F.col("first")))
+    copies = copies.dropDuplicates(["own"]).select(*rows.columns, F.col("to").alias("range"), F.lit(True).alias("copy"))
+    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies)
+    return both.withColumn("rank", F.row_number().over(_within()))
+
+
+def _within(*more: str):
+    return Window.partitionBy("range").orderBy("copy", F.col("key").asc_nulls_first(), "tie", *more)
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,18 +153,23 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Edited: the last floor(n_chars / 4) code points give way to as many from the start of the next
     document by ascending key. Null text: empty. A single document is its own next. Equal keys are in
-    order of their texts' hashes. Other columns are ignored; empty input gives no rows.
+    order of their texts' hashes. Other columns are ignored; empty input gives no rows. Texts are
+    shuffled once, by range; sums and neighbours are found within the ranges.
     """
     body = whole_text(F.col(text))
-    rows = docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("tie"))
-    rows = rows.withColumn("own", fingerprint(F.col("text")))
+    ranged = in_ranges(docs.select(F.col(key).alias("key"), body.alias("text"), F.xxhash64(body).alias("tie")), "key", "tie")
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut))
-    paired = with_next(rows, "key", ["text", "own"], "tie").select("key", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"), edited.alias("edited"))
-    both = paired.withColumn("changed", fingerprint(F.col("edited")))
-    return both.select(
-        F.col("key").alias(key), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"),
+    after = F.coalesce(F.lead("text").over(_within()), F.lit(""))
+    paired = ranged.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring(after, F.lit(1), cut)))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))
+    keys = ["range", "copy", "rank", "key", "n_chars", "edited_sha256"]
+    both = paired.select("range", "copy", "rank", "key", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(sides).alias("s"))
+    vectors = summed(both.select(*keys, "s.side", "s.body"), [*keys, "side"], "body")
+    # a row's own vector is followed by that of its edited text, then by the next row's own
+    line = Window.partitionBy("range").orderBy("copy", "rank", "side")
+    met = vectors.select(*keys, "side", "vector", F.lead("vector").over(line).alias("changed"), F.lead("vector", 2).over(line).alias("after"))
+    return met.filter((F.col("side") == 0) & ~F.col("copy")).select(
+        F.col("key").alias(key), "n_chars", "edited_sha256", as_text(F.col("vector")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("vector"), F.col("changed")).alias("near_edited"), likeness(F.col("vector"), F.col("after")).alias("near_next"),
     )

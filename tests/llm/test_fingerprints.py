@@ -69,3 +69,16 @@ def test_deletion_borrows_from_no_lane(spark):
     df = spark.createDataFrame([("a\nb", "c d\ne f\ng")], "a string, b string")
     back = P.inserted(P.deleted(P.fingerprint(F.col("a")), F.col("b")), F.col("b"))
     assert df.select(back == P.fingerprint(F.col("a"))).first()[0]
+
+
+def test_grouped_sums_are_those_of_the_expression(spark):
+    rows = spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(C.ODD_ROWS)], "i long, t string")
+    grouped = P.summed(rows, ["i"], "t").join(rows, "i")
+    assert grouped.filter(F.col("vector") != P.fingerprint(F.col("t"))).count() == 0 and grouped.count() == len(C.ODD_ROWS)
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANGE_ROWS", 50)
+    text = P.compare_edited(C.documents(spark))._jdf.queryExecution().executedPlan().toString()
+    plan = text[text.index("Initial Plan"):] if "Initial Plan" in text else text
+    assert plan.count("hashpartitioning(range") == 2  # the rows, and one slim row per range
