@@ -12,12 +12,16 @@ from .urls import SEARCH_PREFIX
 _NODE_DDL = ", ".join(f"{name} {SPARK_FIELDS[name].simpleString()}" for name in NODE_COLUMNS)
 
 
-@F.udtf(returnType=_NODE_DDL)
+@F.udtf(returnType=_NODE_DDL, useArrow=True)
 class DomNodes:
-    """`dom_nodes(html)`: node rows of one page, for LATERAL."""
+    """`dom_nodes(html)`: node rows of one page, for LATERAL.
 
-    def eval(self, html: str):
-        for row in page_rows(html or "", None, None):
+    `dom_nodes(html, 'a li')` gives the elements of these tags and the texts below them alone.
+    """
+
+    def eval(self, html: str, tags: str = ""):
+        only = frozenset(tags.split()) if tags else None
+        for row in page_rows(html or "", only, only, None):
             values = dict(zip(NODE_COLUMNS, row))
             values["attrs"] = dict(values["attrs"]) if values["attrs"] is not None else None
             yield tuple(values[name] for name in NODE_COLUMNS)

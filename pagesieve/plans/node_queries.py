@@ -260,6 +260,6 @@ def sql_functions(spark, folder):
     register(spark)
     return spark.sql(
         """SELECT p.page_id, url_domain(first(p.url)) AS domain, registrable_domain(first(p.url)) AS site, count(*) AS n_links
-           FROM {pages} p, LATERAL dom_nodes(p.html) n WHERE n.tag = 'a' GROUP BY p.page_id""",
+           FROM {pages} p, LATERAL dom_nodes(p.html, 'a') n WHERE n.tag = 'a' GROUP BY p.page_id""",
         pages=pages(spark, folder),
     )

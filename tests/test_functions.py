@@ -224,3 +224,17 @@ def test_shared_start_is_that_of_python(spark):
     draw()
     df = spark.createDataFrame(list(enumerate(samples)), "i int, x array<string>").select("i", S.shared_start(F.col("x")).alias("s"))
     assert {r.i: r.s for r in df.collect()} == {i: os.path.commonprefix(x) for i, x in enumerate(samples)}
+
+
+@pytest.mark.parametrize(("href", "base", "want"), [
+    ("../p2.html", "http://s/a/b/p1.html", "http://s/a/p2.html"), ("./x/../y?q=../z#f", "http://s/a/", "http://s/a/y?q=../z"),
+    ("../../../up", "http://s/a/b", "http://s/up"), ("/a/./b/..", "http://s/c", "http://s/a/"), ("..", "http://s/a/b/c", "http://s/a/"),
+    ("http://t/a/../b", "http://s/", "http://t/b"), ("x..y/.z", "http://s/a/", "http://s/a/x..y/.z"), ("?p=1", "http://s/a/b?q", "http://s/a/b?p=1"),
+    ("mailto:a@b", "http://s/", "mailto:a@b"),
+])
+def test_links_with_dots(value, href, base, want):
+    assert value(U.resolve(F.lit(href), F.lit(base))) == want
+
+
+def test_texts_as_shown(value):
+    assert value(X.collapse(F.lit(" a\n\t b  c "))) == "a b c"
