@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,12 +17,40 @@ from . import xpath as XP
 def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Q1: (page_id, title) for which no selected element contains the example text, both as they are shown.
 
-    `examples` maps titles to (path, example text).
+    `examples` maps titles to (path, example text). Paths without tests on other nodes share one pass;
+    each of the rest takes one of its own.
     """
-    titles = list(examples)
     locations = {t: XP.read_alternatives(path) for t, (path, _) in examples.items()}
-    if any(s.far_tests for locs in locations.values() for loc in locs for s in loc.steps):
-        raise XP.UnsupportedXPath("example checks take paths without tests on other nodes")
+    far = {t for t, locs in locations.items() if any(s.far_tests for loc in locs for s in loc.steps)}
+    near = {t: e for t, e in examples.items() if t not in far}
+    found = [_shown_by_tests(pages, t, *examples[t]) for t in examples if t in far]
+    if near:
+        found.append(_shown(pages, near, {t: locations[t] for t in near}))
+    expected = pages.select("page_id", F.explode(F.array(*map(F.lit, examples))).alias("title"))
+    return expected.join(reduce(DataFrame.unionByName, found), ["page_id", "title"], "left_anti")
+
+
+def _holds(value: Column, wanted: Column) -> Column:
+    decoded = F.coalesce(X.html_unescape(F.when(F.contains(value, F.lit("&")), value)), value)
+    return F.contains(X.collapse(decoded), wanted)
+
+
+def _wanted(text: str) -> Column:
+    return X.collapse(F.lit(html.unescape(text)))
+
+
+def _shown_by_tests(pages: DataFrame, title: str, path: str, text: str) -> DataFrame:
+    locations = XP.read_alternatives(path)
+    if any(loc.text for loc in locations):
+        raise XP.UnsupportedXPath(f"an example check selects elements, not texts: {path!r}")
+    nodes = dom.dom_nodes(pages, path_attrs=XP.needs(locations)[2])
+    values = XP.selected_texts(nodes, path).filter(_holds(F.col("string_value"), _wanted(text)))
+    chosen = XP.select_nodes(nodes, path).select("page_id", "pre")
+    return values.join(chosen, ["page_id", "pre"], "left_semi").select("page_id", F.lit(title).alias("title")).distinct()
+
+
+def _shown(pages: DataFrame, examples: Mapping[str, tuple[str, str]], locations: dict) -> DataFrame:
+    titles = list(examples)
     leaves = [loc for locs in locations.values() for loc in locs]
     _, _, attrs = XP.needs(leaves)
     below = {loc.steps[-1].tag for loc in leaves}
@@ -39,15 +68,12 @@ def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]])
         .groupBy("page_id", F.col("o.vote").alias("n"), F.col("o.pre").alias("pre"))
         .agg(XP.ordered_text("text", "__at").alias("value"))
     )
-    wanted = F.element_at(F.array(*[X.collapse(F.lit(html.unescape(text))) for _, text in examples.values()]), F.col("n") + 1)
-    decoded = F.coalesce(X.html_unescape(F.when(F.contains("value", F.lit("&")), F.col("value"))), F.col("value"))
-    found = (
-        values.filter(F.contains(X.collapse(decoded), wanted))
+    wanted = F.element_at(F.array(*[_wanted(text) for _, text in examples.values()]), F.col("n") + 1)
+    return (
+        values.filter(_holds(F.col("value"), wanted))
         .select("page_id", F.element_at(F.array(*map(F.lit, titles)), F.col("n") + 1).alias("title"))
         .distinct()
     )
-    expected = pages.select("page_id", F.explode(F.array(*map(F.lit, titles))).alias("title"))
-    return expected.join(found, ["page_id", "title"], "left_anti")
 
 
 def regroup_check(fragments: DataFrame, text: str = "text", out: str = "found") -> DataFrame:

@@ -423,21 +423,25 @@ def selected_texts(nodes: DataFrame, xpath: str) -> DataFrame:
 
 
 def match_counts(nodes: DataFrame, selectors: dict[str, str]) -> DataFrame:
-    """Matches per page and selector, in one pass for selectors without tests on other nodes."""
-    hits = []
+    """Matches per page and selector, in one pass for selectors without tests on other nodes.
+
+    A selector with such tests is counted in a pass of its own, on `nodes` with all columns.
+    """
+    hits, parts = [], []
     for name, xpath in selectors.items():
+        locations = read_alternatives(xpath)
+        if any(s.far_tests for loc in locations for s in loc.steps):
+            parts.append(select_nodes(nodes, xpath).select("page_id", F.lit(name).alias("selector")))
+            continue
         tests = []
-        for loc in read_alternatives(xpath):
-            if any(s.far_tests for s in loc.steps):
-                raise UnsupportedXPath(f"count {xpath!r} through select_nodes")
+        for loc in locations:
             kind = "text" if loc.text else "element"
             tests.append((F.col("kind") == kind) & F.col("path").rlike(steps_regex(loc.steps, loc.text)))
         hits.append(F.when(any_of(tests), F.lit(name)))
-    return (
-        nodes.select("page_id", F.explode(F.array_compact(F.array(*hits))).alias("selector"))
-        .groupBy("page_id", "selector")
-        .agg(F.count(F.lit(1)).alias("n_matches"))
-    )
+    if hits:
+        parts.append(nodes.select("page_id", F.explode(F.array_compact(F.array(*hits))).alias("selector")))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.groupBy("page_id", "selector").agg(F.count(F.lit(1)).alias("n_matches"))
 
 
 def strip_text_step(xpath: Column) -> Column:

@@ -237,6 +237,15 @@ def clickable_elements(spark, folder):
     return _counted(nodes.filter(induce.is_clickable(F.col("tag"), F.try_element_at("attrs", F.lit("type")))))
 
 
+@query(f"""WITH {LINKS} SELECT page_id, 'the' AS selector, count(*)::BIGINT AS n_matches FROM links WHERE raw = 'the' GROUP BY page_id
+  UNION ALL SELECT page_id, 'all', count(*) FROM links GROUP BY page_id
+  UNION ALL SELECT page_id, 'second', 1 FROM links WHERE i = 2""")
+def tested_link_counts(spark, folder):
+    """Counts of selectors that test other nodes, and of one that does not."""
+    nodes = dom.dom_nodes(pages(spark, folder), elements={"li", "a", "ul"}, texts_in={"a"})
+    return XP.match_counts(nodes, {"the": '//nav//a[text()="the"]', "all": "//nav//li", "second": "//nav/ul/*[2]"})
+
+
 @query(f"""SELECT page_id, 'h1' AS tag, {H1} AS text FROM pages UNION ALL SELECT page_id, 'footer', {FOOTER} FROM pages""")
 def tight_union(spark, folder):
     """Alternatives without blanks around the bar."""

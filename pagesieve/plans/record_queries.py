@@ -159,6 +159,15 @@ def example_failures(spark, folder):
     )
 
 
+@query(f"""WITH {LINKS} SELECT page_id, 'tested' AS title FROM pages WHERE page_id NOT IN (SELECT page_id FROM links WHERE raw = 'the')
+  UNION ALL SELECT page_id, 'plain' FROM pages WHERE NOT contains({FOOTER}, 'example.net')""")
+def example_failures_by_tests(spark, folder):
+    """Q1: a path that tests other nodes next to a plain one."""
+    return C.example_failures(
+        pages(spark, folder), {"tested": ('//nav/ul/li[.//a[text()="the"]]', "the"), "plain": ("//body//footer[1]", "example.net")}
+    )
+
+
 @query(f"""WITH {LINKS}, lists AS (
     SELECT page_id, list({tidied('raw')} ORDER BY i) AS texts FROM links GROUP BY page_id),
   asked AS (SELECT *, texts[1] || coalesce(texts[2], '') AS wanted, range(0, len(texts), 2) AS starts FROM lists)
