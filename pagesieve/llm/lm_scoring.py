@@ -121,7 +121,7 @@ def _block(row: dict) -> Block:
 def _rows(batches) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
+            yield batch.slice(i, 1).to_pylist()[0] | {"keys_type": batch.schema.field("keys").type}
 
 
 def gathered(blocks: DataFrame, shards: int) -> DataFrame:
@@ -283,13 +283,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", trained=None
     def run(batches):
         for row in _rows(batches):
             block, words, pairs = _with_totals(row)
+            keys = pa.array(row["keys"], row["keys_type"].value_type)
             trie = model_of(block, words, pairs, counts, weights)
             starts = np.concatenate([[0], block.sizes.cumsum()[:-1]])
             base = np.log10((words + 0.1) / (counts.tokens + 0.1 * (counts.types + 1)))
             per_token = (trie.log(block.context, block.word)[block.at], base[block.tokens], (words > 0)[block.tokens].astype(np.int64))
             scores, bases, known = (np.add.reduceat(v, starts) for v in per_token)
             n = len(block.sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(row["keys"]), pa.array(block.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(n, counts.tokens)), pa.array(bases), pa.array(scores)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(block.sizes.astype(np.int64)), pa.array(known), pa.array(np.full(n, counts.tokens)), pa.array(bases), pa.array(scores)], names=["key", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return joined.mapInArrow(run, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
 

@@ -91,6 +91,8 @@ def test_odd_rows(spark):
     untrained = L.score(odd, trained=F.lit(False)).collect()
     assert len(untrained) == len(C.ODD_ROWS) and all(r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in untrained)
     assert L.score(C.no_documents(spark)).count() == 0
+    nobody = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(C.rows(L.score(nobody), "doc_id", "n_tokens")) == [(None, 1), (None, 3)]
 
 
 def test_word_hashes():
