@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,17 +23,69 @@ from pyspark.sql import functions as F
 META = "▁"
 LITERAL = META + "\0"  # the character itself, where the text has it; no piece
 DROP = 0.1
-DRAWS = 8  # ways in which a word may be segmented over all texts
-CACHED = 300_000  # words per task; the cache starts anew beyond it
+DRAWS = 4  # ways in which a word may be segmented over all texts
+CACHED = 600_000  # words per task; the cache starts anew beyond it
+SHORT = 40  # symbols up to which scanning a list beats a heap
+NONE = 1 << 60
 
 _CUT = re.compile(r" *[^ \n]+| *\n| +")
 
 
+def _skipped(key: int, left: int, size: int, drop: int) -> bool:
+    """Keyed hash of a candidate: where it begins and how many characters it has."""
+    return ((key ^ (left * 0x9E3779B1) ^ (size * 0x85EBCA77)) * 0xC2B2AE3D & 0xFFFFFFFF) < drop
+
+
+def _by_list(parts: list[str], ranks: dict[str, int], key: int, drop: int) -> None:
+    """The agenda of a short cut, as the ranks of neighbouring pairs: best first, then leftmost."""
+    starts = list(range(len(parts)))
+    agenda = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+    while agenda and (best := min(agenda)) != NONE:
+        i = agenda.index(best)
+        merged = parts[i] + parts[i + 1]
+        if drop and _skipped(key, starts[i], len(merged), drop):
+            agenda[i] = NONE
+            continue
+        parts[i:i + 2] = [merged]
+        del starts[i + 1], agenda[i]
+        if i:
+            agenda[i - 1] = ranks.get(parts[i - 1] + merged, NONE)
+        if i < len(agenda):
+            agenda[i] = ranks.get(merged + parts[i + 1], NONE)
+
+
+def _by_heap(parts: list[str], ranks: dict[str, int], key: int, drop: int) -> None:
+    """The same for a cut of any length, in n log n steps."""
+    n = len(parts)
+    before, after, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
+
+    def offer(left: int, right: int) -> None:
+        if left >= 0 and right < n and (rank := ranks.get(parts[left] + parts[right])) is not None:
+            heapq.heappush(agenda, (rank, left, right, len(parts[left]) + len(parts[right])))
+
+    for left in range(n - 1):
+        offer(left, left + 1)
+    while agenda:
+        _, left, right, size = heapq.heappop(agenda)
+        if not parts[left] or not parts[right] or after[left] != right or len(parts[left]) + len(parts[right]) != size:
+            continue
+        if drop and _skipped(key, left, size, drop):
+            continue
+        parts[left], parts[right] = parts[left] + parts[right], ""
+        after[left] = right = after[right]
+        if right < n:
+            before[right] = left
+        offer(before[left], left)
+        offer(left, right)
+    parts[:] = [p for p in parts if p]
+
+
 @dataclass(frozen=True)
 class Pieces:
-    """A vocabulary: mergeable pieces with id and score, the ids of single bytes, and the bytes of each id."""
+    """A vocabulary: pieces with id and rank by score, the ids of single bytes, and the bytes of each id."""
 
-    known: dict[str, tuple[int, float]]
+    ids: dict[str, int]
+    ranks: dict[str, int]
     byte_ids: tuple[int, ...]
     spelled: tuple[bytes, ...]
 
@@ -54,41 +107,22 @@ class Pieces:
                 spelled.append(piece.replace(META, " ").encode())
         if any("\n" in piece or META in piece.lstrip(META) for piece in known):
             raise ValueError("pieces reach across words")
-        return Pieces(known, tuple(byte_ids), tuple(spelled))
+        order = {score: rank for rank, score in enumerate(sorted({score for _, score in known.values()}, reverse=True))}
+        return Pieces({p: i for p, (i, _) in known.items()}, {p: order[score] for p, (_, score) in known.items()}, tuple(byte_ids), tuple(spelled))
 
     def segment(self, cut: str, key: int, drop: int) -> list[int]:
         """Ids of one cut. key: of the keyed hash; drop: share of candidates skipped, of 2^32."""
-        parts: list[str | None] = [META if c == " " else LITERAL if c == META else c for c in cut]
-        before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-        known, agenda, n = self.known, [], len(parts)
-
-        def offer(left: int, right: int) -> None:
-            if left >= 0 and right < n and (found := known.get(parts[left] + parts[right])):
-                heapq.heappush(agenda, (-found[1], left, right, len(parts[left]) + len(parts[right])))
-
-        for left in range(n - 1):
-            offer(left, left + 1)
-        while agenda:
-            _, left, right, size = heapq.heappop(agenda)
-            a, b = parts[left], parts[right]
-            if a is None or b is None or after[left] != right or len(a) + len(b) != size:
-                continue
-            if drop and zlib.crc32(b"%d %d %d" % (key, left, size)) < drop:
-                continue
-            parts[left], parts[right] = a + b, None
-            after[left] = right = after[right]
-            if right < n:
-                before[right] = left
-            offer(before[left], left)
-            offer(left, right)
+        parts = list(cut.replace(" ", META)) if META not in cut else [META if c == " " else LITERAL if c == META else c for c in cut]
+        (_by_heap if len(parts) > SHORT else _by_list)(parts, self.ranks, key, drop)
+        known = self.ids
+        if all([p in known for p in parts]):
+            return [known[p] for p in parts]
         ids: list[int] = []
         for part in parts:
-            if part is None:
-                continue
-            if part in known:
-                ids.append(known[part][0])
+            if (found := self.ids.get(part)) is not None:
+                ids.append(found)
             else:
-                ids.extend(self.byte_ids[b] for b in (META if part == LITERAL else part).encode("utf-8", "surrogatepass"))
+                ids.extend([self.byte_ids[b] for b in (META if part == LITERAL else part).encode("utf-8", "surrogatepass")])
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -109,6 +143,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
     def run(batches):
         pieces = Pieces.load(model)
         kept: list[dict[str, bytes]] = [{} for _ in range(draws)]
+        keys = [zlib.crc32(b"%d %d " % (seed, draw)) for draw in range(draws)]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -119,8 +154,8 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                     memory = kept[draw]
                     cuts = _CUT.findall(" " + text) if text else []
                     for cut in {c for c in cuts if c not in memory}:
-                        spot = zlib.crc32(b"%d %d " % (seed, draw) + cut.encode("utf-8", "surrogatepass"))
-                        memory[cut] = np.array(pieces.segment(cut, spot, skipped), np.int32).tobytes()
+                        spot = zlib.crc32(cut.encode("utf-8", "surrogatepass"), keys[draw])
+                        memory[cut] = array("i", pieces.segment(cut, spot, skipped)).tobytes()
                     ids = np.frombuffer(b"".join([memory[c] for c in cuts]), np.int32)
                     same.append(not text or pieces.decode(ids.tolist()) == text)
                     found.append(ids)

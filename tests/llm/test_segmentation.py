@@ -44,6 +44,16 @@ def test_share_of_skipped_merges():
     assert len({tuple(pieces.segment(" international", key * 7919, round(S.DROP * 2**32))) for key in range(50)}) > 3
 
 
+def test_list_and_heap_agree(monkeypatch):
+    pieces = S.Pieces.load(PATH)
+    cuts = [" internationalisation.", "   ", " aaaaaaaaaaaa", "xyzzy" * 7, " ÉÉéé日本", "a"]
+    for drop in (0, round(0.3 * 2**32)):
+        by_list = [pieces.segment(c, key, drop) for c in cuts for key in range(40)]
+        monkeypatch.setattr(S, "SHORT", 0)
+        assert [pieces.segment(c, key, drop) for c in cuts for key in range(40)] == by_list
+        monkeypatch.undo()
+
+
 def test_odd_rows(spark):
     odd = C.odd_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(HARD, 50)), "doc_id long, text string"))
     got = S.encode(odd, PATH).collect()
