@@ -1,6 +1,6 @@
 """Language-model scores from an Elias-Fano n-gram trie, with counts gathered over the whole corpus.
 
-1. Documents are encoded into blocks of about two million tokens: per token its place among the
+1. Documents are encoded into blocks of about a million tokens: per token its place among the
    block's own words, which are kept as 64-bit hashes. Blocks are written out.
 2. Every block sends its distinct words and bigrams to shards of the hash space, packed into one row
    per block and shard; a shard adds up what all blocks counted and answers in the same order. A word
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .common import fold, stored
 from .trie import Trie
 from .words import mixed, word_hashes
 
-BLOCK = 1 << 21  # tokens from which a block is closed
+BLOCK = 1 << 20  # tokens from which a block is closed
 SHARD = 1 << 22  # entries of a shard, on average
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a document among word hashes
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,13 +41,15 @@ ANSWERED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Numbers of one width as planes of bytes: what is mostly zero compresses away."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    """Numbers of one width as planes of bytes, compressed: high bytes are mostly zero, low ones uneven."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
 def unpacked(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    planes = zstandard.ZstdDecompressor().decompress(data)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
