@@ -208,14 +208,8 @@ def _compared(groups, threshold: float):
             yield nodes[x], int(links[x]), nodes[top(x)]
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: `key`, class_id, n_copies, n_links, group_id.
-
-    class_id: least key among equal texts, n_copies their number. n_links: how many other classes reach
-    the threshold. group_id: least class_id among classes connected by links. Null and empty texts, and
-    texts of blanks, have no n-grams: equal ones share a class and have no links. Missing keys are passed
-    on. A key that recurs gives a row each time. Words are runs without ASCII white space, as they stand.
-    """
+def _grouped(docs: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows of the documents (key, h1, h2), and one row per class (h1, h2): class_id, n_copies, n_links, component, group_id."""
     rows = stored(_described(docs, key, text), "bands")
     classes = stored(
         rows.groupBy("h1", "h2").agg(F.min("key").alias("class_id"), F.min("row").alias("node"), F.count(F.lit(1)).alias("n_copies")), "classes"
@@ -273,20 +267,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     same = components(links.select(F.col("node").alias("a"), F.col("anchor").alias("b")), "groups")
     named = classes.join(n_links, "node", "left").join(same, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("class_id").alias("group_id"))
-    full = named.join(least, "component").select("h1", "h2", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id")
-    return rows.select("key", "h1", "h2").join(full, ["h1", "h2"]).select(F.col("key").alias(key), "class_id", "n_copies", "n_links", "group_id")
+    full = named.join(least, "component").select("h1", "h2", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component", "group_id")
+    return rows.select("key", "h1", "h2"), full
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document: `key`, class_id, n_copies, n_links, group_id.
+
+    class_id: least key among equal texts, n_copies their number. n_links: how many other classes reach
+    the threshold. group_id: least class_id among classes connected by links. Null and empty texts, and
+    texts of blanks, have no n-grams: equal ones share a class and have no links. Missing keys are passed
+    on. A key that recurs gives a row each time. Words are runs without ASCII white space, as they stand.
+    """
+    rows, full = _grouped(docs, key, text, threshold)
+    return rows.join(full, ["h1", "h2"]).select(F.col("key").alias(key), "class_id", "n_copies", "n_links", "group_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with all its columns: that with the group's least key.
 
-    Rows equal in key and text count as one document. Documents without a key are kept: nothing tells
-    which of them would stand for a group.
+    Where one key stands on several texts of a group, the text with the least hash; a missing key comes
+    after all others. Rows equal in key and text count as one document. Rows with neither key nor text
+    are equal to each other only, so one of them stays.
     """
-    groups = near_duplicates(docs.filter(F.col(key).isNotNull()), key, text, threshold)
-    chosen = groups.filter(F.col(key) == F.col("group_id")).select(F.col(key).alias("__kept")).distinct()
-    named = docs.filter(F.col(key).isNotNull()).join(chosen, F.col(key) == F.col("__kept"), "left_semi")
-    return named.dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    nothing = F.col(key).isNull() & F.col(text).isNull()
+    some = docs.filter(~nothing)
+    _, classes = _grouped(some, key, text, threshold)
+    leader = F.min(F.struct(F.col("class_id").isNull().alias("missing"), "class_id", "h1", "h2")).alias("leader")
+    chosen = classes.groupBy("component").agg(leader).select(F.col("leader.class_id").alias("__key"), F.col("leader.h1").alias("__g1"), F.col("leader.h2").alias("__g2"))
+    body = whole_text(F.col(text))
+    hashed = some.withColumns({"__h1": F.xxhash64(body), "__h2": F.xxhash64(F.lit(7), body)})
+    named = hashed.join(chosen, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2")), "left_semi")
+    return named.dropDuplicates([key, "__h1", "__h2"]).drop("__h1", "__h2").unionByName(docs.filter(nothing).limit(1))
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:

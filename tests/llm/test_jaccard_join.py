@@ -93,6 +93,32 @@ def test_keeps_one_of_each_group(spark):
     assert sorted(k for (k,) in C.rows(J.keep_one(docs), "doc_id")) == sorted(want)
 
 
+def led(rows):
+    """(key, text) of the row that leads each group: least key, a missing one last. Keys may recur; groups are told apart by texts."""
+    numbered = brute(list(enumerate(t for _, t in rows)))
+    groups = defaultdict(list)
+    for i, _, _, _, g in numbered:
+        groups[g].append(rows[i])
+    return [min(members, key=lambda r: (r[0] is None, r[0] or 0)) for members in groups.values()]
+
+
+def test_one_key_on_many_texts(spark):
+    """Every text of a key that recurs is judged by its own group."""
+    apart = [(7, f"text {i} " + " ".join(f"t{i}x{j}" for j in range(40))) for i in range(30)]
+    copies = [(100 + i, t) for i, (_, t) in enumerate(apart[:10])] + [(i - 10, t + " more") for i, (_, t) in enumerate(apart[10:15])]
+    rows = apart + copies + apart[:3]
+    got = C.rows(J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text")
+    assert sorted(got) == sorted(led(rows)) and len(got) == 30
+
+
+def test_missing_keys_on_equal_texts(spark):
+    """Rows without a key take part: copies go, and give way to a row that has a key."""
+    base = " ".join(f"w{j}" for j in range(60))
+    rows = [(None, base)] * 5 + [(None, "alone here")] + [(3, "with a key")] + [(None, "with a key")] * 4 + [(None, base + " end")]
+    got = C.rows(J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "text")
+    assert Counter((k, t.removesuffix(" end")) for k, t in got) == Counter([(None, base), (None, "alone here"), (3, "with a key")])
+
+
 def test_products_count_what_intersections_count():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 60, 400, dtype=np.uint64)
