@@ -116,14 +116,14 @@ def _range_of(value: Column, bounds: list[float]) -> Column:
 
 
 def in_ranges(rows: DataFrame, key: str, tie: str) -> DataFrame:
-    """Adds range, copy and rank: the order by (key, tie) within ranges of the key, each in one task.
+    """Adds range, copy and rank: the order by (key, low half of tie, tie) within ranges of it, each in one task.
 
     The first row of a range also stands, as a copy, behind the last of the range before it, and the
     first of all behind the last of all: every row's next row is in its own range. A missing key comes
     first. Rows with the same key are spread by `tie`, a hash.
     """
-    within = F.pmod(F.col(tie), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    # without decimals from 2^53 on, but never falling as (key, tie) rises
+    within = _low(F.col(tie)) / F.lit(float(1 << 32))
+    # without decimals from 2^53 on, but never falling in the order of (key, low half of tie)
     place = F.coalesce(F.col(key).cast("double"), F.lit(-1e19)) + within
     spread = rows.withColumn("place", place)
     n = rows.count()
@@ -133,7 +133,7 @@ def in_ranges(rows: DataFrame, key: str, tie: str) -> DataFrame:
         shares = [i / ranges for i in range(1, ranges)]
         bounds = sorted(set(spread.agg(F.percentile_approx("place", shares, max(10_000, 8 * ranges))).first()[0]))
     dealt = spread.withColumn("range", _range_of(F.col("place"), bounds)).drop("place")
-    order = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"), F.col(tie).alias("tie"))
+    order = F.struct(F.col(key).isNotNull().alias("known"), F.col(key).alias("key"), _low(F.col(tie)).alias("low"), F.col(tie).alias("tie"))
     # one slim row per range, of which there are at most MOST_RANGES; no partition is meant
     firsts = dealt.groupBy("range").agg(F.min(order).alias("first"))
     before, last = F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy())
@@ -145,7 +145,12 @@ def in_ranges(rows: DataFrame, key: str, tie: str) -> DataFrame:
 
 
 def _within(*more: str):
-    return Window.partitionBy("range").orderBy("copy", F.col("key").asc_nulls_first(), "tie", *more)
+    return Window.partitionBy("range").orderBy("copy", F.col("key").asc_nulls_first(), _low(F.col("tie")), "tie", *more)
+
+
+def _low(tie: Column) -> Column:
+    """Low half of a hash: what cuts the ranges within a key, so it also comes first in the order of a key's rows."""
+    return F.pmod(tie, F.lit(1 << 32))
 
 
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +158,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Edited: the last floor(n_chars / 4) code points give way to as many from the start of the next
     document by ascending key. Null text: empty. A single document is its own next. Equal keys are in
-    order of their texts' hashes. Other columns are ignored; empty input gives no rows. Texts are
+    order of the low halves of their texts' hashes, then of the whole ones. Other columns are ignored; empty input gives no rows. Texts are
     shuffled once, by range; sums and neighbours are found within the ranges.
     """
     body = whole_text(F.col(text))

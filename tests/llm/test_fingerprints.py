@@ -40,6 +40,15 @@ def test_ranges_join_up(spark, monkeypatch):
     assert set(got) == {k for k, _ in source}
 
 
+def test_one_id_over_several_ranges(spark, monkeypatch):
+    """The next document does not depend on how many ranges a repeated id spans."""
+    df = spark.createDataFrame([(5, f"text {i} of one id") for i in range(200)] + [(i, f"other {i}") for i in range(20)], "doc_id long, text string")
+    columns = ["doc_id", "fingerprint", "edited_sha256", "near_next"]
+    whole = sorted(C.rows(P.compare_edited(df), *columns))
+    monkeypatch.setattr(P, "RANGE_ROWS", 7)
+    assert sorted(C.rows(P.compare_edited(df), *columns)) == whole
+
+
 def test_odd_rows(spark):
     got = P.compare_edited(C.odd_documents(spark)).collect()
     assert len(got) == len(C.ODD_ROWS)
