@@ -2,48 +2,59 @@
 
 A text is cut where no piece can reach across. Within a cut, neighbouring symbols are merged by an
 agenda, best score first; a candidate that comes up is skipped when its keyed hash says so. The hash
-depends on the seed, the text's draw, the symbols and their place, so a run can be repeated, while
-other draws segment the same word in other ways. All pieces stand for the bytes that they spell, so
-every segmentation decodes to the text.
+depends on the text's draw, the place of the cut in the text, and the candidate's place and size in
+the cut, so a run can be repeated, while every occurrence of a word is segmented in its own way. All
+pieces stand for the bytes that they spell, so every segmentation decodes to the text.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import zlib
 from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import mixed
+
 META = "▁"
 LITERAL = META + "\0"  # the character itself, where the text has it; no piece
 DROP = 0.1
-DRAWS = 4  # ways in which a word may be segmented over all texts
-CACHED = 600_000  # words per task; the cache starts anew beyond it
 SHORT = 40  # symbols up to which scanning a list beats a heap
+KNOWN = 16  # characters up to which what may become of a cut is remembered; longer ones seldom recur alike
+STATES = 400_000  # states remembered per task; the memory starts anew beyond it
+CUTS = 1 << 16  # cuts looked up at once
 NONE = 1 << 60
 
 _CUT = re.compile(r" *[^ \n]+| *\n| +")
+_LAST = 0xC2B2AE3D
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _code(left: int, size: int) -> int:
+    """A candidate: where it begins and how many characters it has."""
+    return (left * 0x9E3779B1 ^ size * 0x85EBCA77) & 0xFFFFFFFF
 
 
 def _skipped(key: int, left: int, size: int, drop: int) -> bool:
-    """Keyed hash of a candidate: where it begins and how many characters it has."""
-    return ((key ^ (left * 0x9E3779B1) ^ (size * 0x85EBCA77)) * 0xC2B2AE3D & 0xFFFFFFFF) < drop
+    """Keyed hash of a candidate."""
+    return ((key ^ _code(left, size)) * _LAST & 0xFFFFFFFF) < drop
 
 
-def _by_list(parts: list[str], ranks: dict[str, int], key: int, drop: int) -> None:
+def _by_list(parts: list[str], ranks: dict[str, int], skip: Callable[[int, int], bool] | None) -> None:
     """The agenda of a short cut, as the ranks of neighbouring pairs: best first, then leftmost."""
     starts = list(range(len(parts)))
     agenda = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
     while agenda and (best := min(agenda)) != NONE:
         i = agenda.index(best)
         merged = parts[i] + parts[i + 1]
-        if drop and _skipped(key, starts[i], len(merged), drop):
+        if skip and skip(starts[i], len(merged)):
             agenda[i] = NONE
             continue
         parts[i:i + 2] = [merged]
@@ -54,7 +65,7 @@ def _by_list(parts: list[str], ranks: dict[str, int], key: int, drop: int) -> No
             agenda[i] = ranks.get(merged + parts[i + 1], NONE)
 
 
-def _by_heap(parts: list[str], ranks: dict[str, int], key: int, drop: int) -> None:
+def _by_heap(parts: list[str], ranks: dict[str, int], skip: Callable[[int, int], bool] | None) -> None:
     """The same for a cut of any length, in n log n steps."""
     n = len(parts)
     before, after, agenda = list(range(-1, n - 1)), list(range(1, n + 1)), []
@@ -69,7 +80,7 @@ def _by_heap(parts: list[str], ranks: dict[str, int], key: int, drop: int) -> No
         _, left, right, size = heapq.heappop(agenda)
         if not parts[left] or not parts[right] or after[left] != right or len(parts[left]) + len(parts[right]) != size:
             continue
-        if drop and _skipped(key, left, size, drop):
+        if skip and skip(left, size):
             continue
         parts[left], parts[right] = parts[left] + parts[right], ""
         after[left] = right = after[right]
@@ -112,8 +123,12 @@ class Pieces:
 
     def segment(self, cut: str, key: int, drop: int) -> list[int]:
         """Ids of one cut. key: of the keyed hash; drop: share of candidates skipped, of 2^32."""
+        return self.segment_by(cut, (lambda left, size: _skipped(key, left, size, drop)) if drop else None)
+
+    def segment_by(self, cut: str, skip: Callable[[int, int], bool] | None) -> list[int]:
+        """Ids of one cut. skip: asked for every candidate that comes up, by its first character and size."""
         parts = list(cut.replace(" ", META)) if META not in cut else [META if c == " " else LITERAL if c == META else c for c in cut]
-        (_by_heap if len(parts) > SHORT else _by_list)(parts, self.ranks, key, drop)
+        (_by_heap if len(parts) > SHORT else _by_list)(parts, self.ranks, skip)
         known = self.ids
         if all([p in known for p in parts]):
             return [known[p] for p in parts]
@@ -130,41 +145,160 @@ class Pieces:
         return b"".join([self.spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", seed: int = 0, drop: float = DROP, draws: int = DRAWS) -> DataFrame:
+class Outcomes:
+    """What may become of short cuts, learned as it comes up.
+
+    A state is a cut and the candidates skipped so far, by their places in the order of coming up. It has
+    the candidates that come up from there on when no more are skipped, the ids that result, and for
+    each candidate the state that skipping it leads to. An occurrence of a cut goes from state to state by
+    its own key; the hash of every candidate that comes up is taken, so the ids are those of `segment`.
+    """
+
+    def __init__(self, pieces: Pieces, drop: int) -> None:
+        self.pieces, self.drop = pieces, drop
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.cuts: list[str] = []  # by state
+        self.skips: list[tuple[int, ...]] = []
+        self.first, self.many = array("q"), array("q")  # by state: its candidates
+        self.codes, self.next = array("I"), array("i")  # by candidate
+        self.begin, self.size = array("q"), array("q")  # by state: its ids
+        self.ids = array("i")
+
+    def _state(self, cut: str, skips: tuple[int, ...]) -> int:
+        codes: list[int] = []
+
+        def skip(left: int, size: int) -> bool:
+            codes.append(_code(left, size))
+            return len(codes) - 1 in skips
+
+        ids = self.pieces.segment_by(cut, skip if self.drop else None)
+        mine = codes[skips[-1] + 1:] if skips else codes
+        self.cuts.append(cut)
+        self.skips.append(skips)
+        self.first.append(len(self.codes))
+        self.many.append(len(mine))
+        self.codes.extend(mine)
+        self.next.extend([-1] * len(mine))
+        self.begin.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+        return len(self.cuts) - 1
+
+    def _skipping(self, state: int, nth: int) -> int:
+        skips = self.skips[state]
+        new = self._state(self.cuts[state], (*skips, (skips[-1] + 1 if skips else 0) + nth))
+        self.next[self.first[state] + nth] = new
+        return new
+
+    def of(self, cuts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of occurrences of cuts, one after the other, and how many each has. keys: uint32, one each."""
+        parts = [self._of(cuts[at:at + CUTS], keys[at:at + CUTS]) for at in range(0, len(cuts), CUTS)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _of(self, cuts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.cuts) > STATES:
+            self.clear()
+        roots = self.roots
+        for cut in set(cuts).difference(roots):
+            if len(cut) <= KNOWN:
+                roots[cut] = self._state(cut, ())
+        states = np.fromiter(map(roots.get, cuts, repeat(-1)), np.int64, len(cuts))
+        long = np.flatnonzero(states < 0)
+        going = np.flatnonzero(states >= 0) if self.drop else long[:0]
+        while len(going):
+            going, at = self._first_skipped(going, states[going], keys)
+            to = _seen(self.next, np.int32)[at]
+            owner = states[going]
+            missing = np.unique(at[to < 0], return_index=True)
+            for place, i in zip(missing[0].tolist(), np.flatnonzero(to < 0)[missing[1]].tolist(), strict=True):
+                state = int(owner[i])
+                self._skipping(state, place - self.first[state])
+            states[going] = _seen(self.next, np.int32)[at]
+        by_hand = [array("i", self.pieces.segment(cuts[i], int(keys[i]), self.drop)) for i in long.tolist()]
+        sizes = np.zeros(len(cuts), np.int64)
+        begins = np.zeros(len(cuts), np.int64)
+        short = states >= 0
+        sizes[short], begins[short] = _seen(self.size, np.int64)[states[short]], _seen(self.begin, np.int64)[states[short]]
+        known = _seen(self.ids, np.int32)
+        if by_hand:
+            sizes[long] = [len(h) for h in by_hand]
+            begins[long] = len(known) + np.cumsum(sizes[long]) - sizes[long]
+            known = np.concatenate([known, *(np.frombuffer(h, np.int32) for h in by_hand if len(h))])
+        return known[_spread(begins, sizes)], sizes
+
+    def _first_skipped(self, going: np.ndarray, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences that skip a candidate of their state, and the place of the first that each skips."""
+        many = _seen(self.many, np.int64)[states]
+        at = _spread(_seen(self.first, np.int64)[states], many)
+        hashes = (_seen(self.codes, np.uint32)[at] ^ np.repeat(keys[going], many)) * np.uint32(_LAST)
+        hits = np.flatnonzero(hashes < self.drop)
+        owner = np.searchsorted(np.cumsum(many), hits, side="right")
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        return going[owner[first]], at[hits[first]]
+
+
+def _seen(values: array, kind: type) -> np.ndarray:
+    """The values as they lie in memory; to be dropped before any is added."""
+    return np.frombuffer(values, kind) if len(values) else np.zeros(0, kind)
+
+
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every run, one run after the other."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def spots(draw: int, n: int) -> np.ndarray:
+    """Keys (uint32) of the n cuts of a text, from its draw and their places."""
+    return (mixed(np.uint64(draw & 0xFFFFFFFFFFFFFFFF) + np.arange(1, n + 1, dtype=np.uint64) * _ODD) >> np.uint64(32)).astype(np.uint32)
+
+
+def _segmented(draws: list[int], texts: list[str | None], outcomes: Outcomes) -> Iterator[np.ndarray]:
+    """Ids of every text; small texts are looked up together."""
+    cuts, keys, counts = [], [], []
+    for i, (draw, text) in enumerate(zip(draws, texts, strict=True)):
+        own = _CUT.findall(" " + text) if text else []
+        cuts += own
+        keys.append(spots(draw, len(own)))
+        counts.append(len(own))
+        if len(cuts) >= CUTS or i == len(texts) - 1:
+            ids, sizes = outcomes.of(cuts, np.concatenate(keys))
+            ends = np.concatenate([[0], sizes.cumsum()])[np.cumsum(counts)]
+            yield from np.split(ids, ends[:-1])
+            cuts, keys, counts = [], [], []
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", seed: int = 0, drop: float = DROP) -> DataFrame:
     """`key`, draw, ids, n_ids and lossless (whether the ids decode to the text) for every whole text.
 
-    The draw of a text follows from seed and key, so one text is segmented alike in every run. Null and
-    empty texts have no ids. Repeated rows each get a row; equal keys share a draw.
+    The draw, a hash of seed, key and text, tells the skips of every place in the text, so a row is
+    segmented alike in every run, and equal words of one text, or of two, each in their own way. Null and
+    empty texts have no ids. Repeated rows each get a row; rows equal in key and text share a draw.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(draws)).cast("int").alias("draw"), F.col(text).cast("string").alias("text"))
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.lit(seed), F.col(key).cast("string"), body).alias("draw"), body.alias("text"))
     skipped = round(drop * (1 << 32))
 
     def run(batches):
         pieces = Pieces.load(model)
-        kept: list[dict[str, bytes]] = [{} for _ in range(draws)]
-        keys = [zlib.crc32(b"%d %d " % (seed, draw)) for draw in range(draws)]
+        outcomes = Outcomes(pieces, skipped)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                if sum(map(len, kept)) > CACHED:
-                    kept = [{} for _ in range(draws)]
-                found, same = [], []
-                for draw, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    memory = kept[draw]
-                    cuts = _CUT.findall(" " + text) if text else []
-                    for cut in {c for c in cuts if c not in memory}:
-                        spot = zlib.crc32(cut.encode("utf-8", "surrogatepass"), keys[draw])
-                        memory[cut] = array("i", pieces.segment(cut, spot, skipped)).tobytes()
-                    ids = np.frombuffer(b"".join([memory[c] for c in cuts]), np.int32)
-                    same.append(not text or pieces.decode(ids.tolist()) == text)
-                    found.append(ids)
+                draws, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                found = list(_segmented(draws, texts, outcomes))
+                same = [not text or pieces.decode(ids.tolist()) == text for text, ids in zip(texts, found, strict=True)]
                 sizes = np.array([len(f) for f in found], np.int32)
                 offsets = np.concatenate([[0], sizes.cumsum()]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=["key", "draw", "ids", "n_ids", "lossless"])
 
-    return rows.mapInArrow(run, f"key {kind}, draw int, ids array<int>, n_ids int, lossless boolean").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, draw long, ids array<int>, n_ids int, lossless boolean").withColumnRenamed("key", key)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", to: str = "text") -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -54,6 +57,40 @@ def test_list_and_heap_agree(monkeypatch):
         monkeypatch.undo()
 
 
+def test_every_occurrence_has_its_own_skips(spark):
+    """A word that recurs is cut in many ways, within one text and over the texts of many ids."""
+    one = spark.createDataFrame([(1, "internationalisation " * 2000)], "doc_id long, text string")
+    many = spark.createDataFrame([(i, "internationalisation") for i in range(2000)], "doc_id long, text string")
+    pieces = S.Pieces.load(PATH)
+    plain = tuple(pieces.segment(" internationalisation", 0, 0))
+    within, now = Counter(), []
+    for i in S.encode(one, PATH).first()["ids"]:
+        if now and pieces.spelled[i].startswith(b" "):
+            within[tuple(now)] += 1
+            now = []
+        now.append(i)
+    over = Counter(tuple(r["ids"]) for r in S.encode(many, PATH).collect())
+    rng = random.Random(1)
+    alike = sum(tuple(pieces.segment_by(" internationalisation", lambda left, size: rng.random() < S.DROP)) == plain for _ in range(4000)) / 4000
+    for ways in (within, over):
+        assert len(ways) > 100 and abs(ways[plain] / 2000 - alike) < 0.05
+
+
+def test_remembered_outcomes_are_those_of_each_cut(monkeypatch):
+    """States give the ids that cutting every occurrence by itself gives, also when the memory starts anew."""
+    pieces, drop = S.Pieces.load(PATH), round(0.3 * 2**32)
+    text = " ".join(["internationally known words, and", "the the of a xyzzy 日本 𝒳 ▁", "x" * 50, "\n \n  "] * 60)
+    cuts, keys = S._CUT.findall(" " + text), S.spots(-5, len(S._CUT.findall(" " + text)))
+    want = [pieces.segment(c, k, drop) for c, k in zip(cuts, keys.tolist(), strict=True)]
+    for states, at_once in ((400_000, 1 << 16), (10, 7)):
+        monkeypatch.setattr(S, "STATES", states)
+        monkeypatch.setattr(S, "CUTS", at_once)
+        ids, sizes = S.Outcomes(pieces, drop).of(cuts, keys)
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    assert S.Outcomes(pieces, 0).of(cuts, keys)[0].tolist() == [i for c in cuts for i in pieces.segment(c, 0, 0)]
+    assert len(set(S.spots(1, 1000).tolist()) | set(S.spots(2, 1000).tolist())) > 1990
+
+
 def test_odd_rows(spark):
     odd = C.odd_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(HARD, 50)), "doc_id long, text string"))
     got = S.encode(odd, PATH).collect()
