@@ -23,7 +23,7 @@ from .common import fold
 PIECE = 4096  # bytes compressed at once
 DICTIONARY = 96 * 1024  # bytes of sample per language
 ALL_DICTIONARIES = 64 << 20  # bytes over all languages
-SAMPLE = 800  # texts read per language, at most about so many: half for the dictionary, half for the margin
+SAMPLE = 800  # distinct texts read per language, at most: half for the dictionary, half for the margin
 FROM_EACH = 2000  # characters that one text gives the sample
 LOST = 0.005  # share of rightly named texts that may be rejected
 #: Matches of four bytes and more, well searched: short words tell languages apart. The window spans dictionary and piece.
@@ -78,24 +78,26 @@ class Languages:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Languages:
     """Dictionaries and margin from a bounded sample of labelled texts, chosen by a hash of the text.
 
-    Equal texts are drawn together, so a text of many copies counts once. Missing texts and languages
-    teach nothing; without any, every text is und.
+    Every language gives min(sample, its distinct texts): equal texts count and are drawn once. Missing
+    texts and languages teach nothing; without any, every text is und.
     """
     known = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    # 63 bits: what is drawn from is one row per language and text
+    hashed = known.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    texts = hashed.groupBy("lang", "order").agg(F.count(F.lit(1)).alias("n"))
+    sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("rows")).collect()
+    if not sizes:
         return Languages((), ())
-    scale = 1 << 30
-    limit = F.element_at(F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(scale * min(1.0, sample / n))))), F.col("lang"))
-    order = F.pmod(F.xxhash64("text"), F.lit(scale))
-    drawn = (
-        known.withColumn("order", order).filter(F.col("order") < limit)
-        .select("lang", "order", F.substring("text", 1, FROM_EACH).alias("text")).groupBy("lang", "order").agg(F.max("text").alias("text"))
-    )
+    counts = {r["lang"]: r["rows"] for r in sizes}
+    # somewhat more than the sample, which is cut from it in order
+    most = (1 << 63) - 1
+    limits = {r["lang"]: int(most * share) if (share := (1.3 * sample + 50) / r["texts"]) < 1 else most for r in sizes}
+    limit = F.element_at(F.create_map(*(x for k, v in limits.items() for x in (F.lit(k), F.lit(v).cast("long")))), F.col("lang"))
+    drawn = hashed.filter(F.col("order") <= limit).select("lang", "order", F.substring("text", 1, FROM_EACH).alias("text")).groupBy("lang", "order").agg(F.max("text").alias("text"))
     by_name: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["order"])):
-        if has_letter(r["text"]):
-            by_name.setdefault(r["lang"], []).append(r["text"])
+    for k, rows in groupby(sorted(drawn.collect(), key=lambda r: (r["lang"], r["order"])), key=lambda r: r["lang"]):
+        if mine := [r["text"] for r in list(rows)[:sample] if has_letter(r["text"])]:
+            by_name[k] = mine
     room = min(DICTIONARY, ALL_DICTIONARIES // max(1, len(by_name)))
     names = tuple(sorted(by_name, key=lambda k: (-counts[k], k)))  # ties go to the more frequent
     if not names:

@@ -40,3 +40,16 @@ def test_nothing_or_one_language_learned(spark):
     assert {r["lang_pred"] for r in L.identify(odd, none).collect()} == {"und"}
     one = L.learn(odd)
     assert {r["lang_pred"] for r in L.identify(odd, one).collect()} == {"und", "en"}
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    """A language of one text copied thousands of times beside a few others teaches all of them."""
+    other = [("en", f"the house number {i} of the street") for i in range(40)]
+    copied = [("xx", "zumi kalo bera")] * 3000
+    few = [("xx", f"zumi kalo {w}") for w in ("dano", "miru", "pelo", "sako")]
+    docs = spark.createDataFrame(other + copied + few, "lang string, text string")
+    model = L.learn(docs, sample=10)
+    assert model.names == ("xx", "en")
+    taught = model.samples[0].decode()
+    assert sum(w in taught for w in ("bera", "dano", "miru", "pelo", "sako")) == 3  # every second of five
+    assert model.samples[1].decode().count("house") == 5  # of a sample of ten
