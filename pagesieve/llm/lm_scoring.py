@@ -205,6 +205,11 @@ class Counts:
         off = min(max(self.once, 0.5) / self.types, 0.9)
         return np.log10(np.where(counts > 0, counts - off, off * self.types) / self.tokens)
 
+    def least(self, weights: np.ndarray) -> tuple[float, float]:
+        """Bounds of the model's logs and backoffs over the corpus: the rarest words, behind the heaviest context."""
+        backoff = float(np.log10(1 - weights.max()))
+        return (float(self.word_logs(np.array([0, 1])).min()) + backoff if self.tokens else 0.0), backoff
+
 
 def _with_totals(row: dict) -> tuple[Block, np.ndarray, np.ndarray]:
     """A block with the corpus counts of its words and pairs."""
@@ -251,14 +256,14 @@ def fitted(joined: DataFrame, counts: Counts) -> np.ndarray:
 def model_of(block: Block, words: np.ndarray, pairs: np.ndarray, counts: Counts, weights: np.ndarray) -> Trie:
     """The model's slice over a block's words: p(w | u) = weight c(u w) / c(u) + (1 - weight) p(w).
 
-    A context that was never trained leaves all weight to the word.
+    A context that was never trained leaves all weight to the word. All slices quantise in the same steps.
     """
     logs = counts.word_logs(words)
     weight = np.where(words > 0, weights[_class(words)], 0.0)
     known = pairs > 0
     u, w = block.context[known], block.word[known]
     mixed_ = weight[u] * pairs[known] / np.maximum(words[u], 1) + (1 - weight[u]) * 10 ** logs[w]
-    return Trie.of(logs, np.log10(1 - weight), (u, w, np.log10(mixed_)))
+    return Trie.of(logs, np.log10(1 - weight), (u, w, np.log10(mixed_)), least=counts.least(weights))
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", trained=None) -> DataFrame:

@@ -10,6 +10,7 @@ quantised to 8 bits per level. Levels are flat arrays, saved as files that are m
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -120,6 +121,12 @@ class Quantised:
         n = np.bincount(codes, minlength=256)
         return Quantised(codes, np.bincount(codes, values, 256) / np.maximum(n, 1))
 
+    @staticmethod
+    def between(values: np.ndarray, least: float, most: float) -> Quantised:
+        """Steps from least to most whatever the values, so a value has one code wherever it stands. Both ends are exact."""
+        step = (most - least) / 255 or 1.0
+        return Quantised(np.clip(np.rint((values - least) / step), 0, 255).astype(np.uint8), np.linspace(least, most, 256))
+
     def get(self, i: np.ndarray) -> np.ndarray:
         return self.book[self.codes[i]]
 
@@ -140,8 +147,13 @@ class Trie:
     levels: tuple[Level, ...]
 
     @staticmethod
-    def of(logs: np.ndarray, backoffs: np.ndarray, *grams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Trie:
-        """grams, per level: parent node, word and log, sorted by parent and word. Nodes count from 0 per level."""
+    def of(logs: np.ndarray, backoffs: np.ndarray, *grams: tuple[np.ndarray, np.ndarray, np.ndarray], least: tuple[float, float] | None = None) -> Trie:
+        """grams, per level: parent node, word and log, sorted by parent and word. Nodes count from 0 per level.
+
+        least: of all logs and of all backoffs that any slice of the model may hold; up to 0, they share
+        their steps. By default steps are fitted to the values.
+        """
+        steps = [Quantised.of if least is None else partial(Quantised.between, least=x, most=0.0) for x in least or (0, 0)]
         above, levels = len(logs), []
         for parent, word, log in grams:
             starts = np.searchsorted(parent, np.arange(above + 1))
@@ -149,9 +161,9 @@ class Trie:
             filled = starts[1:] > starts[:-1]
             last = np.where(filled, word[np.maximum(starts[1:] - 1, 0)] if len(word) else 0, 0)
             base = np.concatenate([[0], last.cumsum()])
-            levels.append(Level(EliasFano.of(starts), EliasFano.of(word + base[parent]), Quantised.of(log)))
+            levels.append(Level(EliasFano.of(starts), EliasFano.of(word + base[parent]), steps[0](log)))
             above = len(word)
-        return Trie(Quantised.of(logs), Quantised.of(backoffs), tuple(levels))
+        return Trie(steps[0](logs), steps[1](backoffs), tuple(levels))
 
     def successor(self, level: int, node: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Node of `word` below `node`, or -1."""

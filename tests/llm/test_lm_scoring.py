@@ -58,6 +58,15 @@ def test_blocks_and_shards_do_not_matter(spark, monkeypatch):
         assert r["score"] == pytest.approx(one[r["doc_id"]]["score"], rel=0.02, abs=0.5)
 
 
+def test_equal_texts_score_alike_in_any_block(spark, monkeypatch):
+    """Steps of the quantised logs are those of the corpus, not of the block a text falls in."""
+    docs = C.documents(spark)
+    one = dict(C.rows(L.score(docs), "doc_id", "score"))
+    monkeypatch.setattr(L, "BLOCK", 3000)
+    many = dict(C.rows(L.score(docs), "doc_id", "score"))
+    assert many == {k: pytest.approx(v, rel=1e-9) for k, v in one.items()}
+
+
 def test_against_plain_probabilities(spark):
     """The model's logs are those of the mixture, up to quantising; words sum to one in every context."""
     rows = C.rows(C.documents(spark), "doc_id", "text")[:40]
