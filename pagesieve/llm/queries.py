@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, segmentation, sharding, url_filter
+from . import fingerprints, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, ranked_search, segmentation, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,12 @@ def op9_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op10_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, the base verdict and that of the calibrated rules."""
     return quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op13_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents for every item of `benchmark`."""
+    return ranked_search.search_all(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op13_hybrid_search"] = ranked_search.SQL
