@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, lm_scoring, packing, quality_classifier, quality_rules, ranked_search, segmentation, sharding, url_filter
+from . import fingerprints, jaccard_join, language_id, lm_scoring, manifest, packing, quality_classifier, quality_rules, ranked_search, segmentation, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,15 @@ def op10_risk_controlled_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf, its proof up to the root of all sources, and whether it still leads there."""
+    return manifest.manifest(table(spark, folder, "documents"))
+
+
+SQL["op11_merkle_manifest"] = manifest.SQL
+
+
 @query
 def op13_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 best documents for every item of `benchmark`."""
