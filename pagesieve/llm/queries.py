@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, jaccard_join, language_id, lm_scoring, manifest, packing, quality_classifier, quality_rules, ranked_search, segmentation, sharding, url_filter
+from . import fingerprints, jaccard_join, language_id, lm_scoring, main_text, manifest, packing, quality_classifier, quality_rules, ranked_search, segmentation, sharding, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +92,15 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op11_merkle_manifest"] = manifest.SQL
 
 
+@query
+def op12_tag_ratio_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's main text."""
+    return main_text.extract(table(spark, folder, "pages"))
+
+
+SQL["op12_tag_ratio_text"] = main_text.SQL
+
+
 @query
 def op13_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 50 best documents for every item of `benchmark`."""
