@@ -1,4 +1,4 @@
-"""Records out of pages (E1-E15): one row per matching container, one column per title.
+"""Records out of pages (E1-E12, E14, E15): one row per matching container, one column per title.
 
     scan -> tokenise -> filter on `path` -> one shuffle of the matching text -> records
 
@@ -8,10 +8,8 @@ and only text that belongs to a field is moved.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +17,10 @@ from pyspark.sql import Window as W
 
 from ..functions import selectors as S
 from ..functions import text as X
-from ..functions import urls as U
 from . import dom
 from . import xpath as XP
-from .joins import is_small, lookup_join
-from .xpath import UnsupportedXPath, parse, split_regex, steps_regex
-
-_SLASH_IN_LITERAL = re.compile(r"""="[^"]*/[^"]*"|='[^']*/[^']*'|,\s*"[^"]*/[^"]*"|,\s*'[^']*/[^']*'""")
+from .joins import lookup_join
+from .xpath import UnsupportedXPath, steps_regex
 
 
 def record_schema(titles: list[str]) -> T.StructType:
@@ -44,7 +39,7 @@ def compile_selectors(spark: SparkSession, xpaths: list[str]) -> tuple[str, list
     The expressions of `functions.selectors` on a single row; what was asked before is remembered.
     """
     for x in xpaths:
-        if _SLASH_IN_LITERAL.search(x):
+        if XP.SLASH_IN_LITERAL.search(x):
             raise UnsupportedXPath(f"'/' inside a literal: {x!r}")
     asked = tuple(xpaths)
     if asked not in _compiled:
@@ -259,128 +254,6 @@ def concat_runs(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-# --- templates -------------------------------------------------------------------------------
-
-
-RULE_PARTS = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("full", "head", "tail", "first", "last", "leaf", "problem")]
-    + [T.StructField("attrs", T.ArrayType(T.StringType()))]
-)
-
-
-@F.pandas_udf(RULE_PARTS)
-def path_rules(container: pd.Series, relative: pd.Series) -> pd.DataFrame:
-    """Regular expressions of one container and field path, with the tag its text lies below and the
-    attributes it tests; `problem` names what is not supported."""
-    rows = []
-    for outer_text, inner_text in zip(container, relative):
-        try:
-            if _SLASH_IN_LITERAL.search(outer_text) or _SLASH_IN_LITERAL.search(inner_text):
-                raise UnsupportedXPath(f"'/' inside a literal: {outer_text!r} {inner_text!r}")
-            outer, inner = parse(outer_text), parse(inner_text)
-            steps = (*outer.steps, *inner.steps)
-            if any(s.far_tests for s in steps):
-                raise UnsupportedXPath(f"test on other nodes in {outer_text!r} {inner_text!r}")
-            text = inner.text or "descendant"
-            regexes = (
-                steps_regex(steps, text), steps_regex(outer.steps), steps_regex(inner.steps, text),
-                split_regex(outer.steps, inner.steps, text, False), split_regex(outer.steps, inner.steps, text, True),
-            )
-            rows.append((*regexes, steps[-1].tag, None, sorted(outer.attrs | inner.attrs)))
-        except UnsupportedXPath as error:
-            rows.append((None, None, None, None, None, None, str(error), []))
-    return pd.DataFrame(rows, columns=RULE_PARTS.names)
-
-
-def compile_templates(templates: DataFrame) -> DataFrame:
-    """(template_id, domain, titles, rules, problem) per template; one rule per field and alternative."""
-    shaped = (
-        templates.select(
-            F.col("id").alias("template_id"),
-            U.domain(F.col("url")).alias("domain"),
-            S.column_titles(F.col("columns")).alias("titles"),
-            S.column_data(F.col("columns"), "xpath").alias("xpaths"),
-        )
-        .withColumn("container", S.common_container(S.all_alternatives(F.col("xpaths"))))
-        .withColumn("suffixes", S.field_suffixes(F.col("container"), F.col("xpaths")))
-        .select("template_id", "domain", "titles", "container", F.posexplode("suffixes").alias("field", "union"))
-        .withColumn("path", F.explode(S.alternatives(F.col("union"))))
-        .withColumn("r", path_rules(F.col("container"), F.col("path")))
-    )
-    rule = F.struct("field", *[F.col(f"r.{c}").alias(c) for c in ("full", "head", "tail", "first", "last", "leaf", "attrs")])
-    return shaped.groupBy("template_id").agg(
-        F.first("domain").alias("domain"),
-        F.first("titles").alias("titles"),
-        F.collect_list(F.when(F.col("r.problem").isNull(), rule)).alias("rules"),
-        F.array_join(F.collect_set("r.problem"), "; ").alias("problem"),
-    )
-
-
-def _names(compiled: DataFrame) -> tuple[set[str], set[str]]:
-    """Tags that field texts lie below, and attributes tested, over all rules."""
-    def marked(names: Column, kind: str) -> Column:
-        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
-
-    leaves = marked(F.transform("rules", lambda r: r["leaf"]), "leaf")
-    attrs = marked(F.flatten(F.transform("rules", lambda r: r["attrs"])), "attr")
-    rows = compiled.select(F.explode(F.concat(leaves, attrs)).alias("n")).select("n.kind", "n.name").distinct().collect()
-    return {r.name for r in rows if r.kind == "leaf"}, {r.name for r in rows if r.kind == "attr"}
-
-
-def extract_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every page of a domain through every template of that domain, in one pass.
-
-    A template with a path that is not supported here raises, with its id and the reason: none is left out.
-
-    Rows (template_id, page_id, container_pre, record MAP<title, text>). Rules that pass a size check
-    are broadcast and a page is tokenised once for all its templates. Beyond that pages are joined
-    with their templates first and the rules travel with the nodes.
-    """
-    compiled = compile_templates(templates)
-    problems = compiled.filter(F.col("problem") != "").select("template_id", "problem").orderBy("template_id").limit(5).collect()
-    if problems:
-        raise UnsupportedXPath("; ".join(f"template {p.template_id}: {p.problem}" for p in problems))
-    compiled = compiled.drop("problem")
-    leaves, attrs = _names(compiled)
-    slim = F.transform("rules", lambda r: r.dropFields("leaf", "attrs"))
-    compiled = compiled.withColumn("rules", slim)
-    sited = pages.select("page_id", "html", U.domain(F.col("url")).alias("domain"))
-    payload = {
-        "elements": set(), "texts_in": leaves, "path_attrs": tuple(sorted(attrs)), "columns": ("pre", "text", "path")
-    }
-    path = F.col("path")
-    single = compiled.select("template_id", "domain", "titles", F.explode("rules").alias("rule"))
-    if is_small(single):
-        domains = F.broadcast(compiled.select("domain").distinct())
-        nodes = dom.dom_nodes(sited.join(domains, "domain"), keep=("page_id", "domain"), **payload)
-        fits = F.expr("nodes.domain = single.domain AND rlike(nodes.path, single.rule.full)")
-        matched = nodes.alias("nodes").join(F.broadcast(single.alias("single")), fits)
-    else:
-        planned = lookup_join(sited, compiled, "domain", spread=F.col("page_id"))
-        nodes = dom.dom_nodes(planned, keep=("page_id", "template_id", "titles", "rules"), **payload)
-        matched = nodes.withColumn("rule", F.explode(F.filter("rules", lambda r: F.rlike(path, r["full"]))))
-    owned = XP.owners_by(
-        path, F.col("rule.first"), F.col("rule.last"),
-        lambda h, t: F.rlike(h, F.col("rule.head")) & F.rlike(t, F.col("rule.tail")),
-    )
-    cells = matched.select(
-        "page_id", "template_id", "titles", "rule.field", "pre", "text", F.explode(owned).alias("container_pre")
-    )
-    entries = F.array_sort(F.array_distinct(F.collect_list(F.struct("field", "pre", "text"))))
-    grouped = cells.groupBy("template_id", "page_id", "container_pre").agg(
-        F.first("titles").alias("titles"), entries.alias("entries")
-    )
-    values = F.transform(
-        F.sequence(F.lit(0), F.size("titles") - 1),
-        lambda i: F.array_join(
-            F.transform(F.filter(F.col("entries"), lambda e: e["field"] == i), lambda e: e["text"]), " "
-        ),
-    )
-    return grouped.withColumn("__v", values).select(
-        "template_id", "page_id", "container_pre", F.map_from_arrays("titles", X.clean_list(F.col("__v"))).alias("record")
-    )
-
-
 # --- editing the columns of a template (E14, E15) -----------------------------------------------
 
 COLUMN_TYPE = T.StructType(

@@ -43,6 +43,7 @@ _LITERAL = r"""(?:"([^"]*)"|'([^']*)')"""
 _HAS = re.compile(rf"contains\(\s*@([\w:\-]+)\s*,\s*{_LITERAL}\s*\)\Z")
 _IS = re.compile(rf"@([\w:\-]+)\s*=\s*{_LITERAL}\Z")
 _TEXT = re.compile(rf"text\(\)\s*=\s*{_LITERAL}\Z")
+SLASH_IN_LITERAL = re.compile(r"""="[^"]*/[^"]*"|='[^']*/[^']*'|,\s*"[^"]*/[^"]*"|,\s*'[^']*/[^']*'""")
 _BAR = re.compile(r"""\|(?=(?:[^"']|"[^"]*"|'[^']*')*\Z)""")
 
 
@@ -82,6 +83,8 @@ def parse(xpath: str) -> Location:
         if head is None or ends_in:
             raise UnsupportedXPath(f"cannot read {text[at:]!r} in {xpath!r}")
         axis, tag = head.groups()
+        if "::" in tag or text.startswith("::", head.end()):
+            raise UnsupportedXPath(f"axis in step {text[at:].split('/', 2 if axis == '/' else 3)[-1]!r} of {xpath!r}")
         at = head.end()
         if tag == "text()":
             ends_in = "descendant" if axis == "//" else "child"

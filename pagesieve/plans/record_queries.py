@@ -9,6 +9,7 @@ from ..functions import urls as U
 from ..operators import checks as C
 from ..operators import extract as E
 from ..operators import runs as R
+from ..operators import templates as TP
 from .registry import AD, DOMAIN, FOOTER, H1, LINKS, PARAGRAPHS, decoded, pages, query, tidied
 
 
@@ -116,12 +117,31 @@ def domain_templates(source):
 def template_by_domain(spark, folder):
     """E13, U1"""
     source = pages(spark, folder)
-    records = E.extract_by_template(source, domain_templates(source))
+    records = TP.extract_by_template(source, domain_templates(source))
     return records.select(
         "page_id", "template_id", F.col("record")["ad"].alias("ad"), F.col("record")["2"].alias("footer")
     )
 
 
+@query(f"""WITH {LINKS}, sited AS (SELECT page_id, {DOMAIN} AS domain, raw, i, bool_or(raw = 'the') OVER (PARTITION BY page_id) AS holds FROM links JOIN pages USING (page_id))
+  SELECT page_id, domain || ':text' AS template_id, {tidied('raw')} AS link FROM sited WHERE raw = 'the'
+  UNION ALL SELECT page_id, domain || ':exists', {tidied('raw')} FROM sited WHERE holds
+  UNION ALL SELECT DISTINCT page_id, domain || ':rank', 'the' FROM sited WHERE raw = 'the'""")
+def template_tests(spark, folder):
+    """E13 with D6, D9, D10: templates of every domain whose paths test other nodes, in one pass."""
+    source = pages(spark, folder)
+    paths = {"text": '//nav//li//a[text()="the"]', "exists": '//nav//ul[.//li/a[text()="the"]]//li//a', "rank": '//nav//ul//li[.//a[text()="the"]][1]//a'}
+    none = F.lit(None)
+    kinds = F.explode(F.create_map(*[F.lit(x) for pair in paths.items() for x in pair])).alias("kind", "xpath")
+    sites = source.groupBy(U.domain(F.col("url")).alias("domain")).agg(F.min("url").alias("url")).select("domain", "url", kinds)
+    templates = sites.select(
+        F.concat_ws(":", "domain", "kind").alias("id"), "url", none.cast("string").alias("pagination_xpath"),
+        F.array(E._column(F.col("xpath"), F.lit(1), none, none, F.lit("link"))).alias("columns"),
+    )
+    records = TP.extract_by_template(source, templates)
+    return records.select("page_id", "template_id", F.col("record")["link"].alias("link"))
+
+
 @query(f"""SELECT {DOMAIN} AS id, '3' AS n_columns, 'ad | foot | 3' AS titles,
     '//html//body//div[1][contains(@class, "ad")] | //html//body//footer[1]' AS combined, '//html//body//footer[1]' AS left_over
   FROM pages GROUP BY {DOMAIN}""")

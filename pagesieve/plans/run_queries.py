@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions import urls as U
 from ..operators import extract as E
@@ -71,6 +72,52 @@ def page_list(spark, folder):
     return visits.select("seed_id", F.col("page_seq").cast("long").alias("page_seq"), "page_id")
 
 
+@query("""WITH RECURSIVE walk AS (
+    SELECT page_id AS seed_id, 0 AS k, 1::BIGINT AS page_seq, page_id, true AS moved FROM pages
+    UNION ALL
+    SELECT w.seed_id, k + 1, w.page_seq + CASE WHEN p.page_id IS NULL THEN 0 ELSE 1 END, coalesce(p.page_id, w.page_id), p.page_id IS NOT NULL
+    FROM walk w LEFT JOIN pages p ON p.page_id = w.page_id + CASE WHEN k % 2 = 0 THEN 1 ELSE 10 END WHERE k < 8)
+  SELECT seed_id, page_seq, page_id FROM walk WHERE moved""")
+def page_list_of_eight(spark, folder):
+    """Eight selectors, one per round, by composition."""
+    site = _linked_pages(spark, folder)
+    visits = P.page_chain(site, site.select("page_id"), "\n".join(['//a[@rel="next"]', '//a[text()="Further"]'] * 4))
+    return visits.select("seed_id", F.col("page_seq").cast("long").alias("page_seq"), "page_id")
+
+
+@query(f"""WITH sited AS (SELECT page_id, {DOMAIN} AS domain FROM pages),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn, count(*) OVER (PARTITION BY domain) AS n FROM sited),
+  one AS (SELECT domain, n, CASE WHEN n >= 2 THEN 2 ELSE 1 END AS p1 FROM placed WHERE rn = 1),
+  two AS (SELECT *, CASE WHEN p1 + 2 <= n THEN p1 + 2 ELSE p1 END AS p2 FROM one),
+  three AS (SELECT *, CASE WHEN p2 + 1 <= n THEN p2 + 1 ELSE p2 END AS p3 FROM two),
+  visits AS (SELECT domain, unnest(list_distinct([1, p1, p2, p3])) AS rn FROM three)
+  SELECT domain || ':all' AS template_id, rn::BIGINT AS page_seq, page_id FROM placed
+  UNION ALL SELECT domain || ':few', rn, page_id FROM placed WHERE rn <= 3
+  UNION ALL SELECT v.domain || ':list', row_number() OVER (PARTITION BY v.domain ORDER BY v.rn), p.page_id FROM visits v JOIN placed p ON p.domain = v.domain AND p.rn = v.rn
+  UNION ALL SELECT domain || ':page', 1, page_id FROM placed WHERE rn = 1""")
+def template_pagination(spark, folder):
+    """E13 with G1-G3: the runs of four templates per domain by their own pagination, of all domains at once."""
+    sited = pages(spark, folder).withColumn("domain", U.domain(F.col("url")))
+    order = W.partitionBy("domain").orderBy("page_id")
+
+    def address(page):
+        return F.concat(F.lit("https://"), F.col("domain"), F.lit("/p/"), page)
+
+    def link(ahead: int, name: str):
+        return F.coalesce(F.concat(F.lit('<a href="'), address(F.lead("page_id", ahead).over(order)), F.lit(f'">{name}</a>')), F.lit(""))
+
+    linked = F.replace(F.col("html"), F.lit("<footer>"), F.concat(link(1, "Next"), link(2, "Further"), F.lit("<footer>")))
+    site = sited.select("page_id", "domain", address(F.col("page_id")).alias("url"), linked.alias("html"))
+    step, skip = '//body/a[text()="Next"]', '//a[text()="Further"]'
+    kinds = {"all": step, "few": step, "list": f"{step}\n{skip}\n{step}", "page": "fake"}
+    named = F.explode(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])).alias("kind", "pagination_xpath")
+    starts = site.groupBy("domain").agg(F.min_by("url", "page_id").alias("url")).select("domain", "url", named)
+    templates = starts.select(F.concat_ws(":", "domain", "kind").alias("id"), "url", "pagination_xpath")
+    budgets = templates.filter(F.endswith("id", F.lit(":few"))).select(F.col("id").alias("template_id"), F.lit(3).alias("max_pages"))
+    visits = P.template_visits(site.drop("domain"), templates, budgets)
+    return visits.select("template_id", F.col("page_seq").cast("long").alias("page_seq"), "page_id")
+
+
 @query(f"""SELECT a.page_id AS seed_id, (b.page_id - a.page_id + 1)::BIGINT AS page_seq, {tidied(FOOTER.replace('html', 'b.html'))} AS footer
   FROM pages a JOIN pages b ON b.page_id BETWEEN a.page_id AND a.page_id + 1""")
 def records_in_visit_order(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are designed for. On a cluster pass them to spark-submit;
 # `tune` applies the ones that may still be changed on a running session.
@@ -73,3 +73,10 @@ def fallback_folder(master: str, warehouse: str) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(table: DataFrame, name: str) -> DataFrame:
+    """Kept in the shared folder and read again: cuts the lineage, and what follows starts from it."""
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -8,6 +8,8 @@ from pagesieve.operators import dom
 from pagesieve.operators import extract as E
 from pagesieve.operators import induce as I
 from pagesieve.operators import paginate as P
+from pagesieve.operators import rules
+from pagesieve.operators import templates as TP
 from pagesieve.sources.pages import PAGE_SCHEMA
 
 
@@ -138,7 +140,7 @@ def test_same_path_in_two_columns(pages):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_templates_of_many_sites(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(E, "is_small", lambda table: False)
+        monkeypatch.setattr(rules, "fits_broadcast", lambda n, size: False)
     data = [
         (1, "https://www.a.com/1", '<ul class="p1"><li id="k">x<li>y</ul>'), (2, "http://a.com/2", "<ul><li>z&amp;amp;</ul>"),
         (3, "https://b.org/", "<table><tr><td>1<td>2</table>"), (4, "https://c.org/", "<ul><li>no template</ul>"),
@@ -154,17 +156,92 @@ def test_templates_of_many_sites(spark, monkeypatch, broadcast):
         E.TEMPLATE_SCHEMA,
     )
     with pytest.raises(E.UnsupportedXPath, match="template bad: .*last"):  # no template is left out in silence
-        E.extract_by_template(site, templates)
+        TP.extract_by_template(site, templates)
     fine = templates.filter("id <> 'bad'")
-    got = E.extract_by_template(site, fine).orderBy("template_id", "page_id", "container_pre").collect()
+    got = TP.extract_by_template(site, fine).orderBy("template_id", "page_id", "container_pre").collect()
     assert [(r.template_id, r.page_id, r.record) for r in got] == [
         ("A", 1, {"item": "x"}), ("A", 1, {"item": "y"}), ("A", 2, {"item": "z&"}), ("A2", 1, {"item": "x"}),
         ("B", 3, {"1": "1", "two": "2"}),
     ]
-    problems = {r.template_id: r.problem for r in E.compile_templates(templates).collect()}
+    problems = {r.template_id: r.problem for r in TP.compile_templates(templates).collect()}
     assert "last()" in problems["bad"] and not problems["A"]
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_templates_with_tests_on_other_nodes(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(rules, "fits_broadcast", lambda n, size: False)
+    html = (
+        '<div class="c"><h2>Phones</h2><ul><li><b>new</b><a>one</a><i>1</i><li><a>two</a><i>2</i><li><b>new</b><a>three</a><i>3</i></ul></div>'
+        '<div class="c"><h2>Books</h2><ul><li><b>new</b><a>four</a><i>4</i><li><b>old</b><a>five</a><i>5</i></ul></div><div><h2>Phones</h2><ul><li><b>new</b><a>six</a></ul></div>'
+    )
+    site = spark.createDataFrame([(1, "https://a.com/", html), (2, "https://b.com/", html)], PAGE_SCHEMA)
+    paths = {
+        "exists": ["//li[.//b]//a"], "text": ['//li//b[text()="new"]'], "inner text": ['//li[.//b[text()="old"]]//a'], "two": ["//li[.//b]//a", "//li[.//b]//i"],
+        "rank": ["//li[.//b][2]//a"], "near": ['//div[@class="c"][2]//a'], "chain": ['//div[.//h2[text()="Phones"]]//li[.//b][1]//a'],
+        "late class": ['//div[.//h2[text()="Phones"]][contains(@class, "c")]//a'], "union": ['//li[.//b[text()="old"]]//a | //li//a[text()="two"]'],
+        "deep": ['//div[.//h2[text()="Books"]]//ul//li//a', '//div[.//h2[text()="Books"]]//ul//li//i'], "plain": ["//h2"], "none": ['//h2[text()="Cars"]'],
+        "container and field": ['//div[.//h2[text()="Phones"]]//li//a[text()="one"]', '//div[.//h2[text()="Phones"]]//li//i'],
+    }
+    templates = spark.createDataFrame(
+        [(name, "https://a.com/", None, [(x, i + 1, None, None, None) for i, x in enumerate(xs)]) for name, xs in paths.items()], E.TEMPLATE_SCHEMA
+    )
+    got = {}
+    for r in TP.extract_by_template(site, templates).collect():
+        assert r.page_id == 1
+        got.setdefault(r.template_id, []).append((r.container_pre, r.record))
+    for name, xs in paths.items():
+        one = E.extract(site.filter("page_id = 1"), {str(i + 1): x for i, x in enumerate(xs)}).collect()
+        want = sorted((r.container_pre, {str(i + 1): r[str(i + 1)] for i in range(len(xs))}) for r in one)
+        assert sorted(got.get(name, []), key=lambda x: x[0]) == want, name
+    assert len(got) == len(paths) - 1
+
+
+def test_pagination_of_many_templates(spark):
+    def page(n, *links):
+        return f"<h1>{n}</h1>" + "".join(f'<div><a href="{h}" class="{c}"><span>{t}</span>{t}</a></div>' for t, h, c in links)
+
+    data = [(i, f"https://a.com/{i}", page(i, ("First", "/0", ""), ("Next", f"/{i + 1}", "go"))) for i in range(9)]
+    data += [(20 + i, f"https://b.com/{i}", f'<base href="/x/"><a rel=next href="../{(i + 1) % 3}#t">on</a>') for i in range(3)]
+    data += [(30 + i, f"https://c.com/{i}", page(i, *([("L", "/3", "l")] if i != 1 else []), ("R", f"/{i + 1}", "r"))) for i in range(5)]
+    site = spark.createDataFrame(data, PAGE_SCHEMA)
+    column = [("//h1", 1, None, None, None)]
+    rows = [
+        ("text", "https://a.com/2", '/html/body/div/a[text()="Next"]'), ("inner", "https://a.com/0", '//a[.//span[text()="Next"]]'), ("cut", "https://a.com/0", '//a[@class="go"]'),
+        ("below", "https://a.com/5", '//div[.//span[text()="Next"]]/a'), ("ring", "https://b.com/1", '//a[@rel="next"]'), ("one", "https://a.com/1", None), ("fake", "https://a.com/1", "fake"),
+        ("list", "https://c.com/0", '//a[@class="r"]\n\n//a[@class="l"] \n//a[text()="R"]'), ("long list", "https://c.com/0", "\n".join(['//a[@class="r"]'] * 7)), ("nowhere", "https://z.com/", "//a"),
+    ]
+    templates = spark.createDataFrame([(n, u, p, column) for n, u, p in rows], E.TEMPLATE_SCHEMA)
+    budgets = spark.createDataFrame([("cut", 3), ("inner", 0), ("list", 1)], "template_id string, max_pages int")
+    got = {}
+    for r in P.template_visits(site, templates, budgets).orderBy("template_id", "page_seq").collect():
+        got.setdefault(r.template_id, []).append(r.page_id)
+    assert got == {
+        "text": [2, 3, 4, 5, 6, 7, 8], "inner": list(range(9)), "cut": [0, 1, 2], "below": [5, 6, 7, 8], "ring": [21, 22, 20], "one": [1], "fake": [1],
+        "list": [30, 31, 32], "long list": [30, 31, 32, 33, 34],
+    }
+    bad = spark.createDataFrame([("t", "https://a.com/", "//a[last()]", column)], E.TEMPLATE_SCHEMA)
+    with pytest.raises(E.UnsupportedXPath, match="template t: .*last"):
+        P.template_visits(site, bad)
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 8])
+def test_lists_of_links_by_composition(spark, n):
+    import random
+    rng = random.Random(n)
+    links = {(e, p): rng.randrange(6) for e in range(n) for p in range(6) if rng.random() < 0.5}
+    edges = spark.createDataFrame([(e, p, q) for (e, p), q in links.items()], "entry int, page_id long, next_id long")
+    want = []
+    for seed in range(6):
+        at, trail = seed, [seed]
+        for e in range(n):
+            if (e, at) in links:
+                at = links[e, at]
+                trail.append(at)
+        want += [(seed, i + 1, p) for i, p in enumerate(trail)]
+    assert visits(P.follow_lists(spark.range(6).select(F.col("id").alias("page_id")), edges, n)) == sorted(want)
+
+
 def test_template_editing(spark):
     start = spark.createDataFrame(
         [("t", "u", None, [("//div//a[1]", 1, "x", 3, "a"), ("//div//a[2]", 2, "y", 4, None), ("//p", 3, "z", 5, "p")])], E.TEMPLATE_SCHEMA

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesieve.operators import extract as E
+from pagesieve.operators import templates as TP
 from pagesieve.operators import runs as R
 from pagesieve.sources import ledger as L
 from pagesieve.sources import sinks
@@ -177,7 +178,7 @@ def test_template_files(spark, tmp_path):
     )
     got = TS.read_template_files(spark, str(tmp_path)).first()
     assert got.id == "1" and got.columns[0].column_title == "t"
-    assert E.compile_templates(TS.read_template_files(spark, str(tmp_path))).first().domain == "a.com"
+    assert TP.compile_templates(TS.read_template_files(spark, str(tmp_path))).first().domain == "a.com"
 
 
 # --- streams ----------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 import random
 
+import re
+
 import pytest
 
 from pagesieve.operators import dom
@@ -126,6 +128,14 @@ def test_unsupported_paths_are_named(xpath):
         XP.parse(xpath)
 
 
+@pytest.mark.parametrize("axis", "ancestor ancestor-or-self attribute child descendant descendant-or-self following following-sibling namespace parent preceding preceding-sibling self".split())
+def test_axes_are_named(axis):
+    for xpath, step in ((f"//li/{axis}::li", f"{axis}::li"), (f"//{axis}::*[1]", f"{axis}::*[1]"), (f"//p[.//{axis}::a]//b", f"{axis}::a")):
+        with pytest.raises(XP.UnsupportedXPath, match=re.escape(step)):
+            XP.parse(xpath)
+    assert XP.parse("//svg:rect").steps[0].tag == "svg:rect"
+
+
 def test_special_characters_are_literal(spark, pages):
     nodes = dom.dom_nodes(pages('<div class="a.b (c) [d] $ \\e / f|g">x</div>'), path_attrs=("class",))
     for part in ("a.b", "(c)", "[d]", "$", "\\e", "/ f", "f|g"):
