@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import selectors as S
 from ..functions import text as X
+from ..session import written
 from . import dom
 from .joins import lookup_join
 
@@ -60,47 +66,116 @@ def capture_examples(
     )
 
 
-def locate_examples(nodes: DataFrame, examples: DataFrame, payload: tuple[str, ...] = ("path",)) -> DataFrame:
+PAGE_EXAMPLES = 1000  # examples that one row of a page carries, on average
+_SPACES = re.compile(f"[{X.WHITE_SPACE}]+")
+_CLICKABLE_ABOVE = re.compile(_BELOW_CLICKABLE)
+_AT = {name: i for i, name in enumerate(dom.NODE_COLUMNS)}
+
+
+def _shown(rows: list[list]) -> tuple[str, list[int]]:
+    """Text of a page as it is shown, and how much of it has come by the end of each node, by `pre`.
+
+    The text of any element is the part between two of these places: nothing is handed to ancestors.
+    """
+    parts, ends, length, blank = [], [0], 0, True
+    for row in rows:
+        if row[_AT["kind"]] == "text":
+            text = _SPACES.sub(" ", row[_AT["text"]])
+            if blank and text.startswith(" "):
+                text = text[1:]
+            if text:
+                parts.append(text)
+                length += len(text)
+                blank = text.endswith(" ")
+        ends.append(length)
+    return "".join(parts), ends
+
+
+def _deepest(rows: list[list], wanted: dict[str, list[int]]) -> dict[int, list]:
+    """For each wanted text's numbers, the deepest element that shows it and can be clicked; of several the first."""
+    text, ends = _shown(rows)
+    lengths = {len(w) for w in wanted}
+    best: dict[int, list] = {}
+    for row in rows:
+        if row[_AT["kind"]] != "element":
+            continue
+        a, b = ends[row[_AT["pre"]]], ends[row[_AT["last"]]]
+        a += text.startswith(" ", a, b)
+        b -= text.endswith(" ", a, b)
+        if b - a in lengths and (numbers := wanted.get(text[a:b])) and _CLICKABLE_ABOVE.search(row[_AT["path"]]):
+            for i in numbers:
+                if i not in best or row[_AT["depth"]] > best[i][_AT["depth"]]:
+                    best[i] = row
+    return best
+
+
+def _around(rows: list[list], chosen: list) -> tuple[str, str, list[dict]]:
+    """Text of an element, text of its first child, and the classes of its children and theirs."""
+    pre, last = chosen[_AT["pre"]], chosen[_AT["last"]]
+    inside = rows[pre:last]
+    children = [r for r in inside if r[_AT["parent_pre"]] == pre and r[_AT["kind"]] == "element"]
+
+    def text(within: list[list]) -> str:
+        return "".join(r[_AT["text"]] for r in within if r[_AT["kind"]] == "text")
+
+    def named(r: list) -> dict:
+        return {"tag": r[_AT["tag"]], "cls": r[_AT["cls"]]}
+
+    kin = [
+        named(c) | {"inner": [named(g) for g in rows[c[_AT["pre"]] : c[_AT["last"]]] if g[_AT["parent_pre"]] == c[_AT["pre"]] and g[_AT["cls"]]]}
+        for c in children if c[_AT["cls"]]
+    ]
+    first = text(rows[children[0][_AT["pre"]] : children[0][_AT["last"]]]) if children else ""
+    return text(inside), first, kin
+
+
+FOUND = "pre int, depth int, path string, attrs map<string,string>, string_value string, first_text string, kin array<struct<tag:string,cls:string,inner:array<struct<tag:string,cls:string>>>>"
+
+
+def locate_examples(pages: DataFrame, examples: DataFrame) -> DataFrame:
     """Elements that `examples(page_id, column_title, text)` point at: deepest match, first in the page.
 
-    Texts are compared as they are shown, with white space collapsed.
+    Texts are compared as they are shown, with white space collapsed. Rows (page_id, column_title, text) and FOUND.
 
-    A text node longer than the longest example of its page is in no match, so it is dropped before
-    text is handed up to the ancestors; an element matches when none of its texts was dropped (`n_text`).
+    A page's examples travel with its row, some PAGE_EXAMPLES at a time, and are looked up while it is tokenised:
+    one pass, and no node leaves its task but those found. Pages are shuffled only where the examples are too many
+    to be broadcast.
     """
-    asked = examples.withColumn("__want", X.collapse(F.col("text"))).filter(F.col("__want") != "")
-    by_page = asked.groupBy("page_id").agg(F.max(F.length("__want")).alias("__longest"))
-    is_text = F.col("kind") == "text"
-    clickable = nodes.filter(F.col("path").rlike(_BELOW_CLICKABLE) & (F.col("n_text") > 0))
-    offered = (
-        lookup_join(
-            clickable.select("page_id", "pre", "kind", "text", "n_text", *payload), by_page, "page_id", spread=F.col("pre"),
-            probe_left=False,
-        )
-        .filter(~is_text | (F.length(X.collapse(F.col("text"))) <= F.col("__longest")))
-        .select(
-            "page_id",
-            F.explode(F.when(is_text, clickable_pres(F.col("path"))).otherwise(F.array("pre"))).alias("__owner"),
-            F.when(is_text, F.struct("pre", "text")).alias("part"),
-            F.when(~is_text, F.struct("n_text", *payload)).alias("element"),
-        )
-    )
-    whole = offered.groupBy("page_id", F.col("__owner").alias("pre")).agg(
-        F.array_sort(F.collect_list("part")).alias("parts"), F.first("element", ignorenulls=True).alias("element")
-    )
-    texts = (
-        whole.filter(F.size("parts") == F.col("element.n_text"))
-        .withColumn("string_value", F.array_join(F.transform("parts", lambda x: x["text"]), ""))
-        .withColumn("__want", X.collapse(F.col("string_value")))
-    )
-    found = texts.join(asked.select("page_id", "column_title", "text", "__want"), ["page_id", "__want"])
-    depth = dom.path_depth(F.col("element.path"))
-    best = F.max_by(
-        F.struct("pre", depth.alias("depth"), *[F.col(f"element.{c}").alias(c) for c in payload], "string_value"),
-        F.struct(depth, -F.col("pre")),
-    )
-    chosen = found.groupBy("page_id", "column_title", "text").agg(best.alias("e"))
-    return chosen.select("page_id", "column_title", "text", "e.*")
+    asked = examples.withColumn("want", X.collapse(F.col("text"))).filter(F.col("want") != "").dropDuplicates(["page_id", "column_title", "text"])
+    listed = written(asked.select("page_id", "column_title", "text", "want"), "examples")
+    n = F.count(F.lit(1)).over(W.partitionBy("page_id"))
+    part = F.pmod(F.xxhash64("column_title", "text"), F.ceil(n / PAGE_EXAMPLES))
+    by_page = listed.withColumn("part", part).groupBy("page_id", "part").agg(F.collect_list(F.struct("column_title", "text", "want")).alias("asked"))
+    source = lookup_join(pages.select("page_id", "html"), by_page.drop("part"), "page_id", spread=F.xxhash64("html"), probe_left=False)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, column_title string, text string, {FOUND}"
+    fields = [pa.field(f.name, t) for f, t in zip(T._parse_datatype_string(schema).fields, [None, pa.string(), pa.string(), *_FOUND_TYPES], strict=True) if t is not None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, out = [], []
+            for i, (html, wanted) in enumerate(zip(batch.column("html").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+                if not html:
+                    continue
+                rows = dom.page_rows(html, None, None, None)
+                numbers: dict[str, list[int]] = {}
+                for k, example in enumerate(wanted):
+                    numbers.setdefault(example["want"], []).append(k)
+                for k, row in _deepest(rows, numbers).items():
+                    value, first, kin = _around(rows, row)
+                    owners.append(i)
+                    out.append([wanted[k]["column_title"], wanted[k]["text"], row[_AT["pre"]], row[_AT["depth"]], row[_AT["path"]], row[_AT["attrs"]], value, first, kin])
+            columns = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(owners, pa.int32())), *columns], names=["page_id", *(f.name for f in fields)])
+
+    return source.select("page_id", "html", "asked").mapInArrow(run, schema)
+
+
+_NAMED = [("tag", pa.string()), ("cls", pa.string())]
+_FOUND_TYPES = [
+    pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(),
+    pa.list_(pa.struct([*_NAMED, ("inner", pa.list_(pa.struct(_NAMED)))])),
+]
 
 
 def data_selector(path: Column) -> Column:
@@ -118,10 +193,9 @@ def data_selector(path: Column) -> Column:
     )
 
 
-def induce_selectors(nodes: DataFrame, examples: DataFrame) -> DataFrame:
+def induce_selectors(pages: DataFrame, examples: DataFrame) -> DataFrame:
     """(page_id, column_title, text, pre, xpath, full_path) per example found."""
-    found = locate_examples(nodes, examples)
-    return found.select(
+    return locate_examples(pages, examples).select(
         "page_id", "column_title", "text", "pre",
         data_selector(F.col("path")).alias("xpath"),
         dom.full_path(F.col("path")).alias("full_path"),
@@ -132,61 +206,23 @@ def _test(name: str, value: Column) -> Column:
     return F.concat(F.lit(f'[@{name}="'), value, F.lit('"]'))
 
 
-def induce_next_selector(nodes: DataFrame, examples: DataFrame) -> DataFrame:
+def induce_next_selector(pages: DataFrame, examples: DataFrame) -> DataFrame:
     """Absolute selector of the pagination link shown by an example.
 
     Every step but html and body gets the first that applies of: id; on the leaf rel=next, text,
     label, aria-label; else its classes (on the leaf with those of its children and grandchildren).
     """
-    chosen = locate_examples(nodes, examples, ("path", "attrs"))
-    # the chosen elements of a page first, so a node goes to those alone and not to all of its ancestors
-    wanted = chosen.groupBy("page_id").agg(F.collect_set("pre").alias("__chosen"))
-    inside = (
-        lookup_join(
-            nodes.select("page_id", "pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path"), wanted, "page_id",
-            spread=F.col("pre"), probe_left=False, unique_right=True,
-        )
-        .select("*", F.explode(F.array_intersect(clickable_pres(F.col("path")), F.col("__chosen"))).alias("__owner"))
-        .filter(F.col("__owner") != F.col("pre")).drop("__chosen")
-        .withColumnsRenamed({c: f"in_{c}" for c in ("pre", "parent_pre", "depth", "kind", "tag", "cls", "text", "path")})
-        .withColumnRenamed("__owner", "pre")
-    )
-    below = chosen.select("page_id", "pre", "column_title", "depth").join(inside, ["page_id", "pre"])
-    child_pre = F.element_at(dom.ancestor_pres(F.col("in_path")), F.col("depth") + 1)
-    is_element = F.col("in_kind") == "element"
-    near = is_element & (F.col("in_depth") <= F.col("depth") + 2)
-    summary = below.groupBy("page_id", "pre", "column_title").agg(
-        F.array_sort(F.collect_list(F.when(near, F.struct("in_pre", "in_parent_pre", "in_depth", "in_tag", "in_cls")))).alias("kin"),
-        F.min(F.when(is_element & (F.col("in_depth") == F.col("depth") + 1), F.col("in_pre"))).alias("first_child"),
-        F.array_sort(
-            F.collect_list(
-                F.when(~is_element, F.struct("in_pre", F.when(F.col("in_depth") > F.col("depth") + 1, child_pre).alias("child"), "in_text"))
-            )
-        ).alias("texts"),
-    )
-    told = chosen.join(summary, ["page_id", "pre", "column_title"], "left")
-    first_text = X.strip(
-        F.array_join(
-            F.transform(F.filter("texts", lambda t: t["child"] == F.col("first_child")), lambda t: t["in_text"]), ""
-        )
-    )
+    told = locate_examples(pages, examples)
+    first_text = X.strip(F.col("first_text"))
+
+    def has(path: Column, cls: Column) -> Column:
+        return F.concat(F.lit("[.//"), path, F.lit('[contains(@class,"'), cls, F.lit('")]]'))
 
     def child_classes(child: Column) -> Column:
-        def has(path: Column, cls: Column) -> Column:
-            return F.concat(F.lit("[.//"), path, F.lit('[contains(@class,"'), cls, F.lit('")]]'))
-
-        grandchildren = F.filter(
-            "kin", lambda g: (g["in_parent_pre"] == child["in_pre"]) & (F.coalesce(g["in_cls"], F.lit("")) != "")
-        )
-        inner = F.transform(
-            grandchildren, lambda g: has(F.concat(child["in_tag"], F.lit("/"), g["in_tag"]), g["in_cls"])
-        )
-        return F.concat(has(child["in_tag"], child["in_cls"]), F.array_join(inner, ""))
-
-    children = F.filter(
-        "kin", lambda c: (c["in_parent_pre"] == F.col("pre")) & (F.coalesce(c["in_cls"], F.lit("")) != "")
-    )
-    kin_classes = F.coalesce(F.array_join(F.transform(children, child_classes), ""), F.lit(""))
+        inner = F.transform(child["inner"], lambda g: has(F.concat(child["tag"], F.lit("/"), g["tag"]), g["cls"]))
+        return F.concat(has(child["tag"], child["cls"]), F.array_join(inner, ""))
+
+    kin_classes = F.array_join(F.transform("kin", child_classes), "")
 
     def attr(name: str) -> Column:
         return F.nullif(F.try_element_at("attrs", F.lit(name)), F.lit(""))

@@ -19,6 +19,12 @@ def is_small(table: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST
     return n <= rows and (total or 0) <= size
 
 
+def is_small_written(table: DataFrame) -> bool:
+    """The same in one job, for a slim table that is written: all of it is counted."""
+    n, total = table.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()
+    return n <= BROADCAST_ROWS and (total or 0) <= BROADCAST_BYTES
+
+
 def hot_keys(table: DataFrame, key: str) -> DataFrame:
     """(key, n): keys with more than TASK_ROWS rows; at most one for every TASK_ROWS rows of the table."""
     counts = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from ..functions import urls as U
 from ..session import written
 from . import dom, rules
 from . import xpath as XP
-from .joins import lookup_join
+from .joins import is_small_written, lookup_join
 
 
 def address_key(url):
@@ -72,7 +72,8 @@ def follow(seeds: DataFrame, edges: DataFrame, max_pages: int | None = None) ->
     n, longest = visits.agg(F.count(F.lit(1)), F.max("most")).first()
     steps = 1
     while steps < (longest or 0):
-        ahead = lookup_join(visits, jumps, "page_id", spread=F.col("seed_id"), unique_right=True)
+        small = is_small_written(jumps)
+        ahead = lookup_join(visits, jumps, "page_id", spread=F.col("seed_id"), small=small, unique_right=True)
         ahead = ahead.select("seed_id", (F.col("page_seq") + steps).alias("page_seq"), F.col("next_id").alias("page_id"), "most")
         ahead = ahead.filter(F.col("page_seq") <= F.col("most"))
         # what comes up again lies on a circle and has been visited before
@@ -84,7 +85,7 @@ def follow(seeds: DataFrame, edges: DataFrame, max_pages: int | None = None) ->
             break
         far = jumps.select("page_id", F.col("next_id").alias("mid"))
         over = jumps.select(F.col("page_id").alias("mid"), "next_id")
-        jumps = written(lookup_join(far, over, "mid", spread=F.col("page_id"), unique_right=True).select("page_id", "next_id"), "jumps")
+        jumps = written(lookup_join(far, over, "mid", spread=F.col("page_id"), small=small, unique_right=True).select("page_id", "next_id"), "jumps")
     return visits.select("seed_id", F.col("page_seq").cast("int").alias("page_seq"), "page_id")
 
 
@@ -97,23 +98,26 @@ def follow_lists(seeds: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """
     levels = ceil(log2(n)) if n > 1 else 0
     maps = [written(edges.select(F.col("entry").cast("long").alias("block"), "page_id", "next_id"), "entries")]
+    small: list[bool] = []
     for _ in range(levels - 1):
         pairs = maps[-1].withColumn("left", F.col("block") % 2 == 0).withColumn("block", F.floor(F.col("block") / 2).cast("long"))
         over = pairs.filter(~F.col("left")).select(F.struct("block", F.col("page_id").alias("page")).alias("at"), F.col("next_id").alias("further"))
-        through = lookup_join(pairs.withColumn("at", F.when(F.col("left"), F.struct("block", F.col("next_id").alias("page")))), over, "at", "left", spread=F.xxhash64("page_id"), unique_right=True)
+        small.append(is_small_written(maps[-1]))
+        through = lookup_join(pairs.withColumn("at", F.when(F.col("left"), F.struct("block", F.col("next_id").alias("page")))), over, "at", "left", spread=F.xxhash64("page_id"), small=small[-1], unique_right=True)
         # where the first of two says nothing, the second does alone
         both = through.groupBy("block", "page_id").agg(F.max_by(F.coalesce("further", "next_id"), "left").alias("next_id"))
         maps.append(written(both, "composed"))
+    small.append(is_small_written(maps[-1]))
     here = seeds.select(F.col("page_id").alias("seed_id"), F.lit(0).cast("long").alias("block"), "page_id")
     for level in range(levels - 1, -1, -1):
         step = maps[level].select(F.struct("block", F.col("page_id").alias("page")).alias("at"), "next_id")
         first = here.withColumn("block", F.col("block") * 2)
-        met = lookup_join(first.withColumn("at", F.struct("block", F.col("page_id").alias("page"))), step, "at", "left", spread=F.xxhash64("seed_id"), unique_right=True)
+        met = lookup_join(first.withColumn("at", F.struct("block", F.col("page_id").alias("page"))), step, "at", "left", spread=F.xxhash64("seed_id"), small=small[level], unique_right=True)
         ends = F.array(F.struct("block", "page_id"), F.struct((F.col("block") + 1).alias("block"), F.coalesce("next_id", "page_id").alias("page_id")))
         split = met.select("seed_id", F.explode(ends).alias("e")).select("seed_id", "e.block", "e.page_id")
         here = written(split.filter(F.col("block") * (1 << level) < n), "positions")
     step = maps[0].select(F.struct("block", F.col("page_id").alias("page")).alias("at"), "next_id")
-    gone = lookup_join(here.withColumn("at", F.struct("block", F.col("page_id").alias("page"))), step, "at", "inner", spread=F.xxhash64("seed_id"), unique_right=True)
+    gone = lookup_join(here.withColumn("at", F.struct("block", F.col("page_id").alias("page"))), step, "at", "inner", spread=F.xxhash64("seed_id"), small=small[0], unique_right=True)
     moves = gone.select("seed_id", F.col("block").alias("entry"), F.col("next_id").alias("page_id"))
     starts = seeds.select(F.col("page_id").alias("seed_id"), F.lit(-1).cast("long").alias("entry"), "page_id")
     # at most n + 1 rows to a seed

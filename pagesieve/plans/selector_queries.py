@@ -99,8 +99,7 @@ _CLICKED = f"""ads AS (SELECT page_id, {_shown(AD)} AS ad, trim({AD}, {BLANKS})
   FROM clicked""")
 def induced_selectors(spark, folder):
     """Examples to selectors."""
-    nodes = dom.dom_nodes(pages(spark, folder), columns=("pre", "kind", "text", "n_text", "path"))
-    return induce.induce_selectors(nodes, _examples(spark, folder)).drop("pre")
+    return induce.induce_selectors(pages(spark, folder), _examples(spark, folder)).drop("pre")
 
 
 @query(f"""WITH {LINKS}, {PARAGRAPHS}, {_CLICKED} SELECT page_id, 'link' AS column_title, '/html/body/nav/ul/li/a[text()="' || trim(raw, {BLANKS}) || '"]' AS xpath
@@ -109,11 +108,7 @@ def induced_selectors(spark, folder):
     WHEN n = 0 THEN 'article/h1' ELSE 'article/p' END || '[text()="' || cell || '"]' FROM clicked""")
 def induced_next_selectors(spark, folder):
     """P8"""
-    nodes = dom.dom_nodes(
-        pages(spark, folder),
-        columns=("pre", "parent_pre", "depth", "kind", "tag", "cls", "attrs", "text", "n_text", "path"),
-    )
-    return induce.induce_next_selector(nodes, _examples(spark, folder)).select("page_id", "column_title", "xpath")
+    return induce.induce_next_selector(pages(spark, folder), _examples(spark, folder)).select("page_id", "column_title", "xpath")
 
 
 @query(r"""SELECT p_partkey, CASE WHEN kept = '' THEN '' ELSE '[contains(@class, "' || kept || '")]' END AS test FROM (

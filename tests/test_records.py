@@ -307,8 +307,7 @@ def examples(spark, *texts):
 
 
 def test_data_selectors(spark, pages):
-    nodes = dom.dom_nodes(pages(CLICKS))
-    got = {r.text: r.xpath for r in I.induce_selectors(nodes, examples(spark, "one", "two three", "three", " four", "five", "gone")).collect()}
+    got = {r.text: r.xpath for r in I.induce_selectors(pages(CLICKS), examples(spark, "one", "two three", "three", " four", "five", "gone")).collect()}
     card_path = '//html//body//div[contains(@class, "main")]//div[contains(@class, "card big")]'
     assert got == {
         "one": card_path + '//p[1][contains(@class, "t")]',
@@ -321,8 +320,7 @@ def test_data_selectors(spark, pages):
 
 
 def test_next_selectors(spark, pages):
-    nodes = dom.dom_nodes(pages(CLICKS))
-    got = {r.text: r.xpath for r in I.induce_next_selector(nodes, examples(spark, "More", "Prev", "Go", "Skip it", "one")).collect()}
+    got = {r.text: r.xpath for r in I.induce_next_selector(pages(CLICKS), examples(spark, "More", "Prev", "Go", "Skip it", "one")).collect()}
     assert got == {
         "More": '/html/body/ul[contains(@class, "pager")]/li[contains(@class, "next")]/a[@rel="next"]',
         "Prev": '/html/body/ul[contains(@class, "pager")]/li[contains(@class, "prev")]/a[text()="Prev"]',
@@ -333,11 +331,37 @@ def test_next_selectors(spark, pages):
 
 
 def test_next_selector_by_child(spark, pages):
-    nodes = dom.dom_nodes(pages('<a href="/2"><span class="ic">Next <u class="q"></u></span> page</a>'))
-    got = I.induce_next_selector(nodes, examples(spark, "Next  page")).collect()
+    got = I.induce_next_selector(pages('<a href="/2"><span class="ic">Next <u class="q"></u></span> page</a>'), examples(spark, "Next  page")).collect()
     assert [r.xpath for r in got] == ['/html/body/a[.//span[text()="Next"]]']
 
 
+def test_next_selector_by_text_of_first_child(spark, pages):
+    page = '<p class="x">a</p><p><a><i class="big icon"><b class="t 1">?</b><u>!</u></i><em class="e"></em></a></p>'
+    got = I.induce_next_selector(pages(page), examples(spark, "? !", "?!")).collect()
+    assert [(r.text, r.xpath) for r in got] == [("?!", '/html/body/p/a/i[.//span[text()="?"]]')]
+
+
+def test_shown_texts_of_random_pages(spark, monkeypatch):
+    import random
+
+    from tests.test_dom import AT, random_page
+    rng = random.Random(3)
+    for _ in range(60):
+        rows = dom.page_rows(random_page(rng), None, None, None)
+        text, ends = I._shown(rows)
+        for row in rows:
+            a, b = row[AT["pre"]], row[AT["last"]]
+            own = "".join(r[AT["text"]] for r in rows if a <= r[AT["pre"]] <= b and r[AT["kind"]] == "text")
+            assert " ".join(own.split()) == text[ends[a if row[AT["kind"]] == "element" else a - 1] : ends[b]].strip(" ")
+
+
+def test_many_examples_of_one_page(spark, pages, monkeypatch):
+    monkeypatch.setattr(I, "PAGE_EXAMPLES", 7)
+    page = "".join(f"<ul><li>item {i}</ul>" for i in range(60))
+    got = {r.text: r.xpath for r in I.induce_selectors(pages(page), examples(spark, *(f" item  {i} " for i in range(60)), "item 5")).collect()}
+    assert len(got) == 61 and set(got.values()) == {"//html//body//ul//li[1]"}
+
+
 def test_captured_examples(spark):
     clicks = spark.createDataFrame(
         [(1, 1, "a"), (1, 2, "a"), (1, 3, " "), (1, 4, "a"), (1, 5, "b"), (1, 6, "a"), (2, 1, "a")], "session long, ts long, text string"
