@@ -185,8 +185,9 @@ def template_edges(pages: DataFrame, templates: DataFrame, domain: Column | None
     sizes = plan.table.select("template_id", "n_entries")
     addressed = links.filter(F.col("href").isNotNull()).join(based, ["template_id", "page_id"], "left").join(sizes, "template_id")
     placed = lookup_join(addressed, pages.select("page_id", "url"), "page_id", spread=F.col("template_id"), probe_left=False, unique_right=True)
-    against = F.coalesce(U.resolve(F.col("given"), F.col("url")), F.col("url"))
-    aimed = written(placed.select("template_id", "n_entries", "entry", "page_id", U.resolve(F.col("href"), against).alias("key")), "links")
+    # a column of its own: the address is read at many places of the next expression
+    against = placed.withColumn("against", F.when(F.col("given").isNull(), F.col("url")).otherwise(U.resolve(F.col("given"), F.col("url"))))
+    aimed = written(against.select("template_id", "n_entries", "entry", "page_id", U.resolve(F.col("href"), F.col("against")).alias("key")), "links")
     targets = pages.groupBy(address_key(F.col("url")).alias("key")).agg(F.min("page_id").alias("next_id"))
     return lookup_join(aimed, targets, "key", spread=F.col("page_id"), unique_right=True).drop("key")
 
