@@ -15,7 +15,7 @@ import os
 import re
 import zlib
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from .common import stored
 
 SIZE = 4096
 END = 1  # id behind every document
-CACHED_WORDS = 300_000  # per task; the cache starts anew beyond it
+CACHED_WORDS = 300_000  # per task; beyond it the half that was learned first goes
 GROUP = 1000  # rows numbered together, on average, of the most frequent length
 
 
@@ -119,9 +119,8 @@ def layout(counts: dict[int, int], size: int = SIZE) -> Layout:
     return Layout(first_of, *np.array(sorted(runs), np.int64).reshape(-1, 4).T)
 
 
-#: Letters that lower-case one to one and are already composed, then marks that belong to no contraction.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-;=-@\[-`{-~]*)")
-_DIGIT = re.compile(r"[0-9]")
+#: Letters that lower-case one to one and are already composed, then marks that belong to no contraction; or any other word.
+_PARTS = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)|(.*))$", re.M)
 
 
 class Words:
@@ -148,24 +147,19 @@ class Words:
         return [np.array(f.ids, "<u4") for f in found]
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.runs) > CACHED_WORDS:
-            self.runs = {"": b""}
-        split, whole = [], []
-        for word in words:
-            text = word.decode()
-            match = _SIMPLE.fullmatch(text)
-            if match and not _DIGIT.search(match[2]):
-                split.append((word, match[1].lower(), match[2]))
-            else:
-                whole.append((word, text))
-        marks = list({m for _, _, m in split if m not in self.runs})
+        self.runs = _newer_half(self.runs) if len(self.runs) > CACHED_WORDS else self.runs
+        parts = _PARTS.findall(b"\n".join(words).decode()) if words else []
+        letters = [a.lower() for a, _, _ in parts]
+        marks = list({m for _, m, _ in parts}.difference(self.runs))
         self.runs.update(zip(marks, (ids.tobytes() for ids in self._encoded(marks)), strict=True))
-        new = list({letters for _, letters, _ in split if letters not in self.runs})
-        lines = [new[i:i + 64] for i in range(0, len(new), 64)]
-        for line, ids in zip(lines, self._encoded([" ".join(line) for line in lines]), strict=True):
+        new = list(set(letters).difference(self.runs))
+        if new:
+            ids = np.concatenate(self._encoded([" ".join(new[i:i + 64]) for i in range(0, len(new), 64)]))
             data, bounds = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            self.runs.update((run, data[a:b]) for run, (a, b) in zip(line, pairwise(bounds), strict=True))
-        self.known.update((word, self.runs[letters] + self.runs[m]) for word, letters, m in split)
+            self.runs.update(zip(new, [data[a:b] for a, b in pairwise(bounds)], strict=True))
+        runs = self.runs
+        self.known.update({word: runs[a] + runs[m] for word, a, (_, m, _) in zip(words, letters, parts, strict=True) if a})
+        whole = [(word, rest) for word, (_, _, rest) in zip(words, parts, strict=True) if rest]
         self.known.update((word, ids.tobytes()) for (word, _), ids in zip(whole, self._encoded([t for _, t in whole]), strict=True))
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
@@ -173,12 +167,18 @@ class Words:
         split = [t.split() if t else [] for t in texts]
         new = set().union(*split).difference(self.known)
         if len(new) + len(self.known) > CACHED_WORDS:
-            self.known, new = {}, set().union(*split)
+            self.known = _newer_half(self.known) if len(new) < CACHED_WORDS // 2 else {}
+            new = set().union(*split).difference(self.known)
         self.learn(list(new))
         end = np.array([END], "<u4").tobytes()
         return [b"".join([self.known[w] for w in words]) + end for words in split]
 
 
+def _newer_half(cache: dict) -> dict:
+    kept = dict(islice(cache.items(), len(cache) // 2, None))
+    return {"": b"", **kept} if "" in cache else kept
+
+
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """`key`, piece, start, length, ids_crc32: every text as ids and an end, cut only when longer than size.
 
