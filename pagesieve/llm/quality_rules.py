@@ -31,13 +31,18 @@ RULES = {
 }
 
 
+def number_bits(n: Column) -> Column:
+    """Bits that number the words of a text."""
+    return F.length(F.bin(n))
+
+
 def word_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of every whole text: words, their characters, symbols, repeated lines, repeated words.
 
     Null and empty texts have no words and counts of 0. Repeated rows each give a row. A word counts as
-    repeated when it lies in a window of three words that occurs twice or more in the text. Windows are
-    compared by 64-bit hash less the bits that number the text's words (odds of a false repeat: below
-    n^3 / 2^64 for a text of n words), sorted as plain longs with the position in the low bits.
+    repeated when it lies in a window of three words that occurs twice or more in the text. Windows are first
+    compared by a hash with the position in its low bits, sorted as plain longs; those that seem to recur are
+    compared again by another hash of 64 bits, so a text of any length has no false repeat to speak of.
     """
     body = whole_text(F.col(text))
     split = docs.select(
@@ -46,11 +51,11 @@ def word_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.filter(F.split(body, "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"),
     )
     n = F.size("words")
-    sized = split.withColumn("n", n).withColumn("bits", F.length(F.bin(F.col("n"))))
+    sized = split.withColumn("n", n).withColumn("bits", number_bits(F.col("n")))
     words = F.col("words")
 
-    def window(i: Column) -> Column:
-        return F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    def window(i: Column, *seed: Column) -> Column:
+        return F.xxhash64(*seed, F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
 
     starts = F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>"))
     packed = F.transform(starts, lambda i: F.call_function("shiftleft", window(i), F.col("bits")).bitwiseOR(i.cast("long")))
@@ -63,7 +68,15 @@ def word_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     twice = F.filter(sorted_, lambda x, i: same(x, i - 1) | same(x, i + 1))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    at = hashed.withColumn("at", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask))))
+    seeming = hashed.withColumn("seeming", F.transform(twice, lambda x: x.bitwiseAND(mask)))
+    again = F.transform("seeming", lambda p: F.struct(window(p.cast("int"), F.lit(1)).alias("h"), p.alias("p")))
+    sure = seeming.withColumn("sure", F.sort_array(again))
+
+    def alike(x: Column, i: Column) -> Column:
+        return F.coalesce(x["h"] == F.get(F.col("sure"), i)["h"], F.lit(False))
+
+    told = F.filter("sure", lambda x, i: alike(x, i - 1) | alike(x, i + 1))
+    at = sure.withColumn("at", F.sort_array(F.transform(told, lambda x: x["p"])))
     covered = F.aggregate(
         "at", F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda s, p: F.struct((p + 3).alias("end"), (s["n"] + p + 3 - F.greatest(p, s["end"])).alias("n")),

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagesieve.llm import quality_rules as Q
 from tests.llm import common as C
@@ -36,6 +37,14 @@ def test_odd_rows(spark):
     assert not any(kept.values())  # too short, or one word over and over
 
 
+def test_windows_that_only_seem_to_recur(spark, monkeypatch):
+    """With eleven bits of the first hash left, nearly all of 20,000 windows meet another one."""
+    monkeypatch.setattr(Q, "number_bits", lambda n: F.lit(53))
+    rows = [(1, " ".join(f"w{i}" for i in range(20_000))), (2, " ".join(f"w{i % 9_000}" for i in range(9_100))), (3, "a b c a b c"), (4, None)]
+    got = {r[0]: r[1:] for r in C.rows(Q.word_stats(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", *NAMES)}
+    assert got == {k: plain(t) for k, t in rows} and got[1][-1] == 0
+
+
 def test_bound_is_exact():
     assert Q.upper_bound(0, 100, 0.05) == pytest.approx(1 - 0.05 ** (1 / 100), abs=1e-9)
     assert Q.upper_bound(5, 5, 0.05) == 1.0
