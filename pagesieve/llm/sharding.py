@@ -15,6 +15,8 @@ from .common import whole_text
 MOST_JUMPS = 128
 #: Ranges that the rows of a shard are numbered by; each is one group of a window.
 RANGES = 4096
+#: Copies of one row that are numbered, and written, together.
+COPIES = 100_000
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -50,25 +52,27 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     """`key`, size, text_crc32, law, shard, slot, grown_shard for every row.
 
     Null text: no bytes, so size 1. Null key: the key of the empty text. Rows equal in key and text are
-    counted before they are numbered, so that a key of any number of copies stays one row in the
-    shuffle; each copy still gets a slot of its own. Other columns are ignored. Empty input: no rows.
+    counted before they are numbered, so that a key of any number of copies is one row for some COPIES
+    of them in the shuffle, dealt to ranges of their own; each copy still gets a slot of its own. Other columns are ignored. Empty input: no rows.
     Slots of a shard run from 0 without gaps, by range of the key's hash, then key, checksum and size.
     """
     body = whole_text(F.col(text)).cast("binary")
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("crc"))
-    counted = rows.groupBy("key", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    merged = rows.groupBy("key", "size", "crc").agg(F.count(F.lit(1)).alias("n"))
+    parts = merged.select("key", "size", "crc", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    counted = parts.withColumn("n", F.least(F.lit(COPIES), F.col("n") - F.col("part") * COPIES))
     number = stable_key(F.col("key"))
     placed = counted.withColumn("number", number).select(
-        "key", "size", "crc", "n",
+        "key", "size", "crc", "part", "n",
         jump_hash(F.col("number"), shards).alias("shard"),
         jump_hash(F.col("number"), shards + 1).alias("grown"),
         # a third of the rows may share a key, with different texts: the checksum spreads them
-        F.pmod(F.xxhash64("key", "crc"), F.lit(RANGES)).cast("int").alias("range"),
+        F.pmod(F.xxhash64("key", "crc", "part"), F.lit(RANGES)).cast("int").alias("range"),
     )
     totals = placed.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", "range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "range").orderBy("key", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("shard", "range").orderBy("key", "crc", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
     numbered = placed.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["shard", "range"])
     first = F.col("start") + F.col("ahead")
     return numbered.select(

@@ -56,3 +56,13 @@ def test_one_key_of_many_rows(spark):
     df = spark.range(5000).selectExpr("7L AS doc_id", "if(id % 2 = 0, 'same', string(id)) AS text")
     got = C.rows(sharding.shard(df), "shard", "slot")
     assert len({g[0] for g in got}) == 1 and sorted(g[1] for g in got) == list(range(5000))
+
+
+def test_copies_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    docs = spark.createDataFrame([(1, "copy")] * 50 + [(1, "other"), (2, "x")] + [(3, "y")] * 7, "doc_id long, text string")
+    got = C.rows(sharding.shard(docs, 4), "doc_id", "size", "shard", "slot")
+    assert len(got) == 59 and sorted(r[:2] for r in got) == sorted([(1, 5)] * 50 + [(1, 6), (2, 2)] + [(3, 2)] * 7)
+    for shard in {r[2] for r in got}:
+        slots = sorted(r[3] for r in got if r[2] == shard)
+        assert slots == list(range(len(slots)))
