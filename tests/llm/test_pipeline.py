@@ -1,5 +1,6 @@
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +44,22 @@ def test_stages_against_a_plain_version(spark):
     assert {tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got} == want and len(got) == len(want)
 
 
+def test_odd_rows_and_an_empty_table(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and columns of clashing names pass every stage."""
+    odd = C.odd_documents(spark)
+    good = odd.filter("doc_id IN (5, 6, 7, 8)")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, odd, C.FOLDER)
+        assert kept.columns == odd.columns and kept.count() <= odd.count()
+        assert stage(spark, C.no_documents(spark), C.FOLDER).count() == 0
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, good, C.FOLDER).collect()) in ([5, 7, 8], [6, 7, 8])
+    packed = corpus_pipeline.packed(spark, odd, C.FOLDER)
+    want = Counter(r[0] for r in C.ODD_ROWS)
+    assert Counter(r["doc_id"] for r in packed.filter("piece = 0").collect()) == want
+    assert corpus_pipeline.packed(spark, C.no_documents(spark), C.FOLDER).count() == 0
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
