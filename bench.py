@@ -20,7 +20,7 @@ from pagesieve.session import build_session  # noqa: E402
 
 HEADLINE = [
     "nav_links", "page_title_h1", "footer_text", "missing_field_fill", "joined_alternatives", "preview_nav",
-    "template_by_domain", "existence_test", "nav_link_counts", "element_tag_counts", "induced_selectors",
+    "template_by_domain", "template_tests", "template_pagination", "page_list", "existence_test", "nav_link_counts", "element_tag_counts", "induced_selectors", "induced_next_selectors",
     "example_failures", "login_or_challenge_flags", "page_chain_depth", "latest_status", "superseded_runs",
     "clean_text_documents", "csv_output", "streamed_records",
 ]
