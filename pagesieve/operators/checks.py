@@ -9,9 +9,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import selectors as S
 from ..functions import text as X
-from . import dom
+from ..functions import urls as U
+from ..session import written
+from . import dom, rules
 from . import xpath as XP
+from .joins import lookup_join
 
 
 def example_failures(pages: DataFrame, examples: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -76,6 +80,51 @@ def _shown(pages: DataFrame, examples: Mapping[str, tuple[str, str]], locations:
     )
 
 
+def _example_rules(path: str, field: int) -> dict:
+    """The rule of one path whose selected elements are to be read whole."""
+    location = XP.parse(path)
+    if location.text:
+        raise XP.UnsupportedXPath(f"an example check selects elements, not texts: {path!r}")
+    return rules.field_rules(location, XP.Location(()), int(field))
+
+
+def example_failures_by_template(pages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Q1 of stored templates: (template_id, page_id, title) where no selected element contains the column's `first_text`.
+
+    Every page of a template's domain is checked, all templates in one tokenising pass; a column whose
+    example is null or blank is not checked. Texts are compared as they are shown. A path that is not
+    supported raises, with the template's id. Groups hold the text of one element.
+    """
+    shown = F.col("c.first_text")
+    shown = X.collapse(F.coalesce(X.html_unescape(F.when(F.contains(shown, F.lit("&")), shown)), shown))
+    examples = (
+        templates.withColumn("titles", S.column_titles(F.col("columns")))
+        .select(F.col("id").alias("template_id"), U.domain(F.col("url")).alias("domain"), "titles", F.posexplode("columns").alias("field", "c"))
+        .select("template_id", "domain", "field", F.get("titles", F.col("field")).alias("title"), F.col("c.xpath").alias("xpath"), shown.alias("wanted"))
+        .filter(F.trim("wanted") != "")
+    )
+    examples = written(examples, "template-examples")
+    paths = examples.withColumn("path", F.explode(S.alternatives(F.col("xpath"))))
+    plan = rules.Plan(rules.gathered(paths.withColumn("r", rules.compiled(_example_rules, F.col("path"), F.col("field"))), "domain"))
+    found = plan.matched(pages)
+    if plan.gated:
+        found = written(found, "matched-nodes")
+    cells = found.filter(F.col("rule.kind") == "cell").withColumn("container_pre", F.explode(rules.above(F.col("path"), F.col("rule.split"))))
+    if plan.gated:
+        cells = rules.behind_gates(cells, plan.passing(found))
+    # alternatives of a path may select one element twice
+    texts = F.array_sort(F.array_distinct(F.collect_list(F.struct("pre", "text"))))
+    values = cells.groupBy("template_id", "page_id", F.col("rule.field").alias("field"), "container_pre").agg(
+        F.array_join(F.transform(texts, lambda t: t["text"]), "").alias("value")
+    )
+    at = F.struct("template_id", "field").alias("at")
+    held = lookup_join(values.select("page_id", "value", at), examples.select(at, "wanted"), "at", spread=F.xxhash64("page_id"), unique_right=True)
+    held = held.filter(_holds(F.col("value"), F.col("wanted"))).select("at.*", "page_id").distinct()
+    sited = pages.select("page_id", U.domain(F.col("url")).alias("domain"))
+    expected = lookup_join(sited, examples.select("domain", "template_id", "field", "title"), "domain", spread=F.col("page_id"))
+    return expected.join(held, ["template_id", "page_id", "field"], "left_anti").select("template_id", "page_id", "title")
+
+
 def regroup_check(fragments: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     """Q2: T5 over an array column `fragments`; NULL in `out` marks a page whose example is gone."""
     return fragments.withColumn(out, X.find_text(F.col("fragments"), F.col(text)))

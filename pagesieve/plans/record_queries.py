@@ -188,6 +188,33 @@ def example_failures_by_tests(spark, folder):
     )
 
 
+@query(f"""WITH {LINKS}, sited AS (SELECT page_id, {DOMAIN} AS domain, {FOOTER} AS footer, {AD} AS ad FROM pages),
+  firsts AS (SELECT domain, min_by(footer, page_id) AS footer, min_by(ad, page_id) AS ad FROM sited GROUP BY domain),
+  holds AS (SELECT page_id, bool_or(raw = 'the') AS tested FROM links GROUP BY page_id)
+  SELECT s.domain AS template_id, page_id, 'link' AS title FROM sited s LEFT JOIN holds h USING (page_id) WHERE NOT coalesce(tested, false)
+  UNION ALL SELECT s.domain, page_id, '2' FROM sited s JOIN firsts f ON f.domain = s.domain WHERE NOT contains(s.footer, trim(f.footer))
+  UNION ALL SELECT s.domain, page_id, 'either' FROM sited s JOIN firsts f ON f.domain = s.domain
+    WHERE NOT contains(s.ad, trim(f.ad)) AND NOT contains(s.footer, trim(f.ad))""")
+def example_failures_by_template(spark, folder):
+    """The examples stored with a template of every domain, on all its pages; the last column has none."""
+    source = pages(spark, folder)
+
+    def within(tag, end):
+        return F.min_by(F.regexp_extract("html", f"<{tag}>([^<]*)</{end}>", 1), "page_id")
+
+    one, none = F.lit(1), F.lit(None)
+    sites = source.groupBy(U.domain(F.col("url")).alias("id")).agg(
+        F.min("url").alias("url"), within("footer", "footer").alias("footer"), within('div class="ad"', "div").alias("ad")
+    )
+    columns = F.array(
+        E._column(F.lit('//nav//ul//li[.//a[text()="the"]]'), one, F.lit(" the\n"), none, F.lit("link")),
+        E._column(F.lit("//html//body//footer[1]"), F.lit(2), F.col("footer"), none, none),
+        E._column(F.lit('//div[contains(@class, "ad")] | //footer'), one, F.col("ad"), none, F.lit("either")),
+        E._column(F.lit("//article//h1"), one, F.lit(" "), none, F.lit("unchecked")),
+    )
+    return C.example_failures_by_template(source, sites.select("id", "url", none.cast("string").alias("pagination_xpath"), columns.alias("columns")))
+
+
 @query(f"""WITH {LINKS}, lists AS (
     SELECT page_id, list({tidied('raw')} ORDER BY i) AS texts FROM links GROUP BY page_id),
   asked AS (SELECT *, texts[1] || coalesce(texts[2], '') AS wanted, range(0, len(texts), 2) AS starts FROM lists)

@@ -10,6 +10,7 @@ from pagesieve.operators import induce as I
 from pagesieve.operators import paginate as P
 from pagesieve.operators import rules
 from pagesieve.operators import templates as TP
+from pagesieve.operators import xpath as XP
 from pagesieve.sources.pages import PAGE_SCHEMA
 
 
@@ -277,6 +278,26 @@ def test_example_failures(pages):
     assert {(r.page_id, r.title) for r in got} == {(1, "a"), (2, "a")}
 
 
+def test_example_failures_by_template(spark):
+    site = spark.createDataFrame([
+        (0, "http://a.com/0", "<p>one <b>two</b></p><i>x</i>"), (1, "http://a.com/1", "<p>one</p><p>two</p><i>y</i>"),
+        (2, "http://a.com/2", "<b>no</b>"), (3, "http://b.com/3", "<p>one &amp; two</p>"), (4, None, "<p>one two</p>"), (5, "http://c.com", "<p>q</p>"),
+    ], PAGE_SCHEMA)
+    none = [("//i", 4, None, None, "blank"), ("//i", 5, " ", None, "blank too")]
+    templates = spark.createDataFrame([
+        ("a", "http://a.com", None, [("//p", 1, " one  two\n", None, "all"), ("//p | //i", 2, "y", None, None), *none]),
+        ("a2", "http://a.com/x", None, [("//p[.//b]", 1, "two", None, "tested")]),
+        ("b", "http://b.com", None, [("//p", 1, "one &amp; two", None, "escaped"), ("//p", 2, "two one", None, "not")]),
+    ], E.TEMPLATE_SCHEMA)
+    got = {tuple(r) for r in C.example_failures_by_template(site, templates).collect()}
+    assert got == {
+        ("a", 1, "all"), ("a", 2, "all"), ("a", 0, "2"), ("a", 2, "2"), ("a2", 1, "tested"), ("a2", 2, "tested"), ("b", 3, "not"),
+    }
+    with pytest.raises(XP.UnsupportedXPath, match="template c"):
+        C.example_failures_by_template(site, spark.createDataFrame([("c", "http://c.com", None, [("//p//text()", 1, "q", None, "t")])], E.TEMPLATE_SCHEMA))
+    assert C.example_failures_by_template(site, templates.limit(0)).count() == 0
+
+
 def test_regrouped_examples(pages):
     site = pages("<i>$</i><i>10</i><i>$</i><i>12</i>", "<i>$10</i><i>x</i>", "<i>y</i>")
     fragments = C.page_fragments(site, "//i").withColumn("text", F.lit("$10"))
