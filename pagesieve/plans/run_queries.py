@@ -160,16 +160,20 @@ def latest_status(spark, folder):
     )
 
 
-def _customer_ledger(spark, folder):
-    """A run per customer, with the site's events; events of others belong to no known run."""
-    ledger = Ledger(spark, scratch_path(spark, "ledger"))
-    events = _run_events(table(spark, folder, "events"))
+def _open_customers(spark, folder, ledger):
+    """A run per customer."""
     opened = table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("run_id"), F.col("c_name").alias("url"), F.lit("").alias("file_name"),
         F.col("c_mktsegment").alias("titles"), F.lit(1).alias("status"), F.lit("").alias("date"), F.lit("").alias("time"),
     )
     opened.write.parquet(ledger.runs_path)
-    ledger.record(events)
+
+
+def _customer_ledger(spark, folder):
+    """A run per customer, with the site's events; events of others belong to no known run."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    _open_customers(spark, folder, ledger)
+    ledger.record(_run_events(table(spark, folder, "events")))
     return ledger
 
 
@@ -184,6 +188,20 @@ def ledger_after_restart(spark, folder):
     return current.select("run_id", F.col("status").cast("long").alias("status"), "file_name", "url")
 
 
+@query(f"WITH {_NEWEST} {_LEDGER.replace(_AFTER, 'CASE WHEN event_type IS NOT NULL THEN ' + _AFTER + ' END')}")
+def ledger_compacted(spark, folder):
+    """The newer events are folded into a snapshot; the older ones come late, behind it."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"))
+    events = _run_events(table(spark, folder, "events"))
+    _open_customers(spark, folder, ledger)
+    late = F.col("seq") % 3 == 0
+    ledger.record(events.filter(~late))
+    ledger.compact()
+    ledger.record(events.filter(late))
+    current = ledger.runs(restarted=True)
+    return current.select("run_id", F.col("status").cast("long").alias("status"), "file_name", "url")
+
+
 @query("""SELECT 'open' AS step, c_custkey::VARCHAR AS name, 1::BIGINT AS status FROM customer WHERE c_custkey <> (SELECT min(c_custkey) FROM customer)
   UNION ALL SELECT 'open', 'new run', 1
   UNION ALL SELECT 'cleared', 'next run', 1""")
@@ -251,6 +269,20 @@ def template_store(spark, folder):
     return store.templates().join(values, "id").select("id", "url", F.array_join("values", " ; ").alias("xpaths"))
 
 
+@query(f"""SELECT {DOMAIN} AS id, max(url) AS url FROM pages GROUP BY {DOMAIN} HAVING {DOMAIN} <> (SELECT min({DOMAIN}) FROM pages)""")
+def template_store_compacted(spark, folder):
+    """Templates are saved and folded, then saved anew under other addresses and one deleted, and folded again."""
+    source = pages(spark, folder)
+    store = TS.TemplateStore(spark, scratch_path(spark, "templates"))
+    store.save(domain_templates(source))
+    store.compact()
+    newer = source.groupBy(U.domain(F.col("url")).alias("id")).agg(F.max("url").alias("newer"))
+    store.save(store.templates().join(newer, "id").withColumn("url", F.col("newer")))
+    store.delete(source.agg(F.min(U.domain(F.col("url")))).first()[0])
+    store.compact()
+    return store.templates().select("id", "url")
+
+
 # --- outputs --------------------------------------------------------------------------------------
 
 _OUTPUT_SQL = f"""WITH {LINKS} SELECT page_id::VARCHAR AS page_id, 'link' AS kind, {tidied('raw')} AS text FROM links

@@ -8,19 +8,29 @@ from pyspark.sql import types as T
 
 from ..operators import runs as R
 from . import sinks
+from .snapshots import Log
 
 _FILE_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("url", "file_name", "titles", "status", "date", "time", "action")]
 )
 
 
+def _newest(events: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct(*R.EVENT_SCHEMA.names), F.struct("ts", "seq"))
+    return events.groupBy("run_id").agg(newest.alias("e")).select("e.*")
+
+
 class Ledger:
-    """Runs and their events below `path`, both append-only; the state of a run is folded on read."""
+    """Runs and their events below `path`, both append-only; the state of a run is folded on read.
+
+    `compact` folds the events so far into a snapshot with one per run, from which readers start.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.runs_path, self.events_path = f"{path}/runs", f"{path}/events"
         self.removed_path = f"{path}/removed"
+        self.event_log = Log(spark, self.events_path, R.EVENT_SCHEMA, _newest)
 
     def _read(self, path: str, schema: T.StructType) -> DataFrame:
         if not sinks.exists(self.spark, path):
@@ -37,7 +47,11 @@ class Ledger:
         events.select(*R.EVENT_SCHEMA.names).write.mode("append").parquet(self.events_path)
 
     def events(self) -> DataFrame:
-        return self._read(self.events_path, R.EVENT_SCHEMA)
+        """All events, of those in a snapshot the newest per run."""
+        return self.event_log.rows()
+
+    def compact(self) -> int:
+        return self.event_log.compact()
 
     def runs(self, restarted: bool = False) -> DataFrame:
         """Runs with their newest status; after a restart none is under way."""

@@ -56,6 +56,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none where there is no folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not exists(spark, path):
+        return []
+    return [s.getPath().getName() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)]
+
+
 def written_names(titles: list[str], fmt: str) -> list[str]:
     """Column names as they appear in an output."""
     names = [xml_name(t) for t in titles] if fmt == "xml" else list(titles)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import selectors as S
 from ..operators.extract import TEMPLATE_SCHEMA
-from . import sinks
+from .snapshots import Log
 
 LOG_SCHEMA = T.StructType(
     [
@@ -23,19 +23,27 @@ LOG_SCHEMA = T.StructType(
 CLEAR = "*"
 
 
+def _newest(log: DataFrame) -> DataFrame:
+    """The newest change per id; deletions and the newest clearing stay, for rows that are still under way."""
+    return log.groupBy("id").agg(F.max_by(F.struct("change", "at", "template"), "at").alias("l")).select("id", "l.*")
+
+
 class TemplateStore:
     """Templates at `path`. Every change is a row; the newest row per id counts.
 
-    Nothing is rewritten, so a reader never meets a half-replaced table.
+    Nothing is rewritten, so a reader never meets a half-replaced table. `compact` folds the changes so
+    far into a snapshot, from which readers start.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.log = Log(spark, path, LOG_SCHEMA, _newest)
 
     def _log(self) -> DataFrame:
-        if not sinks.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
+        return self.log.rows()
+
+    def compact(self) -> int:
+        return self.log.compact()
 
     def _add(self, rows: DataFrame) -> None:
         rows.select("id", "change", F.current_timestamp().alias("at"), "template").write.mode("append").parquet(self.path)
@@ -60,8 +68,7 @@ class TemplateStore:
         alive = log.filter(F.col("id") != CLEAR)
         if cleared is not None:
             alive = alive.filter(F.col("at") > F.lit(cleared))
-        newest = alive.groupBy("id").agg(F.max_by(F.struct("change", "template"), "at").alias("l"))
-        return newest.filter(F.col("l.change") == "save").select("l.template.*")
+        return _newest(alive).filter(F.col("change") == "save").select("template.*")
 
     def list(self) -> DataFrame:
         return self.templates().select("id")

@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import runs as R
+from ..sources.snapshots import Log
 from .records import BATCH
 
+STATUS_SCHEMA = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("status", T.IntegerType()),
+        T.StructField("percent", T.IntegerType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+
 
 def stream_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(R.EVENT_SCHEMA).parquet(path)
@@ -39,13 +52,19 @@ def stream_status(
     )
 
 
-def compacted(spark: SparkSession, path: str, to: str) -> None:
-    """The state of `path` as one batch at `to`, which a later stream can go on adding to."""
-    current_status(spark, path).write.mode("overwrite").parquet(f"{to}/{BATCH}=-1")
+def _newest(changes: DataFrame) -> DataFrame:
+    newest = F.max_by(F.struct("status", "percent", "file_name", "ts", "seq"), F.struct("ts", "seq"))
+    return changes.groupBy("run_id").agg(newest.alias("e")).select("run_id", "e.*")
+
+
+def compact(spark: SparkSession, path: str) -> int:
+    """Fold the batches at `path` into a snapshot beside them, also while a stream adds more; returns how many files.
+
+    A batch that is written again afterwards is read again, which changes nothing.
+    """
+    return Log(spark, path, STATUS_SCHEMA, _newest).compact()
 
 
 def current_status(spark: SparkSession, path: str) -> DataFrame:
-    """Newest status per run over all batches written."""
-    changes = spark.read.parquet(path)
-    newest = F.max_by(F.struct("status", "percent", "file_name", "ts", "seq"), F.struct("ts", "seq"))
-    return changes.groupBy("run_id").agg(newest.alias("e")).select("run_id", "e.*")
+    """Newest status per run over the newest snapshot and all batches behind it."""
+    return _newest(Log(spark, path, STATUS_SCHEMA, _newest).rows())

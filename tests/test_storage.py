@@ -238,6 +238,50 @@ def test_streamed_status_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_snapshots(spark, tmp_path):
+    """Readers start from the newest snapshot; files that it names are not read, those behind it are."""
+    store = TS.TemplateStore(spark, str(tmp_path / "a b"))
+    assert store.compact() == 0
+    ids = [store.save_new(f"http://{i}.com", [("//a", 1, None, None, None)]) for i in range(3)]
+    store.delete(ids[0])
+    before = {(r.id, r.url) for r in store.templates().collect()}
+    old = set(spark.read.parquet(store.path).inputFiles())
+    assert store.compact() == len(old) and store.compact() == 0
+    assert {(r.id, r.url) for r in store.templates().collect()} == before
+    assert not old & set(store.log.rows().inputFiles())
+    # a slow writer's row from before the deletion does not bring the template back
+    late = spark.createDataFrame([(ids[0], "save", START, (ids[0], "http://late", None, []))], TS.LOG_SCHEMA)
+    late.write.mode("append").parquet(store.path)
+    assert {(r.id, r.url) for r in store.templates().collect()} == before
+    store.clear()
+    assert store.compact() > 0 and store.templates().count() == 0
+    again = store.save_new("http://x.com", [])
+    assert [r.id for r in store.list().collect()] == [again]
+
+
+def test_unfinished_snapshot_does_not_count(spark, tmp_path):
+    ledger = L.Ledger(spark, str(tmp_path / "ledger"))
+    run = ledger.open(R.open_run(spark, "http://u", "f.csv", ["a"]))
+    ledger.record(events(spark, event(run, 1, 1, "30%"), event(run, 2, 5, "3", "f.csv")))
+    state = f"{ledger.events_path}/_snapshots/00000000/state"
+    events(spark, event(run, 9, 99, "4")).write.parquet(state)
+    assert ledger.runs().first().status == 3
+    assert ledger.compact() > 0 and ledger.events().count() == 1
+    ledger.record(events(spark, event(run, 3, 4, "50%")))
+    assert ledger.runs().first().status == 3 and ledger.events().count() == 2
+
+
+def test_status_is_compacted_while_a_stream_goes_on(spark, tmp_path):
+    source, out = str(tmp_path / "events"), str(tmp_path / "out")
+    log = [event(f"r{i % 5}", i, i * 7 % 60, f"{i}%", f"f{i}") for i in range(40)]
+    for part in (log[:20], log[20:35], log[35:]):
+        events(spark, *part).write.mode("append").parquet(source)
+        SS.stream_status(SS.stream_events(spark, source), out, str(tmp_path / "state")).awaitTermination()
+        assert SS.compact(spark, out) > 0
+    got = SS.current_status(spark, out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.latest_status(events(spark, *log)).select(*got.columns).collect()))
+
+
 def test_folder_of_intermediate_tables():
     from pagesieve.session import fallback_folder
 
