@@ -43,26 +43,30 @@ def capture_examples(
 ) -> DataFrame:
     """P10: clicks with a text that differs from the previous text of the session.
 
-    `lag` needs a session in one place. With `bucket`, a coarse step of the order (an hour, say), a
-    long session is worked on in pieces: within a bucket by `lag`, across buckets through one
-    summary row per bucket.
+    A session of any length is worked on in pieces: within a piece by `lag`, across pieces through the last
+    text of the piece before. Without `bucket` the pieces are sampled ranges of (session, order), which are
+    written so that a repeated task meets the same ones; at most one session enters a range from the one
+    before, so no more rows are carried, and broadcast, than there are ranges. With `bucket`, a coarse step
+    of the order (an hour, say), nothing is written, but every bucket of a session carries a row.
+    Clicks without a session are one session, blank texts are no examples, and rows that tie in the whole
+    order are in any order.
     """
     shown = clicks.withColumn("__t", F.trim(F.col(text))).filter(F.col("__t") != "")
-    at = F.struct(*order)
     if bucket is None:
-        previous = F.lag("__t").over(W.partitionBy(session).orderBy(*order))
-        return shown.withColumn("__p", previous).filter(~F.col("__t").eqNullSafe(F.col("__p"))).drop("__t", "__p")
-    pieces = shown.withColumn("__b", bucket)
-    last = pieces.groupBy(session, "__b").agg(F.max_by("__t", at).alias("__last"))
-    carried = last.select(
-        session, "__b", F.lag("__last").over(W.partitionBy(session).orderBy("__b")).alias("__before")
-    )
+        pieces = written(shown.repartitionByRange(session, *order).withColumn("__b", F.spark_partition_id()), "clicks")
+    else:
+        pieces = shown.withColumn("__b", bucket)
+    last = pieces.groupBy(session, "__b").agg(F.max_by("__t", F.struct(*order)).alias("__last"))
+    before = F.lag("__last").over(W.partitionBy(session).orderBy("__b"))
+    carried = last.select(F.col(session).alias("__s"), F.col("__b").alias("__c"), before.alias("__before"))
+    carried = carried.filter("__before IS NOT NULL")
     inner = F.lag("__t").over(W.partitionBy(session, "__b").orderBy(*order))
+    same_piece = F.col(session).eqNullSafe(F.col("__s")) & F.col("__b").eqNullSafe(F.col("__c"))
     return (
         pieces.withColumn("__p", inner)
-        .join(carried, [session, "__b"])
+        .join(carried if bucket is not None else F.broadcast(carried), same_piece, "left")
         .filter(~F.col("__t").eqNullSafe(F.coalesce("__p", "__before")))
-        .drop("__t", "__p", "__b", "__before")
+        .drop("__t", "__p", "__b", "__s", "__c", "__before")
     )
 
 

@@ -133,6 +133,14 @@ def captured_examples(spark, folder):
     return kept.select("event_id", "user_id", "event_type")
 
 
+@query("""WITH typed AS (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM events)
+  SELECT event_id, event_type FROM typed WHERE before IS NULL OR before <> event_type""")
+def captured_in_one_session(spark, folder):
+    """P10: all events of the site as one session, worked on in sampled ranges of time."""
+    clicks = table(spark, folder, "events").select("event_id", "event_type", "ts", F.lit("site").alias("session"))
+    return induce.capture_examples(clicks, order=("ts", "event_id"), text="event_type").select("event_id", "event_type")
+
+
 @query(f"""WITH {LINKS}, ends AS (SELECT page_id, n, '//li[' || n || ']' AS last FROM links WHERE i = 1)
   SELECT page_id, CASE WHEN contains('//li[1]', last) THEN '//li[1]' ELSE '//li[1]' || chr(10) || last END AS selectors,
     (CASE WHEN contains('//li[1]', last) THEN page_id ELSE 3 END)::BIGINT AS budget FROM ends""")

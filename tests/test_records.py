@@ -1,5 +1,7 @@
 """Extraction on small sites of the shapes the tool is made for."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -392,6 +394,26 @@ def test_captured_examples(spark):
         assert sorted((r.session, r.ts) for r in got.collect()) == [(1, 1), (1, 5), (1, 6), (2, 1)]
 
 
+def test_sessions_in_ranges(spark):
+    """Long sessions lie in many ranges; clicks without a session, ties of the first column and empty tables."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, "x", "x", "x", "y", f"s{i}"]), i // 2, i, rng.choice(["a", "a", "b", " ", None])) for i in range(600)]
+    clicks = spark.createDataFrame(rows, "session string, ts long, click_id long, text string").repartition(7)
+    want, previous = [], {}
+    for session, _, click, text in rows:
+        if text and text.strip():
+            if previous.get(session) != text:
+                want.append(click)
+            previous[session] = text
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for bucket in (None, F.when(F.col("ts") > 9, F.floor(F.col("ts") / 9))):
+            assert sorted(r.click_id for r in I.capture_examples(clicks, bucket=bucket).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert I.capture_examples(clicks.limit(0)).count() == 0
+
+
 # --- pagination -------------------------------------------------------------------------------------
 
 
