@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources import sinks
 from ..sources import templates as TS
 from ..sources.ledger import Ledger
-from ..sources.pages import stream_pages
+from ..sources.pages import stream_pages, streamable
 from ..streaming import records as SR
 from ..streaming import status as SS
 from .record_queries import domain_templates
@@ -351,7 +351,7 @@ def streamed_records(spark, folder):
     def job(batch):
         return E.extract_fields(batch, "//nav//li", {"link": "//a//text()"})
 
-    stream = stream_pages(spark, folder, pattern="pages.parquet")
+    stream = stream_pages(spark, f"{folder}/pages.parquet", pattern="*")
     SR.stream_records(stream, job, f"{path}/out", "parquet", f"{path}/checkpoint").awaitTermination()
     return SR.load_stream_output(spark, f"{path}/out", "parquet").select("page_id", "link")
 
@@ -361,7 +361,7 @@ def streamed_status(spark, folder):
     """X3, R1"""
     path = scratch_path(spark, "status")
     given = table(spark, folder, "events").schema
-    events = spark.readStream.schema(given).option("pathGlobFilter", "events.parquet").parquet(folder)
+    events = spark.readStream.schema(given).parquet(streamable(spark, f"{folder}/events.parquet"))
     SS.stream_status(_run_events(events), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     current = SS.current_status(spark, f"{path}/out")
     return current.select("run_id", F.col("status").cast("long").alias("status"), "file_name")

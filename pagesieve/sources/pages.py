@@ -36,11 +36,23 @@ def pages_from_html(spark: SparkSession, htmls: list[str], url: str = "http://lo
     return spark.createDataFrame([(i, url, h) for i, h in enumerate(htmls)], PAGE_SCHEMA).coalesce(1)
 
 
+def streamable(spark: SparkSession, path: str) -> str:
+    """`path` as a stream reads it: a folder as it is, a single file as a pattern that only it fits.
+
+    By its plain path a stream takes a single file for a folder and fails.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target) or files.getFileStatus(target).isDirectory():
+        return path
+    return f"{target.getParent().toString()}/{{{target.getName()}}}"
+
+
 def stream_pages(
     spark: SparkSession, folder: str, files_per_trigger: int | None = None, pattern: str = "*.parquet"
 ) -> DataFrame:
-    """Pages that keep arriving as parquet files in a folder."""
+    """Pages that keep arriving as parquet files in a folder, or those of a single file."""
     reader = spark.readStream.schema(PAGE_SCHEMA).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(streamable(spark, folder))

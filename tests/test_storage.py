@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagesieve.operators import extract as E
 from pagesieve.operators import templates as TP
 from pagesieve.operators import runs as R
+from pagesieve.plans import QUERIES
 from pagesieve.sources import ledger as L
 from pagesieve.sources import sinks
 from pagesieve.sources import templates as TS
@@ -214,6 +215,27 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert SR.load_stream_output(spark, str(tmp_path / "out"), "json").count() == 1
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_streams_read_tables_of_one_file_or_many(spark, tmp_path, files):
+    """A table is a folder of part files, of which one may be empty, or (0) a single file; others beside it are not read."""
+    folder = tmp_path / "tables"
+    html = '<body><nav><ul><li><a href="/a">x{0}</a></li><li><a href="/b">y</a></li></ul></nav></body>'
+    site = spark.createDataFrame([(i, "http://s/", html.format(i)) for i in range(20)], PAGE_SCHEMA)
+    log = spark.createDataFrame([(i, START, i % 5, "error" if i > 14 else "view") for i in range(20)], "event_id long, ts timestamp, user_id long, event_type string")
+    for name, rows in (("pages", site), ("events", log)):
+        where = folder / f"{name}.parquet"
+        rows.write.parquet(str(folder / "older" / f"{name}.parquet"))
+        if files:
+            rows.repartition(files).write.parquet(str(where))
+            rows.limit(0).write.mode("append").parquet(str(where))
+        else:
+            rows.toPandas().to_parquet(where, coerce_timestamps="us")
+    got = QUERIES["streamed_records"](spark, str(folder)).collect()
+    assert sorted(map(tuple, got)) == sorted([(i, f"x{i}") for i in range(20)] + [(i, "y") for i in range(20)])
+    got = QUERIES["streamed_status"](spark, str(folder)).collect()
+    assert sorted(map(tuple, got)) == [(str(u), 4, f"out-{15 + u}.csv") for u in range(5)]
+
+
 def test_stream_checks_columns(spark, tmp_path):
     site = spark.createDataFrame([(1, "u", "<li>a</li>")], PAGE_SCHEMA)
     site.write.parquet(str(tmp_path / "pages"))
