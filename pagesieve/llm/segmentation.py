@@ -3,8 +3,9 @@
 A text is cut where no piece can reach across. Within a cut, neighbouring symbols are merged by an
 agenda, best score first; a candidate that comes up is skipped when its keyed hash says so. The hash
 depends on the text's draw, the place of the cut in the text, and the candidate's place and size in
-the cut, so a run can be repeated, while every occurrence of a word is segmented in its own way. All
-pieces stand for the bytes that they spell, so every segmentation decodes to the text.
+the cut, so a run can be repeated, while every occurrence of a word is segmented in its own way. Short
+cuts go through their agendas side by side, one candidate of each at a time. All pieces stand for the
+bytes that they spell, so every segmentation decodes to the text.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ META = "▁"
 LITERAL = META + "\0"  # the character itself, where the text has it; no piece
 DROP = 0.1
 SHORT = 40  # symbols up to which scanning a list beats a heap
-KNOWN = 16  # characters up to which what may become of a cut is remembered; longer ones seldom recur alike
-STATES = 400_000  # states remembered per task; the memory starts anew beyond it
+WIDTHS = (1, 2, 4, 8, 16, 32)  # cuts of up to so many characters go side by side
+WIDEST = WIDTHS[-1]  # longer ones go one by one
+ABREAST = 1 << 14  # cuts that go side by side
+STATES = 400_000  # cuts remembered per task; the memory starts anew beyond it
 CUTS = 1 << 16  # cuts looked up at once
 NONE = 1 << 60
 
@@ -37,8 +40,8 @@ _LAST = 0xC2B2AE3D
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _code(left: int, size: int) -> int:
-    """A candidate: where it begins and how many characters it has."""
+def _code(left, size):
+    """A candidate: where it begins and how many characters it has, one or (numpy) many."""
     return (left * 0x9E3779B1 ^ size * 0x85EBCA77) & 0xFFFFFFFF
 
 
@@ -145,53 +148,151 @@ class Pieces:
         return b"".join([self.spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
+class Symbols:
+    """Characters and pieces as numbers, and which two of them make a piece. 0 stands for none.
+
+    Characters of no piece get a number when they first come up; nothing merges with them.
+    """
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        names = list(pieces.ranks) + sorted(set("".join(pieces.ranks)).difference(pieces.ranks))
+        number = {name: i for i, name in enumerate(names, 1)}
+        never = max(pieces.ranks.values(), default=0) + 1
+        self.never = never * WIDEST  # in an agenda: no pair
+        self.ranks = np.array([never, *(pieces.ranks.get(name, never) for name in names)], np.int64) * WIDEST
+        found = sorted((number[p[:i]] << 32 | number[p[i:]], number[p]) for p in pieces.ranks for i in range(1, len(p)) if p[:i] in number and p[i:] in number)
+        self.pairs = np.array([*(pair for pair, _ in found), NONE << 2], np.int64)
+        self.made = np.array([*(made for _, made in found), 0], np.int64)
+        self.begin, self.size, self.ids = array("q", [0]), array("q", [0]), array("i")  # by number: its ids
+        for name in names:
+            self._spell(name)
+        self.of_character = np.zeros(0x110000, np.int32)
+        for name, i in number.items():
+            if len(name) == 1:
+                self.of_character[ord(name)] = i
+        # the sign of a blank stands for a blank; where the text has the sign itself, it is a character of no piece
+        self.of_character[ord(" ")], self.of_character[ord(META)] = number.get(META, 0), 0
+
+    def _spell(self, name: str) -> int:
+        """Its ids, else those of its bytes."""
+        known = self.pieces.ids.get(name)
+        ids = [known] if known is not None else [self.pieces.byte_ids[b] for b in (META if name == LITERAL else name).encode("utf-8", "surrogatepass")]
+        self.begin.append(len(self.ids))
+        self.size.append(len(ids))
+        self.ids.extend(ids)
+        return len(self.size) - 1
+
+    def numbers(self, text: str) -> np.ndarray:
+        """One for each character."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = self.of_character[points]
+        if not found.all():
+            for point in np.unique(points[found == 0]).tolist():
+                self.of_character[point] = self._spell({" ": META, META: LITERAL}.get(chr(point), chr(point)))
+            found = self.of_character[points]
+        return found
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that two make, or 0."""
+        pairs = left << 32 | right
+        at = np.searchsorted(self.pairs, pairs)
+        return np.where(self.pairs[at] == pairs, self.made[at], 0)
+
+    def merge(self, cells: np.ndarray, keys: np.ndarray | None, drop: int) -> tuple[np.ndarray, np.ndarray]:
+        """The agendas of many cuts, one candidate of each at a time, in place; a candidate that came up and its cut's column, of all.
+
+        cells: numbers of the characters, a cut in each column, between two rows of 0 and followed by 0; afterwards the
+        pieces that result, each where it begins. keys: of the keyed hash; none skips nothing.
+        """
+        high, wide = cells.shape
+        cell = cells.reshape(-1)
+        after, before = (np.repeat(np.arange(high) + by, wide) for by in (1, -1))
+        made = np.zeros(cell.shape, np.int64)
+        made[:-wide] = self.joined(cell[:-wide], cell[wide:])
+        agenda = self.ranks[made].reshape(high, wide) + np.arange(high)[:, None]
+        columns, codes, owners = np.arange(wide), [], []
+        while True:
+            best = agenda.min(axis=0)
+            going = np.flatnonzero(best < self.never)
+            if not len(going):
+                break
+            if 2 * len(going) < len(columns):
+                agenda, columns, best = np.take(agenda, going, axis=1), columns[going], best[going]
+                going = np.arange(len(columns))
+            due, n = agenda.reshape(-1), len(columns)
+            left, column = best[going] % WIDEST, columns[going]
+            right = after[left * wide + column]
+            end = after[right * wide + column]
+            code = _code(left - 1, end - left).astype(np.uint32)
+            codes.append(code)
+            owners.append(column)
+            if keys is not None:
+                skipped = (keys[column] ^ code) * np.uint32(_LAST) < drop
+                due[left[skipped] * n + going[skipped]] = self.never
+                left, right, end, column, going = (v[~skipped] for v in (left, right, end, column, going))
+            here, there, beyond = left * wide + column, right * wide + column, end * wide + column
+            piece = made[here]
+            cell[here], cell[there], after[here], before[beyond] = piece, 0, end, left
+            due[right * n + going] = self.never
+            first = before[here]
+            ahead = first * wide + column
+            for begin, at, joined in ((left, here, self.joined(piece, cell[beyond])), (first, ahead, self.joined(cell[ahead], piece))):
+                made[at] = joined
+                due[begin * n + going] = self.ranks[joined] + begin
+        if not codes:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate(codes), np.concatenate(owners)
+
+
 class Outcomes:
-    """What may become of short cuts, learned as it comes up.
+    """Ids of many cuts at once; those of short cuts are learned as they come up.
 
-    A state is a cut and the candidates skipped so far, by their places in the order of coming up. It has
-    the candidates that come up from there on when no more are skipped, the ids that result, and for
-    each candidate the state that skipping it leads to. An occurrence of a cut goes from state to state by
-    its own key; the hash of every candidate that comes up is taken, so the ids are those of `segment`.
+    Of a cut are remembered its characters, the candidates that come up when none is skipped, and the ids that
+    result. The hash of every candidate is taken for every occurrence; one that skips none has these ids, and
+    the others go through their agendas side by side, so the ids are those of `segment`.
     """
 
     def __init__(self, pieces: Pieces, drop: int) -> None:
-        self.pieces, self.drop = pieces, drop
+        self.pieces, self.drop, self.symbols = pieces, drop, Symbols(pieces)
         self.clear()
 
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
-        self.cuts: list[str] = []  # by state
-        self.skips: list[tuple[int, ...]] = []
-        self.first, self.many = array("q"), array("q")  # by state: its candidates
-        self.codes, self.next = array("I"), array("i")  # by candidate
-        self.begin, self.size = array("q"), array("q")  # by state: its ids
+        self.start, self.length = array("q"), array("q")  # by cut: its characters
+        self.numbers = array("i")
+        self.first, self.many = array("q"), array("q")  # by cut: its candidates
+        self.codes = array("I")
+        self.begin, self.size = array("q"), array("q")  # by cut: its ids
         self.ids = array("i")
 
-    def _state(self, cut: str, skips: tuple[int, ...]) -> int:
-        codes: list[int] = []
-
-        def skip(left: int, size: int) -> bool:
-            codes.append(_code(left, size))
-            return len(codes) - 1 in skips
-
-        ids = self.pieces.segment_by(cut, skip if self.drop else None)
-        mine = codes[skips[-1] + 1:] if skips else codes
-        self.cuts.append(cut)
-        self.skips.append(skips)
-        self.first.append(len(self.codes))
-        self.many.append(len(mine))
-        self.codes.extend(mine)
-        self.next.extend([-1] * len(mine))
-        self.begin.append(len(self.ids))
-        self.size.append(len(ids))
-        self.ids.extend(ids)
-        return len(self.cuts) - 1
-
-    def _skipping(self, state: int, nth: int) -> int:
-        skips = self.skips[state]
-        new = self._state(self.cuts[state], (*skips, (skips[-1] + 1 if skips else 0) + nth))
-        self.next[self.first[state] + nth] = new
-        return new
+    def _learn(self, cuts: list[str]) -> None:
+        lengths = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        for width in WIDTHS:
+            fitting = np.flatnonzero((lengths <= width) & (lengths > width // 2)).tolist()
+            for at in range(0, len(fitting), ABREAST):
+                some = [cuts[i] for i in fitting[at:at + ABREAST]]
+                sizes = np.fromiter(map(len, some), np.int64, len(some))
+                numbers = self.symbols.numbers("".join(some))
+                ids, counts, codes, owners = self._merged(numbers, sizes, None)
+                many = np.bincount(owners, minlength=len(some))
+                self.roots.update(zip(some, range(len(self.roots), len(self.roots) + len(some)), strict=True))
+                for begins, runs, flat, added, n in ((self.start, self.length, self.numbers, numbers, sizes), (self.first, self.many, self.codes, codes[np.argsort(owners, kind="stable")], many), (self.begin, self.size, self.ids, ids, counts)):
+                    begins.frombytes((len(flat) + np.cumsum(n) - n).tobytes())
+                    runs.frombytes(n.tobytes())
+                    flat.frombytes(added.tobytes())
+
+    def _merged(self, numbers: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of cuts by their characters, how many each has, and the candidates that came up with their cuts."""
+        cells = np.zeros((sizes.max(initial=0) + 2, len(sizes)), np.int64)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        cells[np.arange(1, len(numbers) + 1) - (np.cumsum(sizes) - sizes)[owner], owner] = numbers
+        codes, owners = self.symbols.merge(cells, keys, self.drop)
+        cut, place = np.nonzero(cells.T)
+        found = cells[place, cut]
+        each = _seen(self.symbols.size, np.int64)[found]
+        ids = _seen(self.symbols.ids, np.int32)[_spread(_seen(self.symbols.begin, np.int64)[found], each)]
+        return ids, np.bincount(cut, each, len(sizes)).astype(np.int64), codes, owners
 
     def of(self, cuts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of occurrences of cuts, one after the other, and how many each has. keys: uint32, one each."""
@@ -201,45 +302,37 @@ class Outcomes:
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def _of(self, cuts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.cuts) > STATES:
+        if len(self.roots) > STATES:
             self.clear()
-        roots = self.roots
-        for cut in set(cuts).difference(roots):
-            if len(cut) <= KNOWN:
-                roots[cut] = self._state(cut, ())
-        states = np.fromiter(map(roots.get, cuts, repeat(-1)), np.int64, len(cuts))
-        long = np.flatnonzero(states < 0)
-        going = np.flatnonzero(states >= 0) if self.drop else long[:0]
-        while len(going):
-            going, at = self._first_skipped(going, states[going], keys)
-            to = _seen(self.next, np.int32)[at]
-            owner = states[going]
-            missing = np.unique(at[to < 0], return_index=True)
-            for place, i in zip(missing[0].tolist(), np.flatnonzero(to < 0)[missing[1]].tolist(), strict=True):
-                state = int(owner[i])
-                self._skipping(state, place - self.first[state])
-            states[going] = _seen(self.next, np.int32)[at]
-        by_hand = [array("i", self.pieces.segment(cuts[i], int(keys[i]), self.drop)) for i in long.tolist()]
-        sizes = np.zeros(len(cuts), np.int64)
-        begins = np.zeros(len(cuts), np.int64)
-        short = states >= 0
-        sizes[short], begins[short] = _seen(self.size, np.int64)[states[short]], _seen(self.begin, np.int64)[states[short]]
-        known = _seen(self.ids, np.int32)
-        if by_hand:
-            sizes[long] = [len(h) for h in by_hand]
-            begins[long] = len(known) + np.cumsum(sizes[long]) - sizes[long]
-            known = np.concatenate([known, *(np.frombuffer(h, np.int32) for h in by_hand if len(h))])
-        return known[_spread(begins, sizes)], sizes
-
-    def _first_skipped(self, going: np.ndarray, states: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The occurrences that skip a candidate of their state, and the place of the first that each skips."""
-        many = _seen(self.many, np.int64)[states]
-        at = _spread(_seen(self.first, np.int64)[states], many)
-        hashes = (_seen(self.codes, np.uint32)[at] ^ np.repeat(keys[going], many)) * np.uint32(_LAST)
-        hits = np.flatnonzero(hashes < self.drop)
-        owner = np.searchsorted(np.cumsum(many), hits, side="right")
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        return going[owner[first]], at[hits[first]]
+        self._learn([cut for cut in set(cuts).difference(self.roots) if len(cut) <= WIDEST])
+        roots = np.fromiter(map(self.roots.get, cuts, repeat(-1)), np.int64, len(cuts))
+        short, long = np.flatnonzero(roots >= 0), np.flatnonzero(roots < 0)
+        sizes, begins = np.zeros(len(cuts), np.int64), np.zeros(len(cuts), np.int64)
+        sizes[short], begins[short] = _seen(self.size, np.int64)[roots[short]], _seen(self.begin, np.int64)[roots[short]]
+        known, total = [_seen(self.ids, np.int32)], len(self.ids)
+        by_hand = [np.array(self.pieces.segment(cuts[i], int(keys[i]), self.drop), np.int32) for i in long.tolist()]
+        side_by_side = self._skipping(short, roots, keys) if self.drop else ()
+        for which, ids, counts in ((long, by_hand, np.array([len(h) for h in by_hand], np.int64)), *side_by_side):
+            sizes[which], begins[which] = counts, total + np.cumsum(counts) - counts
+            known += ids
+            total += counts.sum()
+        return np.concatenate(known)[_spread(begins, sizes)], sizes
+
+    def _skipping(self, short: np.ndarray, roots: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """Occurrences that skip a candidate, some at a time, with their ids and how many each has."""
+        many = _seen(self.many, np.int64)[roots[short]]
+        codes = _seen(self.codes, np.uint32)[_spread(_seen(self.first, np.int64)[roots[short]], many)]
+        hits = (codes ^ np.repeat(keys[short], many)) * np.uint32(_LAST) < self.drop
+        going = short[np.unique(np.repeat(np.arange(len(short)), many)[hits])]
+        lengths = _seen(self.length, np.int64)[roots[going]]
+        for width in WIDTHS:
+            fitting = going[(lengths <= width) & (lengths > width // 2)]
+            for at in range(0, len(fitting), ABREAST):
+                some = fitting[at:at + ABREAST]
+                sizes = _seen(self.length, np.int64)[roots[some]]
+                numbers = _seen(self.numbers, np.int32)[_spread(_seen(self.start, np.int64)[roots[some]], sizes)]
+                ids, counts, _, _ = self._merged(numbers, sizes, keys[some])
+                yield some, [ids], counts
 
 
 def _seen(values: array, kind: type) -> np.ndarray:

@@ -91,6 +91,23 @@ def test_remembered_outcomes_are_those_of_each_cut(monkeypatch):
     assert len(set(S.spots(1, 1000).tolist()) | set(S.spots(2, 1000).tolist())) > 1990
 
 
+def test_short_cuts_go_side_by_side(monkeypatch):
+    """No short cut goes through an agenda of its own, and the ids are those that it would give."""
+    pieces, rng = S.Pieces.load(PATH), random.Random(7)
+    signs = ["a", "e", "n", "t", "é", "日", "𝒳", "🙂", "▁", " ", "\0", "\ud800", "international", "the"]
+    cuts = ["".join(rng.choices(signs, k=rng.randint(1, 30)))[:rng.randint(1, S.WIDEST)] for _ in range(3000)] * 2
+    cuts += [" " * n for n in (1, 2, S.WIDEST)] + ["a" * S.WIDEST, "the " * 8, " of"] * 50
+    keys = S.spots(11, len(cuts))
+    for drop in (0, round(S.DROP * 2**32), round(0.6 * 2**32), 2**32 - 1):
+        want = [pieces.segment(c, k, drop) for c, k in zip(cuts, keys.tolist(), strict=True)]
+        with monkeypatch.context() as m:
+            m.setattr(S.Pieces, "segment_by", None)
+            ids, sizes = S.Outcomes(pieces, drop).of(cuts, keys)
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+    beyond = ["x" * (S.WIDEST + 1), "é" * 500]
+    assert S.Outcomes(pieces, drop).of(beyond, keys[:2])[0].tolist() == [i for c, k in zip(beyond, keys.tolist()) for i in pieces.segment(c, k, drop)]
+
+
 def test_odd_rows(spark):
     odd = C.odd_documents(spark).select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(HARD, 50)), "doc_id long, text string"))
     got = S.encode(odd, PATH).collect()
